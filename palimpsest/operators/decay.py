@@ -12,7 +12,7 @@ from palimpsest import config as C
 from palimpsest.config import BLOCK_ROWS
 from palimpsest.functions import text as T
 from palimpsest.functions.classes import has_flag, weight_of
-from palimpsest.operators.sequence import Layout
+from palimpsest.operators.sequence import Layout, number_rows
 
 KEYS = ["session_id"]
 
@@ -107,14 +107,6 @@ def reclaimed_ratio(rows: DataFrame, decayed: DataFrame, *, block_rows: int = BL
     )
 
 
-def number_facts(purged: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """`ord` 0, 1, 2 ... per session for rows that have a sparse integer order."""
-    layout = Layout(KEYS, order, block_rows)
-    counted = layout.carry(layout.split(purged), sums={"_before": F.lit(1)})
-    numbered = counted.withColumn("_no", layout.row_number(F.col("_before")) - 1)
-    return layout.merge(numbered.drop("_before", *(["ord"] if order == "ord" else []))).withColumnRenamed("_no", "ord")
-
-
 def state_list(facts: DataFrame, capacity: int = STATE_CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Final state per session: facts in insertion order, without one that is currently held, newest
     `capacity` kept; an evicted fact may come back. Input: session_id, ord (dense), fact.
@@ -128,7 +120,7 @@ def state_list(facts: DataFrame, capacity: int = STATE_CAPACITY, block_rows: int
     capacity = max(int(capacity), 1)
     firsts = facts.groupBy(*KEYS, "fact").agg(F.min("ord").alias("ord"))
     # Distinct facts are numbered in order; in a run of neighbours, rank and ord stay in step.
-    first_rows = number_facts(firsts.withColumnRenamed("ord", "at"), "at", block_rows)
+    first_rows = number_rows(firsts.withColumnRenamed("ord", "at"), KEYS, "at", block_rows, "ord")
     runs = first_rows.groupBy(*KEYS, (F.col("at") - F.col("ord")).alias("gap")).agg(
         F.count(F.lit(1)).alias("length"), F.max("at").alias("end")
     )

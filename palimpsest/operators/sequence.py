@@ -206,3 +206,11 @@ def ages(df: DataFrame, layout: Layout) -> DataFrame:
     """Session size and distance of each row from the newest row; every row counts."""
     rows = layout.carry(layout.split(df.drop("n")), totals={"n": F.lit(1)})
     return layout.merge(rows).withColumn("age", F.col("n") - 1 - F.col(layout.pos))
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: str, block_rows: int, name: str) -> DataFrame:
+    """Dense numbers 0, 1, 2 ... for rows that have a unique, sparse integer order."""
+    layout = Layout(keys, order, block_rows)
+    counted = layout.carry(layout.split(df), sums={"_before": F.lit(1)})
+    numbered = counted.withColumn("_no", layout.row_number(F.col("_before")) - 1)
+    return layout.merge(numbered.drop("_before", name)).withColumnRenamed("_no", name)
