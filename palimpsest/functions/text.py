@@ -32,25 +32,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with the value computed once per row, also where `use` reads it inside a lambda.
+
+    A plain column expression inside a higher-order function is evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shingle_hashes(tokens: Column, width: int) -> Column:
     """One 64-bit hash per run of `width` tokens; empty when there are fewer tokens."""
-    return F.when(
-        F.size(tokens) >= width,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (width - 1)),
-            lambda i: F.xxhash64(F.slice(tokens, i, F.lit(width))),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(words_: Column) -> Column:
+        return F.when(
+            F.size(words_) >= width,
+            F.transform(
+                F.sequence(F.lit(1), F.size(words_) - (width - 1)),
+                lambda i: F.xxhash64(F.slice(words_, i, F.lit(width))),
+            ),
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(tokens, hashes)
 
 
 def repetition_score(text: Column, width: int = 8) -> Column:
     """Share of repeated shingles, 0 for texts shorter than two windows. No shuffle: one row at a time."""
     width = max(int(width), 1)
-    pieces = words(text)
-    hashes = shingle_hashes(pieces, width)
-    return F.when(F.size(pieces) < 2 * width, F.lit(0.0)).otherwise(
-        1.0 - F.size(F.array_distinct(hashes)) / F.size(hashes)
-    )
+
+    def score(words_: Column) -> Column:
+        repeated = bind(shingle_hashes(words_, width), lambda h: 1.0 - F.size(F.array_distinct(h)) / F.size(h))
+        return F.when(F.size(words_) < 2 * width, F.lit(0.0)).otherwise(repeated)
+
+    return bind(words(text), score)
 
 
 def one_line_digest(text: Column, limit: int = 120) -> Column:

@@ -129,13 +129,12 @@ def thinned_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("dashboard_levels", f"""{AUDIT}
-SELECT deployment, seq, (reduction * 1000)::DOUBLE::VARCHAR IS NOT NULL AS shown,
+SELECT deployment, seq,
   trunc(reduction * 1000) / 10 AS percent, least(floor(least(greatest(reduction, 0), 1) * 8), 7)::BIGINT AS level FROM audit""")
 def dashboard_levels(spark: SparkSession, sf: str) -> DataFrame:
     return audit_frame(spark, sf).rows.select(
         "deployment",
         "seq",
-        F.lit(True).alias("shown"),
         display.truncated_percent(F.col("reduction")).alias("percent"),
         display.level(F.col("reduction")).alias("level"),
     )
@@ -283,10 +282,8 @@ SELECT deployment, deployment <> 'site-2' AS before_ok, TRUE AS after_ok, deploy
 def ledger_comparison(spark: SparkSession, sf: str) -> DataFrame:
     rows = audit_frame(spark, sf).rows
     stored = L.build_ledger(L.chain(rows))
-    edited = F.when((F.col("deployment") == "site-2") & (F.col("request_tail") == 1), F.col("tokens_before") + 1000)
-    changed = rows.withColumn("request_tail", F.col("seq") % 7).withColumn(
-        "tokens_before", F.coalesce(edited, F.col("tokens_before"))
-    )
+    hit = (F.col("deployment") == "site-2") & (F.col("seq") % 7 == 1)
+    changed = rows.withColumn("tokens_before", F.col("tokens_before") + F.when(hit, 1000).otherwise(0))
     return L.compare_ledgers(stored, L.build_ledger(L.chain(changed)))
 
 
