@@ -395,7 +395,7 @@ def replay_sql(quantum: int = 0, half_life: float = 6.0, threshold: float = 0.35
     b = f"(q // {quantum}) * {quantum}" if quantum else "q"
     live = S.alive("signal", "b - 1 - pos", half_life, threshold)
     return f"""{REQUESTS}, edges AS (SELECT *, {b} AS b FROM req),
-pairs AS (SELECT e.*, s.pos, s.tok, s.fz, s.pos >= b AS frozen, s.pos >= b OR {live} AS keep
+replay_rows AS (SELECT e.*, s.pos, s.tok, s.fz, s.pos >= b AS frozen, s.pos >= b OR {live} AS keep
           FROM edges e LEFT JOIN sized s ON s.session_id = e.session_id AND s.pos < e.q),
 replayed AS (
   SELECT session_id, request_no, q AS request_pos, max(request_tokens) AS request_tokens,
@@ -403,7 +403,7 @@ replayed AS (
     coalesce(sum(CASE WHEN frozen THEN fz WHEN keep THEN tok ELSE 0 END), 0)::BIGINT AS tokens_after,
     count(*) FILTER (pos IS NOT NULL AND NOT keep) AS blocks_purged,
     count(*) FILTER (frozen) AS frozen_units
-  FROM pairs GROUP BY session_id, request_no, q)"""
+  FROM replay_rows GROUP BY session_id, request_no, q)"""
 
 
 REPLAY_COLUMNS = """session_id, request_no, request_pos, request_tokens, tokens_before, tokens_after, blocks_purged,

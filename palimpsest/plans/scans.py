@@ -17,7 +17,7 @@ from palimpsest.sources import tables
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.table(spark, sf, "documents")
+    return tables.balanced(tables.table(spark, sf, "documents"))
 
 
 def shingle_sql(words: str) -> str:
@@ -99,7 +99,7 @@ UNION ALL SELECT 'turn', text FROM conversations WHERE role = 'user'"""
 @query("effort_mix", f"""{effort_sql(EFFORT_SOURCES)}
 SELECT kind, tier, count(*) AS turns, sum(budget)::BIGINT AS budget_tokens FROM budgeted GROUP BY ALL""")
 def effort_mix(spark: SparkSession, sf: str) -> DataFrame:
-    pages = tables.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("html").alias("text"))
+    pages = tables.balanced(tables.table(spark, sf, "pages")).select(F.lit("page").alias("kind"), F.col("html").alias("text"))
     docs = documents(spark, sf).select(F.lit("document").alias("kind"), "text")
     turns = tables.table(spark, sf, "conversations").filter("role = 'user'").select(F.lit("turn").alias("kind"), "text")
     return scans.effort_mix(scans.effort(pages.unionByName(docs).unionByName(turns)), ["kind"])

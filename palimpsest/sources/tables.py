@@ -30,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a table of few input splits over all cores, for work that costs far more than its shuffle.
+
+    Tables with at least one split per core, such as any large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def conversations(spark: SparkSession, sf_dir: str, block_rows: int | None = None) -> Sessions:
     """One session per conversation; turns are dense positions."""
     rows = table(spark, sf_dir, "conversations").select(
