@@ -27,22 +27,6 @@ def two_sided_p(z: Column) -> Column:
     return F.least(erfc(F.abs(z) / F.sqrt(F.lit(2.0))), F.lit(1.0))
 
 
-def uniform(*parts: Column) -> Column:
-    """Deterministic number in [0, 1) from the hash of its parts."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
-
-
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) count for a uniform number, by inversion."""
-    out = F.lit(0)
-    mass, total = 0.36787944117144233, 0.0
-    for k in range(1, 12):
-        total += mass
-        mass /= k
-        out = out + F.when(u >= total, 1).otherwise(0)
-    return out.cast("bigint")
-
-
 def exact_signed_rank(limit: int = 50) -> list[tuple[int, float, float]]:
     """(n, w, two-sided p) of the signed-rank statistic without ties, for n up to `limit`.
 

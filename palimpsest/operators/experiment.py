@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import stats
 from palimpsest.functions.energy import saved_columns, watt_hours
+from palimpsest.functions.text import bind
 from palimpsest.operators.selection import exact_medians
 
 BASELINE = "baseline"
@@ -319,14 +320,14 @@ def wilcoxon(pairs: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 
 
 def bootstrap_ci(values: DataFrame, by: Sequence[str], value: str, row_key: Sequence[str], *, replicates: int = 10_000,
-                 seed: int = 7, statistic: str = "mean", pool: int = 4096) -> DataFrame:
+                 seed: int = 7, statistic: str = "mean", pool: int = 1024) -> DataFrame:
     """95 % bootstrap interval (2.5 and 97.5 percentiles) of the mean or median of each group.
 
-    Every row draws a Poisson(1) weight per replicate from a hash of its key, so nothing is random,
-    shuffled or joined: replicates are weighted sums that combine on the map side. For the mean, groups
-    with more than `pool` rows are first summed into `pool` buckets by the hash of the row key; the
-    buckets are resampled whole, so the cost no longer grows with the group while every row counts. The
-    median of a larger group comes from the binomial limits of its order statistics.
+    A replicate draws as many entries as the group has, each picked by a seeded hash of (draw,
+    replicate): no random state, the same result on every run. Entries are rows, in an array of at most
+    `pool` per group. For the mean, larger groups are first summed into `pool` buckets by the hash of the
+    row key, and whole buckets are resampled: every row counts, and the cost stops growing. The median
+    of a larger group comes from the binomial limits of its order statistics.
     """
     if statistic not in ("mean", "median"):
         raise ValueError("statistic must be mean or median")
@@ -336,13 +337,8 @@ def bootstrap_ci(values: DataFrame, by: Sequence[str], value: str, row_key: Sequ
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sized = rows.join(sizes, by)
     large = F.col("_n") > pool
-    replicate = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r")
     if statistic == "median":
-        draws = sized.filter(~large).select(*by, "_x", "_key", replicate)
-        weight = stats.poisson_one(stats.uniform(F.col("_key"), F.col("_r"), F.lit(seed)))
-        weighted = draws.withColumn("_w", weight).filter(F.col("_w") > 0)
-        estimates = weighted.groupBy(*by, "_r").agg(F.percentile("_x", 0.5, F.col("_w")).alias("_e"))
-        small_ci = _interval(estimates, by)
+        entries = sized.filter(~large)
         grid = [i / 1000 for i in range(1001)]
         quantiles = sized.filter(large).groupBy(*by).agg(
             F.percentile_approx("_x", grid, 1_000_000).alias("_q"), F.first("_n").alias("_n")
@@ -353,18 +349,36 @@ def bootstrap_ci(values: DataFrame, by: Sequence[str], value: str, row_key: Sequ
             F.get("_q", F.floor((0.5 - half) * 1000).cast("int")).alias("ci_low"),
             F.get("_q", F.ceil((0.5 + half) * 1000).cast("int")).alias("ci_high"),
         )
-        return small_ci.unionByName(large_ci)
+        return _resampled(entries.withColumn("_c", F.lit(1)), by, statistic, replicates, seed).unionByName(large_ci)
     bucket = F.when(large, F.pmod(F.col("_key"), F.lit(pool))).otherwise(F.col("_key"))
-    pooled = sized.groupBy(*by, bucket.alias("_b")).agg(F.sum("_x").alias("_x"), F.count(F.lit(1)).alias("_c"))
-    draws = pooled.select(*by, "_x", "_c", "_b", replicate)
-    weight = stats.poisson_one(stats.uniform(F.col("_b"), F.col("_r"), F.lit(seed)))
-    estimates = (
-        draws.withColumn("_w", weight)
-        .groupBy(*by, "_r")
-        .agg(F.sum(F.col("_w") * F.col("_x")).alias("_s"), F.sum(F.col("_w") * F.col("_c")).alias("_t"))
-        .filter(F.col("_t") > 0)
-        .withColumn("_e", F.col("_s") / F.col("_t"))
+    pooled = sized.groupBy(*by, bucket.alias("_key")).agg(F.sum("_x").alias("_x"), F.count(F.lit(1)).alias("_c"))
+    return _resampled(pooled, by, statistic, replicates, seed)
+
+
+def _resampled(entries: DataFrame, by: list[str], statistic: str, replicates: int, seed: int) -> DataFrame:
+    """Interval from resampling the entries (_key, _x, _c) of each group."""
+    arrays = entries.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_key", "_x", "_c"))).alias("_e"))
+    n = F.size("_e")
+    draws = arrays.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    picked = F.transform(
+        F.sequence(F.lit(1), n),
+        lambda j: F.get(F.col("_e"), F.pmod(F.xxhash64(j, F.col("_r"), F.lit(seed)), n.cast("bigint")).cast("int")),
     )
+
+    def middle(sample: Column) -> Column:
+        ordered = F.array_sort(F.transform(sample, lambda e: e["_x"]))
+        return bind(
+            ordered,
+            lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2.0,
+        )
+
+    def mean(sample: Column) -> Column:
+        def total(field: str) -> Column:
+            return F.aggregate(sample, F.lit(0.0), lambda acc, e: acc + e[field])
+
+        return total("_x") / total("_c")
+
+    estimates = draws.select(*by, bind(picked, middle if statistic == "median" else mean).alias("_e"))
     return _interval(estimates, by)
 
 

@@ -47,28 +47,29 @@ def _canonical(model, prev_hash, tokens_after, tokens_before, ts) -> bytes:
 def chain(audit: DataFrame, keys: Sequence[str] = ("deployment",), *, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Add segment, prev_hash and hash. `seq` is unique per key.
 
-    The hash of a row feeds the next one, which no built-in window can express; segments are streamed
+    An optional column `resume` holds the hash after which the segment continues. The hash of a row feeds the next one, which no built-in window can express; segments are streamed
     in order in Arrow batches, so a task holds one batch and one hash.
     """
     segmented = audit.withColumn("segment", F.floor(F.col("seq") / segment_rows).cast("bigint"))
     cells = [*keys, "segment"]
-    narrow = segmented.select(*cells, "seq", "ts", "model", "tokens_before", "tokens_after")
-    schema = pa.schema([("seq", pa.int64()), ("prev_hash", pa.string()), ("hash", pa.string())])
-
+    resume = F.col("resume") if "resume" in audit.columns else F.lit(None).cast("string")
+    narrow = segmented.select(*cells, "seq", "ts", "model", "tokens_before", "tokens_after", resume.alias("resume"))
     def link(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev = GENESIS
+        prev = None
         for batch in batches:
+            if prev is None:
+                prev = batch.column("resume")[0].as_py() or GENESIS
             rows = zip(*(batch.column(c).to_pylist() for c in ("model", "tokens_after", "tokens_before", "ts")))
             before, after = [], []
             for model, tokens_after, tokens_before, ts in rows:
                 before.append(prev)
                 prev = hashlib.sha256(_canonical(model, prev, tokens_after, tokens_before, ts)).hexdigest()
                 after.append(prev)
-            columns = [batch.column(c) for c in batch.schema.names]
-            names = [*batch.schema.names, "prev_hash", "hash"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, schema.field(1).type), pa.array(after, schema.field(2).type)], names=names)
+            kept = [n for n in batch.schema.names if n != "resume"]
+            columns = [batch.column(n) for n in kept] + [pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "prev_hash", "hash"])
 
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != "resume")
     return (
         narrow.repartition(*cells)
         .sortWithinPartitions(*cells, "seq")

@@ -5,7 +5,7 @@ from palimpsest.plans import registry
 
 def load() -> None:
     """Import every plan module; each registers its queries."""
-    from palimpsest.plans import audits, experiments, pruning, scans, signals  # noqa: F401
+    from palimpsest.plans import audits, experiments, pruning, scans, signals, streams  # noqa: F401
 
 
 __all__ = ["load", "registry"]

@@ -338,7 +338,7 @@ def bootstrap_mean_ci(spark: SparkSession, sf: str) -> DataFrame:
 @query("bootstrap_median_ci")
 def bootstrap_median_ci(spark: SparkSession, sf: str) -> DataFrame:
     return X.bootstrap_ci(
-        reduction_values(spark, sf), ["model"], "reduction_pct", ["model", "task", "rep"], statistic="median", replicates=2000
+        reduction_values(spark, sf), ["model"], "reduction_pct", ["model", "task", "rep"], statistic="median"
     )
 
 
