@@ -122,10 +122,8 @@ def cost_curve(cells: DataFrame, calls: int = 30) -> DataFrame:
 def step_medians(rows: DataFrame, *, large: bool = False) -> DataFrame:
     """Median cost and prompt size per model, arm and step of the growing study."""
     by = ["model", "arm", "step"]
-    medians = exact_medians(
-        rows, by, {"median_cost": F.col("cost_usd"), "median_tokens": F.col("prompt_tokens")}, large=large
-    )
-    return medians.join(rows.groupBy(*by).agg(F.max("history_turns").alias("history_turns")), by)
+    medians = {"median_cost": F.col("cost_usd"), "median_tokens": F.col("prompt_tokens")}
+    return exact_medians(rows, by, medians, large=large, also=[F.max("history_turns").alias("history_turns")])
 
 
 def cumulative_costs(medians: DataFrame) -> DataFrame:

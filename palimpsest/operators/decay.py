@@ -12,6 +12,7 @@ from palimpsest import config as C
 from palimpsest.config import BLOCK_ROWS
 from palimpsest.functions import text as T
 from palimpsest.functions.classes import has_flag, weight_of
+from palimpsest.operators.lineage import cut
 from palimpsest.operators.sequence import Layout, number_rows
 
 KEYS = ["session_id"]
@@ -118,6 +119,8 @@ def state_list(facts: DataFrame, capacity: int = STATE_CAPACITY, block_rows: int
     `capacity` strings, never the session.
     """
     capacity = max(int(capacity), 1)
+    # Read several times below; narrow, and stored once instead of derived again each time.
+    facts = cut(facts.select(*KEYS, "ord", "fact"))
     firsts = facts.groupBy(*KEYS, "fact").agg(F.min("ord").alias("ord"))
     # Distinct facts are numbered in order; in a run of neighbours, rank and ord stay in step.
     first_rows = number_rows(firsts.withColumnRenamed("ord", "at"), KEYS, "at", block_rows, "ord")

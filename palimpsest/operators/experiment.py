@@ -102,23 +102,18 @@ def stale_breakdown(pairs: DataFrame) -> DataFrame:
 def chart_stats(pairs: DataFrame, *, large: bool = False) -> DataFrame:
     """Medians per model (interpolated), mean tokens saved and success rates."""
     a, b = F.col("a"), F.col("b")
-    means = pairs.groupBy("model").agg(
+    means = [
         F.count(F.lit(1)).alias("n_pairs"),
         rate(a["success"]).alias("success_a"),
         rate(b["success"]).alias("success_b"),
         F.avg(a["input_tokens"] - b["input_tokens"]).alias("mean_input_saved"),
-    )
-    medians = exact_medians(
-        pairs,
-        ["model"],
-        {
-            "median_a": a["input_tokens"],
-            "median_b": b["input_tokens"],
-            "median_reduction_pct": input_reduction_pct(pairs),
-        },
-        large=large,
-    )
-    return means.join(medians, "model")
+    ]
+    medians = {
+        "median_a": a["input_tokens"],
+        "median_b": b["input_tokens"],
+        "median_reduction_pct": input_reduction_pct(pairs),
+    }
+    return exact_medians(pairs, ["model"], medians, large=large, also=means)
 
 
 def usd_per_thousand(stats_frame: DataFrame, roster: DataFrame) -> DataFrame:
@@ -281,29 +276,29 @@ def wilcoxon(pairs: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     diff = F.col("a.input_tokens") - F.col("b.input_tokens")
     # Arms that agree within these tolerances everywhere count as equal.
     close = F.abs(diff) <= 1e-8 + 1e-5 * F.abs(F.col("b.input_tokens"))
-    signed = pairs.select(*by, diff.alias("_d"), close.alias("_close"))
-    sizes = signed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.bool_and("_close").alias("_equal"))
-    nonzero = signed.filter(F.col("_d") != 0).withColumn("_abs", F.abs("_d"))
-    counts = nonzero.groupBy(*by, "_abs").agg(
-        F.count(F.lit(1)).alias("ties"), F.count_if(F.col("_d") > 0).alias("_up")
+    counts = (
+        pairs.select(*by, F.abs(diff).alias("_abs"), (diff > 0).alias("_positive"), close.alias("_close"))
+        .groupBy(*by, "_abs")
+        .agg(F.count(F.lit(1)).alias("ties"), F.count_if("_positive").alias("_up"), F.bool_and("_close").alias("_close"))
     )
     w = Window.partitionBy(*by).orderBy("_abs").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("ties").over(w), F.lit(0)) + (F.col("ties") + 1) / 2.0
-    sums = (
-        counts.withColumn("_rank", rank)
-        .groupBy(*by)
-        .agg(
-            F.sum("ties").alias("n"),
-            F.sum(F.col("_rank") * F.col("_up")).alias("_plus"),
-            F.sum(F.col("_rank") * (F.col("ties") - F.col("_up"))).alias("_minus"),
-            F.sum(F.pow("ties", F.lit(3.0)) - F.col("ties")).alias("_tie"),
-        )
+    real = F.col("_abs") > 0
+    below = F.coalesce(F.sum(F.when(real, F.col("ties"))).over(w), F.lit(0))
+    ranked = counts.withColumn("_rank", F.when(real, below + (F.col("ties") + 1) / 2.0))
+    down = F.col("ties") - F.col("_up")
+    tested = ranked.groupBy(*by).agg(
+        F.sum("ties").alias("n_pairs"),
+        F.bool_and("_close").alias("_equal"),
+        F.sum(F.when(real, F.col("ties"))).alias("n"),
+        F.sum(F.col("_rank") * F.col("_up")).alias("_plus"),
+        F.sum(F.col("_rank") * F.when(real, down)).alias("_minus"),
+        F.sum(F.when(real, F.pow("ties", F.lit(3.0)) - F.col("ties"))).alias("_tie"),
     )
+    tested = tested.withColumn("_ok", (F.col("n_pairs") >= 2) & ~F.col("_equal"))
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4.0
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_tie") / 48.0)
     stat = F.least("_plus", "_minus")
-    tested = sizes.join(sums, by, "left").withColumn("_ok", (F.col("n_pairs") >= 2) & ~F.col("_equal"))
     tested = tested.withColumns(
         {
             "statistic": F.when(F.col("_ok"), stat),

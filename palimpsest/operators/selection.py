@@ -19,8 +19,9 @@ def may_be_large(source: DataFrame, limit: int = BUFFERED_ROWS) -> bool:
     return source.count() > limit
 
 
-def exact_medians(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], *, large: bool = False) -> DataFrame:
-    """Interpolated medians per group.
+def exact_medians(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], *, large: bool = False,
+                  also: Sequence[Column] = ()) -> DataFrame:
+    """Interpolated medians per group, next to the aggregates in `also`.
 
     The built-in percentile keeps every distinct value of a group in one buffer. For `large` groups the
     median is bracketed by a sketch instead (rank error 1e-5 of the group), rows below the bracket are
@@ -28,8 +29,8 @@ def exact_medians(df: DataFrame, by: Sequence[str], values: Mapping[str, Column]
     """
     by = list(by)
     if not large:
-        return df.groupBy(*by).agg(*[F.percentile(v, 0.5).alias(n) for n, v in values.items()])
-    out = df.select(*by).distinct()
+        return df.groupBy(*by).agg(*also, *[F.percentile(v, 0.5).alias(n) for n, v in values.items()])
+    out = df.groupBy(*by).agg(*also) if also else df.select(*by).distinct()
     for name, value in values.items():
         out = out.join(_bracketed_median(df, by, name, value), by, "left")
     return out

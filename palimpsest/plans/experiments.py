@@ -35,31 +35,34 @@ def raw_results(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("tokens_after") + F.col("request_tokens")).alias("input_b"),
     )
 
-    def arm(frame: DataFrame, number: int, tokens: str) -> DataFrame:
-        p, s = F.col("pos"), F.col("sid")
-        return frame.select(
-            "task",
-            "stale_ratio",
-            "model",
-            "rep",
-            (p * 1000 + s * 10).alias("ingest_seq"),
-            F.lit(False).alias("mock"),
-            F.col(tokens).alias("input_tokens"),
-            (100 + (p * 37 + number * 13) % 200).alias("output_tokens"),
-            ((p * 11 + number * 400) % 900).alias("reasoning_tokens"),
-            ((p * 7 + s * 3 + number * 5) % 10 < 8).alias("success"),
-            F.when((p + number) % 17 == 0, "filtered").alias("refusal"),
-            (F.col(tokens) / 1000.0 + number).alias("latency_s"),
-            F.when((p % 23 == 5) & (s % 2 == number), "timeout").alias("error"),
-            F.col("pos").alias("pos"),
-        )
-
-    rows = X.both_arms(arm(base, 0, "input_a"), arm(base, 1, "input_b"))
-    again = rows.filter(F.col("pos") % 19 == 3).withColumns(
-        {"ingest_seq": F.col("ingest_seq") + 1, "success": ~F.col("success"), "output_tokens": F.col("output_tokens") + 1}
+    p, s = F.col("pos"), F.col("sid")
+    arms = F.array(
+        F.struct(F.lit(X.BASELINE).alias("arm"), F.lit(0).alias("number"), F.col("input_a").alias("input_tokens")),
+        F.struct(F.lit(X.TREATED).alias("arm"), F.lit(1).alias("number"), F.col("input_b").alias("input_tokens")),
+    )
+    # Some rows were logged twice; the second version supersedes the first.
+    versions = F.when(p % 19 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = base.withColumn("arms", F.explode(arms)).select("*", "arms.*").withColumn("again", F.explode(versions))
+    number, again = F.col("number"), F.col("again")
+    success = (p * 7 + s * 3 + number * 5) % 10 < 8
+    output = 100 + (p * 37 + number * 13) % 200 + again
+    return rows.select(
+        "arm",
+        "task",
+        "stale_ratio",
+        "model",
+        "rep",
+        (p * 1000 + s * 10 + again).alias("ingest_seq"),
+        F.lit(False).alias("mock"),
+        "input_tokens",
+        output.alias("output_tokens"),
+        ((p * 11 + number * 400) % 900).alias("reasoning_tokens"),
+        F.when(again == 1, ~success).otherwise(success).alias("success"),
+        F.when((p + number) % 17 == 0, "filtered").alias("refusal"),
+        (F.col("input_tokens") / 1000.0 + number).alias("latency_s"),
+        F.when((p % 23 == 5) & (s % 2 == number), "timeout").alias("error"),
+        (F.col("input_tokens") / 1e6 * 3.0 + output / 1e6 * 15.0).alias("cost_usd"),
     )
-    priced = rows.unionByName(again).drop("pos")
-    return priced.withColumn("cost_usd", F.col("input_tokens") / 1e6 * 3.0 + F.col("output_tokens") / 1e6 * 15.0)
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:

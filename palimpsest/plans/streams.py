@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import repair
+from palimpsest.plans import sqltext as S
 from palimpsest.plans.audits import AUDIT, CHAIN, audit_frame
 from palimpsest.plans.pruning import rounded
 from palimpsest.plans.registry import query
@@ -53,10 +54,10 @@ def stream_model_totals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(latest_to_table(audit_stream.live_model_totals(stream), "models"), "reduction")
 
 
-@query("stream_request_rate", f"""{AUDIT}, t AS (SELECT strptime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM audit),
-w AS (SELECT to_timestamp(floor(epoch(at) / 5)::BIGINT * 5 - k * 5)::TIMESTAMP AS window_start, at FROM t, range(0, 12) r(k)),
-g AS (SELECT window_start, window_start + INTERVAL 60 SECOND AS window_end, count(*) AS requests FROM w GROUP BY ALL)
-SELECT epoch(window_start)::BIGINT AS start_s, requests FROM g WHERE window_end <= (SELECT max(at) - INTERVAL 10 SECOND FROM t)""")
+@query("stream_request_rate", f"""{AUDIT}, t AS (SELECT epoch(strptime(ts, '%Y-%m-%dT%H:%M:%S'))::BIGINT AS second FROM audit),
+w AS (SELECT second // 5 * 5 - k * 5 AS start_s FROM t, range(0, 12) r(k)),
+g AS (SELECT start_s, count(*) AS requests FROM w GROUP BY start_s)
+SELECT start_s, requests FROM g WHERE start_s + 60 <= (SELECT max(second) - 10 FROM t)""")
 def stream_request_rate(spark: SparkSession, sf: str) -> DataFrame:
     stream = audit_stream.follow_audit(spark, audit_folder(spark, sf))
     rows = append_to_table(audit_stream.request_rate(stream), "rate")
@@ -133,7 +134,16 @@ def stream_session_pruning(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("protocol_repair")
+@query("protocol_repair", f"""WITH RECURSIVE {S.EVENTS}, l AS (
+  SELECT session_id, pos, CASE WHEN event_type = 'error' THEN 'user' ELSE role END AS role, event_type = 'click' AS has_use,
+    event_type = 'error' AS has_result, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS i FROM ev WHERE event_id % 3 <> 0),
+walk AS (SELECT DISTINCT session_id, 0::BIGINT AS i, FALSE AS started, NULL::VARCHAR AS prev_role, FALSE AS prev_use, FALSE AS kept FROM l
+  UNION ALL SELECT l.session_id, l.i, w.started OR k.keep, CASE WHEN k.keep THEN l.role ELSE w.prev_role END,
+    CASE WHEN k.keep THEN l.has_use ELSE w.prev_use END, k.keep
+  FROM walk w JOIN l ON l.session_id = w.session_id AND l.i = w.i + 1,
+    LATERAL (SELECT (w.started OR l.role = 'user') AND (NOT l.has_result OR (coalesce(w.prev_role, '') = 'assistant' AND w.prev_use)) AS keep) k),
+o AS (SELECT l.*, lead(has_result) OVER (PARTITION BY session_id ORDER BY i) AS answered FROM l JOIN walk USING (session_id, i) WHERE kept)
+SELECT session_id, pos, role, has_use, has_result FROM o WHERE NOT (role = 'assistant' AND has_use AND NOT coalesce(answered, FALSE))""")
 def protocol_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Event sessions with two thirds of the rows left, made protocol-valid again."""
     sessions = tables.event_sessions(spark, sf)
