@@ -31,7 +31,7 @@ def _cutoffs(cfg: PruneConfig) -> list[int]:
 def prefix_states(messages: DataFrame, cfg: PruneConfig, *, inclusive: bool) -> DataFrame:
     """Per row: sizes of the prefix that ends at it (inclusive) or just before it, full and pruned.
 
-    Input columns: session_id, pos, role, signal, text. Output adds full, kept (tokens), kept_rows
+    Input columns: session_id, pos, role, signal, and tokens and frozen_tokens or text. Output adds full, kept (tokens), kept_rows
     and frozen_full (characters div 4).
     """
     if cfg.stable_prefix < 0:
@@ -43,8 +43,8 @@ def prefix_states(messages: DataFrame, cfg: PruneConfig, *, inclusive: bool) ->
         "pos",
         "role",
         cut.alias("cut"),
-        T.token_size(F.col("text")).alias("tok"),
-        T.char_quarter(F.col("text")).alias("frozen"),
+        (F.col("tokens") if "tokens" in messages.columns else T.token_size(F.col("text"))).alias("tok"),
+        (F.col("frozen_tokens") if "frozen_tokens" in messages.columns else T.char_quarter(F.col("text"))).alias("frozen"),
     )
     layout = Layout(KEYS, "pos", cfg.block_rows)
     always = F.col("cut").isNull()

@@ -24,6 +24,7 @@ from palimpsest.plans.pruning import (
 from palimpsest.plans.registry import query
 from palimpsest.sources import audit_log as log
 from palimpsest.sources import tables, unit_store
+from palimpsest.streaming.sinks import scratch
 
 MODELS = [m for m, *_ in dims.ROSTER]
 MODELS_SQL = "[" + ", ".join(f"'{m}'" for m in MODELS) + "]"
@@ -31,7 +32,10 @@ BASE_SECONDS = 1767225600
 
 
 def audit_frame(spark: SparkSession, sf: str) -> tables.Sessions:
-    """The audit log that the replayed requests of the long sessions would have left."""
+    """The audit log that the replayed requests of the long sessions would have left.
+
+    A deployment holds at most four of the ten sessions, so it fits a task whenever they do.
+    """
     sessions = long_signals(spark, sf)
     requests = replay.replay_requests(sessions.rows, sessions.config())
     seq = F.col("request_no") * 10 + F.col("session_id")
@@ -149,7 +153,7 @@ ESTIMATE_NAMES = [f"{p}_{b}" for p in ("wh", "gco2e") for b in BOUNDS]
 
 
 @query("saving_estimates", f"""{AUDIT}, t AS (SELECT deployment, {ROLLUP} FROM audit GROUP BY deployment)
-SELECT *, {ESTIMATES_SQL}, round(tokens_saved / 1e6 * 2.0, 6) AS usd_avoided FROM t""")
+SELECT *, {ESTIMATES_SQL}, CASE WHEN tokens_saved > 0 THEN round(tokens_saved / 1e6 * 2.0, 6) END AS usd_avoided FROM t""")
 def saving_estimates(spark: SparkSession, sf: str) -> DataFrame:
     totals = A.rollup(audit_frame(spark, sf).rows, ["deployment"])
     return rounded(A.estimates(totals, price_in=2.0), "reduction", "usd_avoided", *ESTIMATE_NAMES)
@@ -268,7 +272,7 @@ LEDGER = f"""{CHAIN}, s AS (
 
 @query("carbon_ledger", f"""{LEDGER}
 SELECT deployment, requests, before, after, tokens_saved AS saved, round(100.0 * (1 - after / before), 4) AS input_reduction_pct,
-  round(tokens_saved / 1e6 * 2.0, 6) AS usd_input_avoided, {ESTIMATES_SQL.replace('445.0', '100.0')}, chain_head,
+  CASE WHEN tokens_saved > 0 THEN round(tokens_saved / 1e6 * 2.0, 6) END AS usd_input_avoided, {ESTIMATES_SQL.replace('445.0', '100.0')}, chain_head,
   1::BIGINT AS segments, 'carbon_ledger/1' AS schema, '2026-01' AS period, 'br' AS grid, 100.0::DOUBLE AS grid_g_per_kwh,
   'esg-1.0' AS coefficient_version FROM s""")
 def carbon_ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,6 +291,19 @@ def ledger_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return L.compare_ledgers(stored, L.build_ledger(L.chain(changed)))
 
 
+@query("ledger_documents", f"""{LEDGER}
+SELECT deployment, before, after, tokens_saved AS saved, round(tokens_saved / 1e6 * 0.9 * 1000.0, 6) AS wh_mid, chain_head, 'world' AS grid FROM s""")
+def ledger_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Ledgers written as JSON documents and read back."""
+    path = scratch(spark, "ledger")
+    built = L.build_ledger(L.chain(audit_frame(spark, sf).rows))
+    L.write_ledger(built, path)
+    back = spark.read.schema(L.ledger_documents(built).schema).json(path)
+    return back.select(
+        "deployment", "tokens.before", "tokens.after", "tokens.saved", F.round(F.get("wh_avoided", F.lit(1)), 6).alias("wh_mid"), "chain_head", "grid"
+    )
+
+
 PURGED_UNITS = f"""{zoned_sql(0, "0", 6.0, 0.35)}, docs AS (
   SELECT d.session_id, d.unit_id::BIGINT AS unit_id,
     '[' || string_agg('{{"content":' || to_json(u.text) || ',"role":"' || u.role || '"}}', ',' ORDER BY u.pos) || ']' AS unit

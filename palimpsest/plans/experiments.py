@@ -14,7 +14,8 @@ from palimpsest.plans.audits import MODELS, MODELS_SQL
 from palimpsest.plans.pruning import long_signals, replay_sql, rounded
 from palimpsest.plans.registry import query
 from palimpsest.sources import tables
-from palimpsest.sources.experiment_rows import valid_rows
+from palimpsest.sources.experiment_rows import read_results, read_summary, valid_rows
+from palimpsest.streaming.sinks import scratch
 
 STALE = ["high", "medium", "low"]
 
@@ -309,13 +310,14 @@ def signed_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return X.average_ranks(diffs.filter("diff <> 0"), ["model"], "diff")
 
 
-WILCOXON = f"""{PAIRS}, d AS (SELECT model, ain - bin AS d, abs(ain - bin) AS ad FROM pairs),
-sz AS (SELECT model, count(*) AS n_pairs FROM d GROUP BY model),
+WILCOXON = f"""{PAIRS}, d AS (SELECT model, bin, ain - bin AS d, abs(ain - bin) AS ad FROM pairs),
+sz AS (SELECT model, count(*) AS n_pairs, count(*) >= 2 AND NOT bool_and(abs(d) <= 1e-8 + 1e-5 * bin) AS ok FROM d GROUP BY model),
 r AS (SELECT model, d, ad, rank() OVER (PARTITION BY model ORDER BY ad) + (count(*) OVER (PARTITION BY model, ad) - 1) / 2.0 AS rk FROM d WHERE d <> 0),
 tie AS (SELECT model, sum(t * t * t - t) AS ties FROM (SELECT model, ad, count(*)::DOUBLE AS t FROM r GROUP BY model, ad) GROUP BY model),
 s AS (SELECT model, count(*) AS n, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0))::DOUBLE AS w FROM r GROUP BY model),
-z AS (SELECT model, n_pairs, n, w, ties, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z
-      FROM sz JOIN s USING (model) JOIN tie USING (model))"""
+z AS (SELECT model, n_pairs, coalesce(n, 0) AS n, CASE WHEN ok THEN w END AS w,
+        CASE WHEN ok THEN (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) END AS z
+      FROM sz LEFT JOIN s USING (model) LEFT JOIN tie USING (model))"""
 
 
 @query("wilcoxon", f"{WILCOXON} SELECT model, n_pairs, n, w AS statistic, round(z, 6) AS z FROM z")
@@ -531,3 +533,31 @@ SELECT model, steps, round(ua, 8) AS usd_a, round(ub, 8) AS usd_b, ta AS last_to
 def growing_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = CS.growing_summary(CS.step_medians(growing_rows(spark, sf), large=large(spark, sf)))
     return rounded(rounded(out, "usd_a", "usd_b", places=8), "saved_pct", "token_ratio")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("arm", "model").agg(
+        F.count(F.lit(1)).alias("rows_in"), F.sum("input_tokens").alias("input_tokens"), F.count_if("success").alias("successes")
+    )
+
+
+COUNTED = f"""{RESULTS} SELECT arm, model, count(*) AS rows_in, sum(input_tokens)::BIGINT AS input_tokens, count(*) FILTER (success) AS successes
+FROM results GROUP BY ALL"""
+
+
+@query("experiment_row_scan", COUNTED)
+def experiment_row_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Result rows written as JSON lines and read back without error rows."""
+    path = scratch(spark, "results")
+    raw_results(spark, sf).write.json(path)
+    return counted(read_results(spark, path))
+
+
+@query("experiment_summary_scan", COUNTED)
+def experiment_summary_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Result rows embedded in summary documents, one per task and model."""
+    path = scratch(spark, "summaries")
+    rows = raw_results(spark, sf)
+    documents = rows.groupBy("task", "model").agg(F.collect_list(F.struct(*rows.columns)).alias("results"))
+    documents.select(F.to_json(F.struct("results")).alias("value")).write.text(path)
+    return counted(read_summary(spark, path, wholetext=False))

@@ -77,7 +77,7 @@ SELECT session_id, pos, role, tok AS tokens, CASE WHEN keep THEN 'kept' ELSE 'pu
 )
 def survivor_split(spark: SparkSession, sf: str) -> DataFrame:
     decided = prune.decide(long_signals(spark, sf).rows, PruneConfig())
-    shape = ["session_id", "pos", "role", T.token_size(F.col("text")).alias("tokens")]
+    shape = ["session_id", "pos", "role", "tokens"]
     kept = prune.survivors(decided).select(*shape, F.lit("kept").alias("fate"))
     gone = prune.purged(decided).select(*shape, F.lit("purged").alias("fate"))
     return kept.unionByName(gone)
@@ -195,8 +195,9 @@ def assembled_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def ev_flags(spark: SparkSession, sf: str) -> tables.Sessions:
     """Event sessions with the flags of call-and-tool messages; a third of the signups carry a cache mark."""
     cached = (F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0)
-    sessions = tables.event_sessions(spark, sf)
-    return sessions.with_rows(units.plain_messages(sessions.rows, has_calls=F.col("has_calls"), cached=cached))
+    return tables.event_sessions(
+        spark, sf, prepare=lambda rows: units.plain_messages(rows, has_calls=F.col("has_calls"), cached=cached)
+    )
 
 
 # Units of the event sessions: a call takes the tool rows right after it.
@@ -363,13 +364,11 @@ SELECT session_id, pos, (sum(start) OVER (PARTITION BY session_id ORDER BY pos)
 @query("paired_unit_groups", PAIR_SQL)
 def paired_unit_groups(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
-    sessions = tables.event_sessions(spark, sf)
-    rows = units.plain_messages(
-        sessions.rows,
-        has_use=kind == "click",
-        has_result=(kind == "error") | ((kind == "click") & (F.col("event_id") % 4 == 0)),
+    answered = (kind == "error") | ((kind == "click") & (F.col("event_id") % 4 == 0))
+    sessions = tables.event_sessions(
+        spark, sf, prepare=lambda rows: units.plain_messages(rows, has_use=kind == "click", has_result=answered)
     )
-    return units.paired_units(rows, sessions.config()).select("session_id", "pos", "unit_id")
+    return units.paired_units(sessions.rows, sessions.config()).select("session_id", "pos", "unit_id")
 
 
 @query(
@@ -460,3 +459,94 @@ def prefix_stability(spark: SparkSession, sf: str) -> DataFrame:
 @query("prefix_stability_quantum", stability_sql(8, 6.0, 0.2))
 def prefix_stability_quantum(spark: SparkSession, sf: str) -> DataFrame:
     return with_long(spark, sf, replay.prefix_stability, AGENT_CONFIG.with_(quantum=8))
+
+
+BLOCK_UNITS = f"""
+WITH {S.EVENTS}, f AS (
+  SELECT session_id, pos, CASE WHEN event_type = 'error' THEN 'user' ELSE role END AS role, text,
+         event_type = 'click' AS has_use, event_type = 'error' AS has_result FROM ev),
+o AS (SELECT *, has_use AND coalesce(lead(has_result) OVER w, FALSE) AS opens,
+             role = 'user' AND has_result AND coalesce(lag(has_use) OVER w, FALSE) AS answers,
+             max(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY session_id) AS last_user
+      FROM f WINDOW w AS (PARTITION BY session_id ORDER BY pos)),
+s AS (SELECT *, CASE WHEN coalesce(lag(opens) OVER (PARTITION BY session_id ORDER BY pos), FALSE) THEN 0 ELSE 1 END AS start,
+             last_user - max(CASE WHEN pos = last_user AND answers THEN 1 ELSE 0 END) OVER (PARTITION BY session_id) AS split FROM o),
+u AS (SELECT *, sum(start) OVER (PARTITION BY session_id ORDER BY pos) - 1 AS unit_id FROM s)"""
+
+
+@query("tool_answer_split", f"{BLOCK_UNITS} SELECT session_id, max(split) AS split FROM u GROUP BY session_id")
+def tool_answer_split(spark: SparkSession, sf: str) -> DataFrame:
+    sessions = block_flags(spark, sf)
+    rows = units.split_at_query(sessions.rows, sessions.config(), with_tool_answer=True)
+    return rows.groupBy("session_id").agg(F.max("split").alias("split"))
+
+
+def block_flags(spark: SparkSession, sf: str) -> tables.Sessions:
+    """Event sessions in which calls and their output are content blocks."""
+    kind = F.col("event_type")
+
+    def flags(rows: DataFrame) -> DataFrame:
+        roles = rows.withColumn("role", F.when(kind == "error", "user").otherwise(F.col("role")))
+        return units.plain_messages(roles, has_use=kind == "click", has_result=kind == "error")
+
+    return tables.event_sessions(spark, sf, prepare=flags)
+
+
+@query(
+    "blocks_surface_audit",
+    audit_sql(f"""{BLOCK_UNITS}, units AS (
+  SELECT session_id, unit_id, min(pos) AS first_pos, max(split) AS split, arg_min(role, pos) AS role,
+         bool_or(has_use OR has_result) AS is_tool, sum(strlen(text)) + count(*) - 1 AS unit_bytes,
+         sum(length(text)) + count(*) - 1 AS unit_chars FROM u GROUP BY session_id, unit_id),
+classed AS (
+  SELECT *, CASE WHEN role = 'system' THEN 1 WHEN is_tool THEN 16 WHEN role = 'assistant' THEN 4 ELSE 2 END AS signal,
+         unit_bytes // 4 + 1 AS tokens, unit_chars // 4 AS frozen_tokens,
+         count(*) FILTER (first_pos < split) OVER (PARTITION BY session_id) AS history_units FROM units),
+zoned AS (
+  SELECT *, history_units // 4 * 4 AS boundary, CASE WHEN split IS NULL THEN 'pass' WHEN first_pos >= split THEN 'tail'
+    WHEN unit_id >= history_units // 4 * 4 THEN 'frozen' WHEN unit_id < least(1, history_units // 4 * 4) THEN 'stable' ELSE 'mobile' END AS zone
+  FROM classed),
+decided AS (SELECT *, zone <> 'mobile' OR {S.alive('signal', 'boundary - 1 - unit_id', 6.0, 0.2)} AS keep FROM zoned)"""),
+)
+def blocks_surface_audit(spark: SparkSession, sf: str) -> DataFrame:
+    sessions = block_flags(spark, sf)
+    _, decided = units.gateway_plan(sessions.rows, sessions.config(AGENT_CONFIG.with_(quantum=4)), "blocks")
+    return rounded(units.unit_audit(decided), "reduction")
+
+
+@query(
+    "multimodal_sizes",
+    """WITH m AS (SELECT conv_id, turn, strlen(text) AS b, length(text) AS c, turn % 3 = 0 AS image, turn % 4 = 1 AS call FROM conversations)
+SELECT conv_id, turn, ((b + CASE WHEN image THEN 6401 ELSE 0 END + CASE WHEN call THEN 10 ELSE 0 END) // 4 + 1)::BIGINT AS tokens,
+  ((c + CASE WHEN image THEN 6401 ELSE 0 END + CASE WHEN call THEN 10 ELSE 0 END) // 4)::BIGINT AS frozen_tokens FROM m""",
+)
+def multimodal_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as structured messages: text parts, every third turn with an image, some with a tool call."""
+
+    def part(kind: str, text) -> object:
+        return F.struct(
+            F.lit(kind).alias("type"),
+            text.cast("string").alias("text"),
+            F.lit(None).cast("boolean").alias("cache_control"),
+            F.lit(None).cast("string").alias("id"),
+            F.lit(None).cast("string").alias("tool_use_id"),
+        )
+
+    image = F.col("turn") % 3 == 0
+    calls = F.array(F.struct(F.lit("1").alias("id"), F.lit('{"f": 1}x').alias("function")))
+    rows = tables.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"),
+        F.col("turn").alias("pos"),
+        "role",
+        F.when(~image, F.col("text")).alias("content"),
+        F.when(image, F.array(part("text", F.col("text")), part("image", F.lit(None)))).alias("parts"),
+        F.when(F.col("turn") % 4 == 1, calls).alias("tool_calls"),
+    )
+    flat = units.flatten_messages(rows)
+    newlines = F.greatest(F.col("size_pieces") - 1, F.lit(0))
+    return flat.select(
+        F.col("session_id").alias("conv_id"),
+        F.col("pos").alias("turn"),
+        T.token_size_of_bytes(F.col("size_bytes") + newlines).alias("tokens"),
+        F.floor((F.col("size_chars") + newlines) / 4).cast("bigint").alias("frozen_tokens"),
+    )

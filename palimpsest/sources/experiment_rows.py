@@ -25,12 +25,15 @@ def read_results(spark: SparkSession, path: str, *, drop_mock: bool = True) -> D
     return valid_rows(rows, drop_mock=drop_mock)
 
 
-def read_summary(spark: SparkSession, path: str, *, drop_mock: bool = True) -> DataFrame:
-    """JSON documents that are a list of rows, or hold one under rows, results or raw."""
+def read_summary(spark: SparkSession, path: str, *, drop_mock: bool = True, wholetext: bool = True) -> DataFrame:
+    """JSON documents that are a list of rows, or hold one under rows, results or raw.
+
+    A document is a file, or with `wholetext` off a line.
+    """
     row = PT.StructType.fromDDL(RESULT_SCHEMA)
     listed = PT.ArrayType(row)
     named = PT.StructType([PT.StructField(n, listed) for n in ("rows", "results", "raw")])
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=wholetext)
     is_list = F.startswith(F.ltrim("value"), F.lit("["))
     inside = F.from_json("value", named)
 

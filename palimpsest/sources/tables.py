@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from palimpsest import config as C
 from palimpsest.config import PruneConfig
+from palimpsest.functions import text as T
 from palimpsest.operators.sequence import dense_positions, fitting_block_rows
 
+Step = Callable[[DataFrame], DataFrame]
+
 
 @dataclass(frozen=True)
 class Sessions:
@@ -30,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_sizes(df: DataFrame) -> DataFrame:
+    """Token sizes of `text`. Taken at the scan, so that jobs which need no text do not shuffle it."""
+    return df.withColumns(
+        {"tokens": T.token_size(F.col("text")), "frozen_tokens": T.char_quarter(F.col("text"))}
+    )
+
+
 def balanced(df: DataFrame) -> DataFrame:
     """Spread a table of few input splits over all cores, for work that costs far more than its shuffle.
 
@@ -49,7 +60,7 @@ def conversations(spark: SparkSession, sf_dir: str, block_rows: int | None = Non
 
 def long_sessions(spark: SparkSession, sf_dir: str, tracks: int = 10, block_rows: int | None = None) -> Sessions:
     """Conversations chained into few long sessions, in (conversation, turn) order."""
-    rows = table(spark, sf_dir, "conversations").withColumn("session_id", F.col("conv_id") % tracks)
+    rows = with_sizes(table(spark, sf_dir, "conversations").withColumn("session_id", F.col("conv_id") % tracks))
     if block_rows is None:
         block_rows = fitting_block_rows(rows, "session_id")
     numbered = dense_positions(
@@ -60,11 +71,16 @@ def long_sessions(spark: SparkSession, sf_dir: str, tracks: int = 10, block_rows
         coarse=F.floor(F.col("conv_id") / (tracks * 4096)),
         whole=block_rows == 0,
     )
-    return Sessions(numbered.select("session_id", "pos", "n", "conv_id", "turn", "role", "text"), block_rows)
+    return Sessions(numbered.select("session_id", "pos", "n", "conv_id", "turn", "role", "tokens", "frozen_tokens", "text"), block_rows)
 
 
-def event_sessions(spark: SparkSession, sf_dir: str, block_rows: int | None = None) -> Sessions:
-    """Events of a user as an agent session: calls, tool output, thinking, user turns, facts."""
+def event_sessions(
+    spark: SparkSession, sf_dir: str, block_rows: int | None = None, prepare: Step | None = None
+) -> Sessions:
+    """Events of a user as an agent session: calls, tool output, thinking, user turns, facts.
+
+    `prepare` adds columns that depend on single rows; it runs before the rows are numbered.
+    """
     kind = F.col("event_type")
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"),
@@ -72,25 +88,6 @@ def event_sessions(spark: SparkSession, sf_dir: str, block_rows: int | None = No
         "event_id",
         "event_type",
         "value",
-        F.col("props").alias("text"),
-    )
-    if block_rows is None:
-        block_rows = fitting_block_rows(rows, "session_id")
-    numbered = dense_positions(
-        rows,
-        ["session_id"],
-        ["ts", "event_id"],
-        fine={"hour": F.floor(F.unix_seconds("ts") / 3600)},
-        coarse=F.floor(F.unix_seconds("ts") / (3600 * 24 * 32)),
-        whole=block_rows == 0,
-    ).select(
-        "session_id",
-        "pos",
-        "n",
-        "ts",
-        "event_id",
-        "event_type",
-        "value",
         F.when(kind == "error", "tool")
         .when(kind.isin("click", "view"), "assistant")
         .when(kind == "signup", "system")
@@ -103,6 +100,16 @@ def event_sessions(spark: SparkSession, sf_dir: str, block_rows: int | None = No
         .when(kind == "signup", C.FACT)
         .otherwise(C.USER)
         .alias("signal"),
-        "text",
+        F.col("props").alias("text"),
+    )
+    if block_rows is None:
+        block_rows = fitting_block_rows(rows, "session_id")
+    numbered = dense_positions(
+        rows if prepare is None else prepare(rows),
+        ["session_id"],
+        ["ts", "event_id"],
+        fine={"hour": F.floor(F.unix_seconds("ts") / 3600)},
+        coarse=F.floor(F.unix_seconds("ts") / (3600 * 24 * 32)),
+        whole=block_rows == 0,
     )
     return Sessions(numbered, block_rows)
