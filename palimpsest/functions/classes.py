@@ -54,7 +54,7 @@ def looks_durable(text: Column) -> Column:
 
 
 def is_tagged_fact(text: Column) -> Column:
-    return F.startswith(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""), F.lit("FACT:"))
+    return F.coalesce(text.rlike(r"(?U)^\s*FACT:"), F.lit(False))
 
 
 def class_of_unit(role: Column, pinned: Column, is_tool: Column, durable: Column) -> Column:

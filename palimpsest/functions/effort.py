@@ -68,19 +68,49 @@ def _removed(text: Column, characters: str) -> Column:
 
 
 def effort_signals(text: Column) -> Column:
-    """Struct of the raw counts."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    pieces = T.words(lowered)
-    return F.struct(
-        F.size(pieces).cast("bigint").alias("words"),
-        F.size(F.array_distinct(pieces)).cast("bigint").alias("distinct_words"),
-        (_hits(lowered, CODE_WORDS) + F.floor(_removed(lowered, CODE_CHARS) / 6).cast("bigint")).alias("code_hits"),
-        _removed(lowered, "0123456789").alias("digits"),
-        F.octet_length(lowered).cast("bigint").alias("bytes"),
-        _hits(lowered, HARD_WORDS, HARD_STEMS).alias("hard_hits"),
-        _hits(lowered, CONSTRAINT_WORDS).alias("constraint_hits"),
-        _hits(lowered, TRIVIAL_WORDS).alias("trivial_hits"),
-    )
+    """Struct of the raw counts. The text is lowered and split once."""
+
+    def counts(lowered: Column) -> Column:
+        code = _hits(lowered, CODE_WORDS) + F.floor(_removed(lowered, CODE_CHARS) / 6).cast("bigint")
+        return T.bind(
+            T.words(lowered),
+            lambda pieces: F.struct(
+                F.size(pieces).cast("bigint").alias("words"),
+                F.size(F.array_distinct(pieces)).cast("bigint").alias("distinct_words"),
+                code.alias("code_hits"),
+                _removed(lowered, "0123456789").alias("digits"),
+                F.octet_length(lowered).cast("bigint").alias("bytes"),
+                _hits(lowered, HARD_WORDS, HARD_STEMS).alias("hard_hits"),
+                _hits(lowered, CONSTRAINT_WORDS).alias("constraint_hits"),
+                _hits(lowered, TRIVIAL_WORDS).alias("trivial_hits"),
+            ),
+        )
+
+    return T.bind(F.lower(F.coalesce(text, F.lit(""))), counts)
+
+
+def effort_of(text: Column) -> Column:
+    """Struct of signals, score, tier and budget_tokens.
+
+    The counts are bound, since a plain struct column would be taken apart by the optimizer and every
+    use of a count would scan the text again.
+    """
+
+    def scored(signals: Column) -> Column:
+        return T.bind(
+            effort_score(signals),
+            lambda score: T.bind(
+                effort_tier(score, signals),
+                lambda tier: F.struct(
+                    signals.alias("signals"),
+                    score.alias("score"),
+                    tier.alias("tier"),
+                    budget_of(tier).alias("budget_tokens"),
+                ),
+            ),
+        )
+
+    return T.bind(effort_signals(text), scored)
 
 
 def effort_score(signals: Column) -> Column:

@@ -83,11 +83,3 @@ def one_line_digest(text: Column, limit: int = 120) -> Column:
     return F.when(n_bytes <= cut, flat).otherwise(
         F.concat(F.decode(head.substr(F.lit(1), cut), "UTF-8"), F.lit("…"))
     )
-
-
-def contains_any(text: Column, needles: list[str]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
-        if needle:
-            found = found | F.contains(text, F.lit(needle))
-    return found

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.energy import BOUNDS, saved_columns, watt_hours
+from palimpsest.dims import GRID_G_PER_KWH
+from palimpsest.functions.energy import BOUNDS, cache_multiplier, saved_columns, watt_hours
 from palimpsest.operators.prune import reduction
 from palimpsest.operators.sequence import Layout, number_rows
 
@@ -143,15 +144,16 @@ def compare_configs(control: DataFrame, tuned: DataFrame, on: Sequence[str], mea
     )
 
 
-def deployment_projection(totals: DataFrame, grids: DataFrame, *, dispatches_per_day: float, cache_hit: float = 0.0,
+def deployment_projection(totals: DataFrame, *, dispatches_per_day: float, cache_hit: float = 0.0,
                           cache_cost: float = 0.10) -> DataFrame:
-    """Yearly MWh and t CO2e avoided per grid, from the mean saving per request; `grids` is the fixed table."""
-    from palimpsest.functions.energy import cache_multiplier
-
+    """Yearly MWh and t CO2e avoided per grid, from the mean saving per request."""
     factor = cache_multiplier(cache_hit, cache_cost)
     per_request = F.try_divide(F.col("tokens_saved").cast("double"), F.col("requests").cast("double"))
     yearly = F.floor(per_request * dispatches_per_day * 365)
-    out = totals.withColumn("tokens_per_year", yearly).crossJoin(F.broadcast(grids))
+    grids = F.array(
+        *[F.struct(F.lit(g).alias("grid"), F.lit(v).alias("g_per_kwh")) for g, v in GRID_G_PER_KWH.items()]
+    )
+    out = totals.select("*", yearly.alias("tokens_per_year"), F.inline(grids))
     return out.withColumns(
         {f"mwh_{b}": watt_hours(F.col("tokens_per_year"), b, factor) / 1e6 for b in BOUNDS}
         | {f"tco2e_{b}": watt_hours(F.col("tokens_per_year"), b, factor) / 1e9 * F.col("g_per_kwh") for b in BOUNDS}

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.dims import small
 from palimpsest.functions import stats
 from palimpsest.functions.energy import saved_columns, watt_hours
 from palimpsest.functions.text import bind
@@ -65,11 +66,11 @@ def pair_sums(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def with_prices(frame: DataFrame, roster: DataFrame) -> DataFrame:
-    return frame.join(F.broadcast(roster), "model")
+    return frame.join(small(roster), "model")
 
 
 def unpriced_models(frame: DataFrame, roster: DataFrame) -> DataFrame:
-    return frame.select("model").distinct().join(F.broadcast(roster.select("model")), "model", "left_anti")
+    return frame.select("model").distinct().join(small(roster.select("model")), "model", "left_anti")
 
 
 def model_report(pairs: DataFrame, roster: DataFrame) -> DataFrame:
@@ -233,7 +234,7 @@ def trial_medians(rows: DataFrame, by: Sequence[str], measures: Sequence[str], *
 def cost_matrix(totals: DataFrame, roster: DataFrame, *, reps: int, output_per_call: int) -> DataFrame:
     """Forecast cost of both arms per model. Totals: tasks, input_a, input_b of one sweep (one row)."""
     out_tokens = F.col("tasks") * reps * output_per_call
-    each = totals.crossJoin(F.broadcast(roster))
+    each = totals.crossJoin(small(roster))
 
     def cost(tokens: str) -> Column:
         return F.col(tokens) * reps / 1e6 * F.col("price_in") + out_tokens / 1e6 * F.col("price_out")

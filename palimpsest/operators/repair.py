@@ -7,6 +7,9 @@ next kept row answers one of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ def _paired_results(rows: DataFrame, layout: Layout) -> DataFrame:
 
     In a run, the first row that fits the delimiter before it stays. Unless that row is itself an
     assistant row it cannot back the rest of the run, which falls. Only runs where an assistant row
-    carries results need the ordered fold, and only those are collected.
+    carries results need the ordered scan.
     """
     giver = F.when(
         ~F.col("has_result"),
@@ -57,40 +60,41 @@ def _paired_results(rows: DataFrame, layout: Layout) -> DataFrame:
         (F.col("pos") == F.col("_first_fit")).alias("_ok"),
     )
     plain = simple.filter(~F.col("_chained") & F.col("_ok")).select(*KEYS, "pos")
-    step = F.struct("pos", "role", "use_ids", "result_ids")
-    chained = (
-        simple.filter("_chained")
-        .groupBy(*KEYS, "_run_at")
-        .agg(F.array_sort(F.collect_list(step)).alias("_steps"), F.first("_run").alias("_run"))
-        .select(*KEYS, F.explode(_walk(F.col("_steps"), F.col("_run"))).alias("pos"))
-    )
-    stay = plain.unionByName(chained)
+    stay = plain.unionByName(_walk(simple.filter("_chained")))
     return (
         rows.filter(~F.col("has_result"))
         .unionByName(rows.filter("has_result").join(stay, [*KEYS, "pos"], "left_semi").select(rows.columns))
     )
 
 
-def _walk(steps: Column, giver: Column) -> Column:
-    """Positions kept by the ordered scan of one run."""
-    start = F.struct(
-        giver["role"].alias("role"),
-        giver["use_ids"].alias("use_ids"),
-        F.array().cast("array<bigint>").alias("kept"),
+def _walk(rows: DataFrame) -> DataFrame:
+    """Positions kept by the ordered scan of runs, streamed: the state is the last kept row."""
+    cells = [*KEYS, "_run_at"]
+    narrow = rows.select(
+        *cells, "pos", "role", "use_ids", "result_ids",
+        F.col("_run.role").alias("start_role"), F.col("_run.use_ids").alias("start_ids"),
     )
 
-    def advance(state: Column, row: Column) -> Column:
-        fits = F.coalesce(_fits(row["result_ids"], state), F.lit(False))
-        return F.when(
-            fits,
-            F.struct(
-                row["role"].alias("role"),
-                row["use_ids"].alias("use_ids"),
-                F.concat(state["kept"], F.array(row["pos"])).alias("kept"),
-            ),
-        ).otherwise(state)
-
-    return F.aggregate(steps, start, advance, lambda state: state["kept"])
+    def scan(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        role, uses = None, None
+        for batch in batches:
+            kept = []
+            for row in batch.to_pylist():
+                if uses is None:
+                    role, uses = row["start_role"], set(row["start_ids"] or [])
+                if role == "assistant" and set(row["result_ids"]) <= uses:
+                    role, uses = row["role"], set(row["use_ids"])
+                    kept.append(row["pos"])
+            session = pa.array([key[0].as_py()] * len(kept), type=key[0].type)
+            yield pa.RecordBatch.from_arrays([session, pa.array(kept, pa.int64())], names=["session_id", "pos"])
+
+    key_type = rows.schema["session_id"].dataType.simpleString()
+    return (
+        narrow.repartition(*cells)
+        .sortWithinPartitions(*cells, "pos")
+        .groupBy(*cells)
+        .applyInArrow(scan, f"session_id {key_type}, pos bigint")
+    )
 
 
 def _answered_uses(rows: DataFrame, layout: Layout) -> DataFrame:

@@ -85,10 +85,8 @@ def session_flood(messages: DataFrame, keys: Sequence[str], *, window: int = 8,
 
 def effort(texts: DataFrame) -> DataFrame:
     """signals, score, tier and budget of the column `text`."""
-    scored = texts.withColumn("signals", E.effort_signals(F.col("text")))
-    scored = scored.withColumn("score", E.effort_score(F.col("signals")))
-    tiered = scored.withColumn("tier", E.effort_tier(F.col("score"), F.col("signals")))
-    return tiered.withColumn("budget_tokens", E.budget_of(F.col("tier")))
+    scored = texts.withColumn("_effort", E.effort_of(F.col("text")))
+    return scored.select(*texts.columns, "_effort.*")
 
 
 def effort_mix(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,10 +45,14 @@ def snapshot(levels: DataFrame, by: Sequence[str] = (), channels: int = MAX_CHAN
     )
 
 
-def sense(levels: DataFrame, masks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Level per mask: sum over its channels. `masks` (mask_id, mask) is a short list from the caller."""
-    hit = F.getbit(F.col("mask").cast("bigint"), F.col("channel")) == 1
-    return levels.join(F.broadcast(masks)).groupBy(*by, "mask_id").agg(
+def sense(levels: DataFrame, masks: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
+    """Level per named mask: sum over its channels."""
+    named = F.array(
+        *[F.struct(F.lit(n).alias("mask_id"), F.lit(m).cast("bigint").alias("mask")) for n, m in masks.items()]
+    )
+    each = levels.withColumn("_m", F.explode(named))
+    hit = F.getbit(F.col("_m.mask"), F.col("channel")) == 1
+    return each.groupBy(*by, F.col("_m.mask_id").alias("mask_id")).agg(
         F.coalesce(F.sum(F.when(hit, F.col("concentration"))), F.lit(0.0)).alias("level")
     )
 

@@ -176,7 +176,9 @@ def build_units(grouped: DataFrame, cfg: PruneConfig = PruneConfig(), *, include
 
     include_marker also counts the `[U<n>]` label some gateways put in front of each unit.
     """
-    first = F.min_by(F.struct("role", "tagged", "durable", "cached"), F.col("pos"))
+    # Only with auto_fact is the durable pattern evaluated at all.
+    flags = ["role", "tagged", "cached", *(["durable"] if cfg.auto_fact else [])]
+    first = F.min_by(F.struct(*flags), F.col("pos"))
     tool_row = (
         F.col("role").eqNullSafe("tool") | F.col("has_calls") | F.col("has_use") | F.col("has_result")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest import dims
 from palimpsest.config import PruneConfig
 from palimpsest.functions import display
-from palimpsest.functions.energy import BOUNDS, saved_columns
+from palimpsest.functions.energy import BOUNDS
 from palimpsest.operators import audit as A
 from palimpsest.operators import ledger as L
 from palimpsest.operators import prune, replay, units
@@ -201,7 +201,7 @@ SELECT grid, tokens_per_year, {', '.join(f"round(tokens_per_year / 1e6 * {k} * 1
 FROM y, g""")
 def deployment_projection(spark: SparkSession, sf: str) -> DataFrame:
     totals = A.rollup(audit_frame(spark, sf).rows)
-    out = A.deployment_projection(totals, dims.grids(spark), dispatches_per_day=100_000, cache_hit=0.75)
+    out = A.deployment_projection(totals, dispatches_per_day=100_000, cache_hit=0.75)
     names = [f"{p}_{b}" for p in ("mwh", "tco2e") for b in BOUNDS]
     return rounded(out.select("grid", "tokens_per_year", *names), *names)
 

@@ -363,7 +363,7 @@ def cached_calls(spark: SparkSession, sf: str) -> DataFrame:
         "model", "task", "call_index", "c.*"
     )
     calls = calls.filter(short | F.col("cache") | (F.col("arm") == X.BASELINE)).join(
-        F.broadcast(dims.roster(spark)), "model"
+        dims.small(dims.roster(spark)), "model"
     )
     rate = F.when(~F.col("cache"), 1.0).when(F.col("call_index") == 0, 1.25).otherwise(0.1)
     written = F.col("cache") & (F.col("call_index") == 0) & (F.col("prompt_tokens") >= 40)
@@ -478,7 +478,7 @@ SELECT model, arm, round(sum(CASE WHEN rep % 2 = 0 THEN cost_usd ELSE input_toke
   + output_tokens / 1e6 * coalesce(price_out, 3.0) END), 6) AS cost_usd FROM results LEFT JOIN roster USING (model) GROUP BY ALL""")
 def call_costs(spark: SparkSession, sf: str) -> DataFrame:
     listed = dims.roster(spark, dims.ROSTER[:6]).drop("tier")
-    rows = results(spark, sf).join(F.broadcast(listed), "model", "left")
+    rows = results(spark, sf).join(dims.small(listed), "model", "left")
     reported = F.when(F.col("rep") % 2 == 0, F.col("cost_usd"))
     cost = CS.call_cost(reported, F.col("input_tokens"), F.col("output_tokens"), F.col("price_in"), F.col("price_out"))
     return rounded(rows.groupBy("model", "arm").agg(F.sum(cost).alias("cost_usd")), "cost_usd")

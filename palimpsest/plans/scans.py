@@ -101,7 +101,7 @@ SELECT kind, tier, count(*) AS turns, sum(budget)::BIGINT AS budget_tokens FROM
 def effort_mix(spark: SparkSession, sf: str) -> DataFrame:
     pages = tables.balanced(tables.table(spark, sf, "pages")).select(F.lit("page").alias("kind"), F.col("html").alias("text"))
     docs = documents(spark, sf).select(F.lit("document").alias("kind"), "text")
-    turns = tables.table(spark, sf, "conversations").filter("role = 'user'").select(F.lit("turn").alias("kind"), "text")
+    turns = tables.balanced(tables.table(spark, sf, "conversations")).filter("role = 'user'").select(F.lit("turn").alias("kind"), "text")
     return scans.effort_mix(scans.effort(pages.unionByName(docs).unionByName(turns)), ["kind"])
 
 

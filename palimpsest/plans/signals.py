@@ -52,7 +52,7 @@ def channel_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 @query("channel_sense", f"""{EVENTS}, l AS (SELECT bus, channel, sum(intensity) AS c FROM b GROUP BY ALL), m(mask_id, mask) AS (VALUES ('alert', 15), ('high', 65280), ('none', 1048576))
 SELECT bus, mask_id, round(sum(CASE WHEN (mask >> channel) & 1 = 1 THEN c ELSE 0 END), 6) AS level FROM l, m GROUP BY ALL""")
 def channel_sense(spark: SparkSession, sf: str) -> DataFrame:
-    masks = spark.createDataFrame([("alert", 15), ("high", 65280), ("none", 1048576)], "mask_id STRING, mask INT")
+    masks = {"alert": 15, "high": 65280, "none": 1048576}
     levels = G.concentrations(signal_events(spark, sf), ["bus"], 16)
     return rounded(G.sense(levels, masks, ["bus"]), "level")
 
@@ -130,12 +130,11 @@ def interval_energy(spark: SparkSession, sf: str) -> DataFrame:
 def text_signatures(docs: DataFrame) -> DataFrame:
     """64-bit SimHash of the words of each text: the sign of the summed word-hash bits."""
     words = docs.select(F.col("doc_id").alias("item_id"), F.explode(T.words(F.lower("text"))).alias("w"))
-    digest = F.md5(F.col("w").cast("binary"))
-    parts = [F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int").alias(f"h{i}") for i in range(4)]
-    hashed = words.select("item_id", *parts)
-    sums = [
-        F.sum(F.getbit(F.col(f"h{i // 16}"), F.lit(i % 16)) * 2 - 1).alias(f"s{i}") for i in range(64)
-    ]
+    # First 64 bits of the digest as a signed number; its 16-bit groups fill the signature in order.
+    number = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 16), 16, -10).cast("bigint")
+    hashed = words.select("item_id", number.alias("h"))
+    places = [48 - 16 * (i // 16) + i % 16 for i in range(64)]
+    sums = [F.sum(F.getbit("h", F.lit(p)) * 2 - 1).alias(f"s{i}") for i, p in enumerate(places)]
     summed = hashed.groupBy("item_id").agg(*sums)
     sig = F.lit(0).cast("bigint")
     for i in range(64):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.config import BLOCK_ROWS
+
 DIGEST_PATTERN = "^[0-9a-f]{64}$"
 
 
@@ -29,16 +31,16 @@ def unit_documents(
     )
 
 
-def session_digests(documents: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Digest list of a request, in unit order, for its audit row.
-
-    A list is part of one audit row and names the units purged from one request.
-    """
+def session_digests(
+    documents: DataFrame, keys: Sequence[str] = ("session_id",), part_units: int = BLOCK_ROWS
+) -> DataFrame:
+    """Digest list of a session for its audit row, in unit order, in parts of at most part_units units."""
     item = F.struct("unit_id", "digest")
+    part = F.floor(F.col("unit_id") / part_units).cast("bigint").alias("part")
     return (
-        documents.groupBy(*keys)
+        documents.groupBy(*keys, part)
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-        .select(*keys, F.transform("_items", lambda i: i["digest"]).alias("purged_hashes"))
+        .select(*keys, "part", F.transform("_items", lambda i: i["digest"]).alias("purged_hashes"))
     )
 
 

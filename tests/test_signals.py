@@ -12,7 +12,7 @@ from palimpsest.operators import power, signals
 
 def test_bus_fixture(spark):
     df = spark.createDataFrame([(0x0F, 0.9), (0x10, 0.5)], "flags INT, intensity DOUBLE").withColumn("bus", F.lit(0))
-    masks = spark.createDataFrame([("all", 0x0F), ("one", 0x01), ("off", 0x20)], "mask_id STRING, mask INT")
+    masks = {"all": 0x0F, "one": 0x01, "off": 0x20}
     got = {r.mask_id: r.level for r in signals.sense(signals.concentrations(df), masks).collect()}
     assert got == pytest.approx({"all": 3.6, "one": 0.9, "off": 0.0})
     stats = signals.bus_stats(df).collect()[0]
