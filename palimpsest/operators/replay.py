@@ -206,8 +206,7 @@ def prefix_stability(messages: DataFrame, cfg: PruneConfig) -> DataFrame:
         first_after={"_request_after": F.col("request")},
         reuse=True,
     )
-    ahead = layout.window().rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    upcoming = F.coalesce(F.first("request", ignorenulls=True).over(ahead), F.col("_request_after"))
+    upcoming = layout.following_first(F.col("request"), F.col("_request_after"), same_position=True)
     hits = (
         both.withColumn("_next", upcoming)
         .filter(F.col("row_pos").isNotNull() & (F.col("row_pos") < F.col("_next.earlier")))

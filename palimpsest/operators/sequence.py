@@ -95,11 +95,11 @@ class Layout:
         everything = Window.partitionBy(*self.keys)
         ordered = everything.orderBy(BLOCK)
         before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        after = ordered.rowsBetween(1, Window.unboundedFollowing)
+        after = everything.orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
         columns = [F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(n) for n in sums]
         columns += [F.coalesce(F.sum(f"_t_{n}").over(everything), F.lit(0)).alias(n) for n in totals]
         columns += [F.last(f"_l_{n}", ignorenulls=True).over(before).alias(n) for n in last]
-        columns += [F.first(f"_f_{n}", ignorenulls=True).over(after).alias(n) for n in first_after]
+        columns += [F.last(f"_f_{n}", ignorenulls=True).over(after).alias(n) for n in first_after]
         columns += [F.min(f"_i_{n}").over(everything).alias(n) for n in first]
         columns += [F.max(f"_x_{n}").over(everything).alias(n) for n in final]
         blocks = df.groupBy(*self.cells).agg(*aggs).select(*self.cells, *columns)
@@ -124,10 +124,18 @@ class Layout:
         w = self.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         return F.coalesce(F.last(value, ignorenulls=True).over(w), carried)
 
-    def following_first(self, value: Column, carried: Column) -> Column:
-        """Next non-null value after the row."""
-        w = self.window().rowsBetween(1, Window.unboundedFollowing)
-        return F.coalesce(F.first(value, ignorenulls=True).over(w), carried)
+    def following_first(self, value: Column, carried: Column, *, same_position: bool = False) -> Column:
+        """Next non-null value after the row, or also at its position.
+
+        Read backwards as a running value: a frame that reaches forward to the end of the partition is
+        evaluated anew for every row, which is quadratic.
+        """
+        w = Window.partitionBy(*self.cells).orderBy(F.desc(self.pos))
+        if same_position:
+            w = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        else:
+            w = w.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.last(value, ignorenulls=True).over(w), carried)
 
     def row_number(self, carried: Column) -> Column:
         """1-based number of the row, given the rows in earlier blocks."""
