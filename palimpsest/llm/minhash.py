@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from palimpsest.operators.lineage import cut
 
 @dataclass(frozen=True)
 class NearConfig:
-    """Shingle length, similarity in percent, and the shape of the signature.
+    """Shingle length, similarity in percent, the shape of the signature, and the most centres of a bucket in a turn after
+    the first.
 
     With `bands` of `rows` bins, a pair at exactly 80 percent shares no bucket with probability (1 - 0.8^6)^48, about
     one in two million, and pairs at 10 percent meet with probability 5e-5.
@@ -37,6 +39,7 @@ class NearConfig:
     percent: int = 80
     bands: int = 48
     rows: int = 6
+    stars: int = 64
     seed: int = 8
 
     @property
@@ -157,27 +160,34 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = cut(rows.withColumn("s", _signature(cfg)("text")).select("id", "s.*"))
     named = signed.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    reps = cut(named.groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.count("*").alias("copies")))
+    reps = cut(named.groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")))
 
-    keyed = reps.select("rep", F.explode("keys").alias("bucket"))
-    crowded = keyed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(keyed.join(crowded.select("bucket", "centre"), "bucket"))
+    keyed = reps.select("rep", "n_shingles", F.explode("keys").alias("bucket"))
+    crowded = keyed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.min_by("n_shingles", "rep").alias("size"), F.count("*").alias("n"))
+    members = cut(keyed.join(crowded.filter("n > 1").select("bucket", "centre", "size"), "bucket"))
 
     wanted = cut(members.select("rep").distinct())
-    sets = rows.join(counted_hint(wanted, wanted.count()), rows["id"] == wanted["rep"], "left_semi").groupBy(
+    texts = rows.join(counted_hint(wanted, wanted.count()), rows["id"] == wanted["rep"], "left_semi").groupBy(
         F.col("id").alias("rep")
-    ).agg(F.max("text").alias("text")).select("rep", _set(cfg)("text").alias("shingles"))
-    sets = cut(sets)
+    ).agg(F.max("text").alias("text"))
+    sets = cut(texts.select("rep", _set(cfg)("text").alias("shingles")))
 
-    proposed = members.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    close = 100 * F.least("n_shingles", "size") >= cfg.percent * F.greatest("n_shingles", "size")
+    rest = members.filter("rep <> centre")
+    proposed = rest.filter(close).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     decided = cut(_confirmed(proposed, sets, cfg.percent))
-    rest = members.filter("rep <> centre").select("bucket", "rep")
-    while True:
-        labels = components(decided.filter("linked").select("a", "b"))
-        rest, proposed = _next_stars(rest, labels, decided)
-        if proposed is None:
+    labels = components(decided.filter("linked").select("a", "b"))
+    rest = rest.select("bucket", "rep", "n_shingles")
+    for turn in count(1):
+        held = _several(rest, labels)
+        if held.isEmpty():
             break
-        decided = cut(decided.union(_confirmed(proposed, sets, cfg.percent)))
+        rest, proposed = _stars(held, cfg, turn)
+        fresh = proposed.join(decided.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = cut(_confirmed(fresh, sets, cfg.percent))
+        decided = cut(decided.union(fresh))
+        if not fresh.filter("linked").isEmpty():
+            labels = components(decided.filter("linked").select("a", "b"))
 
     moved = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id"), ((F.col("copies") > 1) | F.col("component").isNotNull()).alias("moved")
@@ -190,24 +200,29 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     )
 
 
-def _next_stars(rest: DataFrame, labels: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The members that are not yet centres in buckets of several components, and the next pairs to confirm.
+def _several(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members that are not yet centres, with their component and its members there, in buckets that hold several components."""
+    held = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts")).filter("parts > 1").select("bucket")
+    return cut(held.join(parts.join(mixed, "bucket"), ["bucket", "component"]))
 
-    The centre of a bucket is a member of the component with the fewest members there, so a bucket of one large group and
-    k others takes k rounds.
+
+def _stars(held: DataFrame, cfg: NearConfig, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The members that are still no centres, and the pairs (`a` > `b`) of this turn's centres with members of other components.
+
+    A bucket has up to `stars` centres a turn: the members fall into as many slots by hash, and each slot gives one of its
+    smallest component. So one large component with k others is done after about k / `stars` turns, and a member is paired
+    with at most `stars` others a turn.
     """
-    held = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("component", "rep").alias("component")
+    slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(cfg.stars))
+    own = F.struct("n", "component", "rep", "n_shingles")
+    centres = held.groupBy("bucket", slot.alias("slot")).agg(F.min(own).alias("c")).select(
+        "bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("of"), F.col("c.n_shingles").alias("size")
     )
-    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
-    mixed = parts.groupBy("bucket").agg(
-        F.count("*").alias("parts"), F.min(F.struct("n", "first", "component")).alias("least")
-    ).filter("parts > 1").select("bucket", F.col("least.first").alias("centre"), F.col("least.component").alias("of"))
-    held = cut(held.join(mixed, "bucket"))
-    proposed = (
-        held.filter("component <> of").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+    met = held.join(centres, "bucket").filter(
+        (F.col("component") != F.col("of")) & (100 * F.least("n_shingles", "size") >= cfg.percent * F.greatest("n_shingles", "size"))
     )
-    proposed = cut(proposed.join(decided.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if held.isEmpty():
-        return held, None
-    return held.filter("rep <> centre").select("bucket", "rep"), proposed
+    pairs = met.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+    rest = held.join(centres.select("bucket", F.col("centre").alias("rep")), ["bucket", "rep"], "left_anti")
+    return rest.select("bucket", "rep", "n_shingles"), pairs
