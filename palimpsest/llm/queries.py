@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import minhash
+from palimpsest.llm import grace, language, minhash, mixing, quality, toxicity
 from palimpsest.llm.tables import table
+from palimpsest.llm.textstats import COUNTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +54,77 @@ FROM sets JOIN (SELECT p, min(q) AS c FROM reach GROUP BY p) ON p = doc_id
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8, over all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearConfig(words=2))
+
+
+@_query(
+    "op4_grace_exact_dedup",
+    r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+g AS (
+  SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id
+  FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+""",
+)
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents."""
+    return grace.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op5_mix_sources",
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS MATERIALIZED (
+  SELECT source, source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+rounds AS (
+  SELECT 0 AS k, source, source_size, weight, false AS held,
+         weight * (sum(source_size) OVER ())::DOUBLE / (sum(weight) OVER ())::DOUBLE AS target
+  FROM s
+  UNION ALL
+  SELECT k + 1, source, source_size, weight, held,
+         CASE WHEN held THEN (source_size * 3)::DOUBLE
+              ELSE weight * (sum(source_size) OVER () - coalesce(sum(source_size * 3) FILTER (held) OVER (), 0))::DOUBLE
+                   / (sum(weight) FILTER (NOT held) OVER ())::DOUBLE END
+  FROM (SELECT k, source, source_size, weight, held OR target > source_size * 3 AS held FROM rounds WHERE k < 25)),
+t AS (SELECT source, source_size, target FROM rounds WHERE k = 25),
+u AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, size * (floor(rate) + (draw < rate - floor(rate))::INT)::BIGINT AS taken FROM u
+""",
+)
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken")
+    )
+
+
+@_query("op2_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rule and trees over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", *[f"quality.{c}" for c in (*COUNTS, "base_failed", "kept", "score")]
+    )
+
+
+@_query("op3_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identified(docs).select("doc_id", "language.held_out", "language.lang_pred", "language.score")
+
+
+@_query("op6_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "toxicity.held_out", "toxicity.score", "toxicity.predicted")
