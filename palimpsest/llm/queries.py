@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import grace, language, minhash, mixing, quality, toxicity
+from palimpsest.llm import fixity, grace, hosts, language, licences, minhash, mixing, pieces, quality, toxicity
 from palimpsest.llm.tables import table
 from palimpsest.llm.textstats import COUNTS
+from palimpsest.operators.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,3 +130,138 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "toxicity.held_out", "toxicity.score", "toxicity.predicted")
+
+
+@_query(
+    "op1_merkle_fixity",
+    r"""
+WITH r AS (
+  SELECT page_id, 'pages-' || lpad((page_id // 256)::VARCHAR, 8, '0') || '.warc' AS file,
+         strlen(coalesce(url, '')) + strlen(coalesce(html, '')) + 64 AS length,
+         sha256(coalesce(url, '') || chr(10) || coalesce(html, '')) AS expected,
+         CASE WHEN page_id % 193 = 7 THEN NULL WHEN page_id % 97 = 5 THEN sha256(coalesce(url, '') || chr(10) || replace(coalesce(html, ''), '<', '('))
+              ELSE sha256(coalesce(url, '') || chr(10) || coalesce(html, '')) END AS found
+  FROM pages),
+o AS (SELECT *, (sum(length) OVER (PARTITION BY file ORDER BY page_id) - length)::BIGINT AS "offset" FROM r)
+SELECT page_id, file, "offset", CASE WHEN found IS NULL THEN 'missing' ELSE 'altered' END AS status,
+       expected AS expected_digest, found AS found_digest
+FROM o WHERE found IS DISTINCT FROM expected
+""",
+)
+def merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of all pages, laid out in archive files of 256, against a replica that Spark derives from them: in every 97th
+    record a character is swapped, every 193rd is lost."""
+    pages = table(spark, sf_dir, "pages")
+    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    head = F.concat(url, F.lit("\n"))
+    laid = cut(
+        fixity.laid_out(
+            pages.select(
+                "page_id",
+                (F.octet_length(url) + F.octet_length(html) + 64).alias("bytes"),
+                F.sha2(F.concat(head, html).cast("binary"), 256).alias("digest"),
+                F.sha2(F.concat(head, F.when(F.col("page_id") % 97 == 5, F.translate(html, "<", "(")).otherwise(html)).cast("binary"), 256).alias("copy"),
+            ),
+            F.format_string("pages-%08d.warc", F.floor(F.col("page_id") / 256)),
+            ["page_id", "digest"],
+            F.col("bytes"),
+        )
+    )
+    replica = laid.filter("page_id % 193 <> 7").select("file", "offset", "length", F.col("copy").alias("digest"))
+    found = fixity.faults(laid.select("file", "offset", "length", "digest"), replica)
+    return found.join(laid.select("file", "offset", "page_id"), ["file", "offset"]).select(
+        "page_id", "file", "offset", "status", "expected_digest", "found_digest"
+    )
+
+
+#: Verdict, host and path prefix of the rules that the pages are judged by.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@_query(
+    "op7_host_reputation",
+    r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+p AS MATERIALIZED (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u),
+h AS MATERIALIZED (
+  SELECT host, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS good,
+         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'com.au', 'co.jp') THEN array_to_string(string_split(host, '.')[-3:], '.')
+              ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'com.au', 'co.jp') THEN array_to_string(string_split(host, '.')[-2:], '.')
+              ELSE string_split(host, '.')[-1] END AS suffix
+  FROM p GROUP BY host),
+s AS (SELECT suffix, sum(bad) AS bad, sum(good) AS good, sum(bad) + sum(good) AS n,
+             (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(bad), 0) + coalesce(sum(good), 0) + 2.0) FROM h) AS prior FROM h GROUP BY suffix),
+sk AS (SELECT sum(n * (bad / n - prior) ** 2) AS spread, sum(prior * (1 - prior)) AS noise, sum((n - 1) * prior * (1 - prior)) AS scale FROM s WHERE n > 1),
+ss AS (SELECT CASE WHEN spread > noise AND scale > 0 THEN least(100.0, greatest(1.0, scale / (spread - noise) - 1)) ELSE 100.0 END AS k FROM sk),
+sp AS (SELECT suffix, (bad + k * prior) / (n + k) AS rate FROM s, ss),
+d AS (SELECT domain, h.suffix, sum(bad) AS bad, sum(good) AS good, sum(bad) + sum(good) AS n, any_value(rate) AS prior
+      FROM h JOIN sp ON h.suffix = sp.suffix GROUP BY domain, h.suffix),
+dk AS (SELECT sum(n * (bad / n - prior) ** 2) AS spread, sum(prior * (1 - prior)) AS noise, sum((n - 1) * prior * (1 - prior)) AS scale FROM d WHERE n > 1),
+ds AS (SELECT CASE WHEN spread > noise AND scale > 0 THEN least(100.0, greatest(1.0, scale / (spread - noise) - 1)) ELSE 100.0 END AS k FROM dk),
+dp AS (SELECT domain, suffix, (bad + k * prior) / (n + k) AS rate FROM d, ds),
+hp AS (SELECT host, bad, bad + good AS n, rate AS prior FROM h JOIN dp ON h.domain = dp.domain AND h.suffix = dp.suffix),
+hk AS (SELECT sum(n * (bad / n - prior) ** 2) AS spread, sum(prior * (1 - prior)) AS noise, sum((n - 1) * prior * (1 - prior)) AS scale FROM hp WHERE n > 1),
+hs AS (SELECT CASE WHEN spread > noise AND scale > 0 THEN least(100.0, greatest(1.0, scale / (spread - noise) - 1)) ELSE 100.0 END AS k FROM hk),
+b AS (SELECT host, (bad + k * prior) / (n + k) AS rate, n + k AS strength FROM hp, hs)
+SELECT page_id, p.host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN rate - 2 * sqrt(rate * (1 - rate) / (strength + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM p JOIN b ON p.host = b.host
+""",
+)
+def host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on all pages. The tables label no pages, so the pages that a rule fits are the labelled outcomes."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return hosts.judged(pages, URL_RULES).select("page_id", "site.host", "site.path", "site.rule", "site.verdict")
+
+
+#: Where the public vocabulary lies; read on the driver.
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@_query("op9_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, decoded again: counts, digest of the ids, and whether the text came back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.withColumn("p", pieces.audit(spark, F.col("text"), pieces.read_pieces(PIECES))).select("doc_id", "p.*")
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form of licence texts, in SQL."""
+    plain = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+    words = rf"string_split(trim(regexp_replace(regexp_replace({plain}, '[-‐‑\x{{AD}}''’]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    return f"array_to_string(list_transform({words}, lambda w: coalesce(spelled[w], w)), ' ')"
+
+
+def _licence_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = lambda d: ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in d.items())
+    spelled = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in licences.EQUIVALENT.items()) + "}"
+    return f"""
+WITH e AS (SELECT {spelled} AS spelled),
+w AS (SELECT id, sha256({_canonical_sql('body')}) AS dg FROM (VALUES {rows(licences.LICENCES)}) AS t(id, body), e),
+m AS (SELECT id, sha256({_canonical_sql('body')}) AS dg FROM (VALUES {rows(licences.NOTICES)}) AS t(id, body), e),
+d AS (SELECT doc_id, text, sha256({_canonical_sql('text')}) AS dg FROM documents, e),
+l AS (SELECT doc_id, sha256({_canonical_sql('line')}) AS dg
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) AS x, e WHERE regexp_matches(line, '(?i)licen[cs]')),
+n AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(id))), ',') AS notices FROM l JOIN m ON l.dg = m.dg GROUP BY doc_id)
+SELECT d.doc_id, d.dg AS canonical_sha256, w.id AS licence, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN w ON d.dg = w.dg LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
+@_query("op10_licence_scan", _licence_sql())
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences and notices of all documents."""
+    return licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "scan.canonical_sha256", "scan.licence", F.array_join("scan.notices", ",").alias("notices")
+    )
