@@ -2,9 +2,10 @@
 
 Every document becomes the set of its word shingles. One hash of a shingle gives both a bin and a value, and a bin keeps
 its smallest value; an empty bin takes the value of the first filled bin in a fixed random order of its own, which is
-optimal densification. Bands of bins are bucket keys. A bucket proposes only links from one centre to its other members,
-and each proposed link is confirmed on the full sets. Where a bucket still holds members of different components,
-further members become centres, until every pair of it is confirmed, refused or already connected.
+optimal densification. Bands of bins are bucket keys.
+A bucket proposes only links from one centre to its other members, a star, and each proposed link is confirmed on the full
+sets. Where a bucket still holds members of different components, its members outside the largest of them meet the others
+once more, behind three filters: the sizes, the distances to the centre, and sketches of 2,048 bits.
 """
 
 from __future__ import annotations
@@ -13,11 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
@@ -26,10 +26,13 @@ from palimpsest.llm.textarrays import U64, Chunk, chunks, hash_spans, mix, space
 from palimpsest.operators.lineage import cut
 
 
+#: Bits of a sketch.
+SKETCH_BITS = 2048
+
+
 @dataclass(frozen=True)
 class NearConfig:
-    """Shingle length, similarity in percent, the shape of the signature, and the most centres of a bucket in a turn after
-    the first.
+    """Shingle length, similarity in percent, and the shape of the signature.
 
     With `bands` of `rows` bins, a pair at exactly 80 percent shares no bucket with probability (1 - 0.8^6)^48, about
     one in two million, and pairs at 10 percent meet with probability 5e-5.
@@ -39,7 +42,6 @@ class NearConfig:
     percent: int = 80
     bands: int = 48
     rows: int = 6
-    stars: int = 64
     seed: int = 8
 
     @property
@@ -86,10 +88,9 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return sets
 
 
-def band_keys(shingles: np.ndarray, cfg: NearConfig) -> np.ndarray:
-    """Bucket keys of one set, one per band."""
-    bins = cfg.bins
-    hashed = np.sort(mix(shingles ^ U64(cfg.seed)))
+def bin_values(shingles: np.ndarray, bins: int, seed: int) -> np.ndarray:
+    """The densified signature of a set: one value per bin."""
+    hashed = np.sort(mix(shingles ^ U64(seed)))
     at = ((hashed >> U64(32)) * U64(bins)) >> U64(32)  # grows with the hash, so the first of a bin is its minimum
     first = np.flatnonzero(np.diff(at, prepend=U64(bins)))
     filled = at[first].astype(np.int64)
@@ -99,14 +100,27 @@ def band_keys(shingles: np.ndarray, cfg: NearConfig) -> np.ndarray:
         empty = np.ones(bins, bool)
         empty[filled] = False
         empty = np.flatnonzero(empty)
-        values[empty] = values[filled[_orders(bins, cfg.seed)[np.ix_(empty, filled)].argmin(1)]]
+        values[empty] = values[filled[_orders(bins, seed)[np.ix_(empty, filled)].argmin(1)]]
+    return values
+
+
+def band_keys(shingles: np.ndarray, cfg: NearConfig) -> np.ndarray:
+    """Bucket keys of one set, one per band."""
     with np.errstate(over="ignore"):
         keys = np.arange(cfg.bands, dtype=U64)
-        for column in values.reshape(cfg.bands, cfg.rows).T:
+        for column in bin_values(shingles, cfg.bins, cfg.seed).reshape(cfg.bands, cfg.rows).T:
             keys = mix(keys * U64(0x9FB21C651E98DF25) + column)
     return keys
 
 
+def sketch_bits(shingles: np.ndarray, cfg: NearConfig) -> np.ndarray:
+    """One bit of each of `SKETCH_BITS` bins, as 64-bit numbers. Bits of a pair agree with probability (1 + similarity) / 2."""
+    at = np.arange(SKETCH_BITS, dtype=U64)
+    with np.errstate(over="ignore"):
+        bits = mix(bin_values(shingles, SKETCH_BITS, cfg.seed + 1) + at * U64(0x9FB21C651E98DF25)) & U64(1)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _signature(cfg: NearConfig):
     @F.arrow_udf("struct<n_shingles: bigint, set_key: binary, keys: array<bigint>>")
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -137,12 +151,14 @@ def _set(cfg: NearConfig):
 
 
 def _confirmed(proposed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Proposed pairs (`a`, `b`) with `linked`: the full sets are similar enough."""
+    """Proposed pairs (`a`, `b`) with `similarity` of the full sets and `linked`."""
     both = proposed.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b"
     )
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).alias("linked"))
+    return both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("together")).select(
+        "a", "b", (100 * F.col("shared") >= percent * F.col("together")).alias("linked"), (F.col("shared") / F.col("together")).alias("similarity")
+    )
 
 
 def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +176,9 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = cut(rows.withColumn("s", _signature(cfg)("text")).select("id", "s.*"))
     named = signed.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    reps = cut(named.groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")))
+    reps = named.groupBy("set_key").agg(
+        F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")
+    )
 
     keyed = reps.select("rep", "n_shingles", F.explode("keys").alias("bucket"))
     crowded = keyed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.min_by("n_shingles", "rep").alias("size"), F.count("*").alias("n"))
@@ -172,22 +190,15 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     ).agg(F.max("text").alias("text"))
     sets = cut(texts.select("rep", _set(cfg)("text").alias("shingles")))
 
-    close = 100 * F.least("n_shingles", "size") >= cfg.percent * F.greatest("n_shingles", "size")
-    rest = members.filter("rep <> centre")
-    proposed = rest.filter(close).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    close = _sizes_fit(cfg, "n_shingles", "size")
+    stars = members.filter("rep <> centre")
+    proposed = stars.filter(close).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     decided = cut(_confirmed(proposed, sets, cfg.percent))
     labels = components(decided.filter("linked").select("a", "b"))
-    rest = rest.select("bucket", "rep", "n_shingles")
-    for turn in count(1):
-        held = _several(rest, labels)
-        if held.isEmpty():
-            break
-        rest, proposed = _stars(held, cfg, turn)
-        fresh = proposed.join(decided.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = cut(_confirmed(fresh, sets, cfg.percent))
-        decided = cut(decided.union(fresh))
-        if not fresh.filter("linked").isEmpty():
-            labels = components(decided.filter("linked").select("a", "b"))
+    more = _confirmed(_left_over(stars, labels, decided, sets, cfg), sets, cfg.percent)
+    linked = cut(more.filter("linked").select("a", "b"))
+    if not linked.isEmpty():
+        labels = components(decided.filter("linked").select("a", "b").union(linked))
 
     moved = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id"), ((F.col("copies") > 1) | F.col("component").isNotNull()).alias("moved")
@@ -200,29 +211,59 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     )
 
 
-def _several(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members that are not yet centres, with their component and its members there, in buckets that hold several components."""
-    held = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts")).filter("parts > 1").select("bucket")
-    return cut(held.join(parts.join(mixed, "bucket"), ["bucket", "component"]))
+def _sizes_fit(cfg: NearConfig, a: str, b: str) -> Column:
+    """The similarity of sets of these sizes can reach the threshold."""
+    return 100 * F.least(a, b) >= cfg.percent * F.greatest(a, b)
+
 
+def _left_over(stars: DataFrame, labels: DataFrame, decided: DataFrame, sets: DataFrame, cfg: NearConfig) -> DataFrame:
+    """Pairs (`a` > `b`) still to be confirmed, of buckets whose members lie in several components.
 
-def _stars(held: DataFrame, cfg: NearConfig, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The members that are still no centres, and the pairs (`a` > `b`) of this turn's centres with members of other components.
+    Members of the largest component of a bucket are connected already, so each pair has a member outside it: one large
+    group with few others stays linear. A pair is passed on if
 
-    A bucket has up to `stars` centres a turn: the members fall into as many slots by hash, and each slot gives one of its
-    smallest component. So one large component with k others is done after about k / `stars` turns, and a member is paired
-    with at most `stars` others a turn.
+    * its sizes and its distances to the centre (1 - similarity is a metric) allow the similarity, which loses nothing;
+    * its sketches differ in no more bits than a pair at the threshold does with a chance of one in 10^8.
     """
-    slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(cfg.stars))
-    own = F.struct("n", "component", "rep", "n_shingles")
-    centres = held.groupBy("bucket", slot.alias("slot")).agg(F.min(own).alias("c")).select(
-        "bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("of"), F.col("c.n_shingles").alias("size")
+    held = stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = held.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(
+        F.count("*").alias("parts"), F.max(F.struct("n", "component")).getField("component").alias("major")
+    ).filter("parts > 1").select("bucket", "major")
+    far = decided.select(F.col("a").alias("rep"), F.col("b").alias("centre"), (1 - F.col("similarity")).alias("far"))
+    held = cut(held.join(mixed, "bucket").join(far, ["rep", "centre"], "left").select("bucket", "major", "rep", "component", "n_shingles", "far"))
+    ids = held.select("rep").distinct()
+    sketches = sets.join(ids, "rep", "left_semi").select("rep", _sketch(cfg)("shingles").alias("bits"))
+    held = held.join(sketches, "rep")
+
+    x, y = (
+        held.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("major", "rep", "component", "n_shingles", "far", "bits")]) for k in "xy"
     )
-    met = held.join(centres, "bucket").filter(
-        (F.col("component") != F.col("of")) & (100 * F.least("n_shingles", "size") >= cfg.percent * F.greatest("n_shingles", "size"))
+    differing = sum(F.bit_count(F.col("bitsx")[k].bitwiseXOR(F.col("bitsy")[k])) for k in range(SKETCH_BITS // 64))
+    reach = F.coalesce(F.abs(F.col("farx") - F.col("fary")) <= 1 - cfg.percent / 100 + 1e-9, F.lit(True))
+    met = x.filter("componentx <> majorx").join(
+        y,
+        (x["bucket"] == y["bucket"])
+        & (F.col("componentx") != F.col("componenty"))
+        & ((F.col("componenty") == F.col("majory")) | (F.col("repx") > F.col("repy")))
+        & _sizes_fit(cfg, "n_shinglesx", "n_shinglesy")
+        & reach
+        & (differing <= most_differing(cfg)),
     )
-    pairs = met.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
-    rest = held.join(centres.select("bucket", F.col("centre").alias("rep")), ["bucket", "rep"], "left_anti")
-    return rest.select("bucket", "rep", "n_shingles"), pairs
+    return met.select(F.greatest("repx", "repy").alias("a"), F.least("repx", "repy").alias("b")).distinct()
+
+
+def most_differing(cfg: NearConfig) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most: the mean and 5.6 standard deviations."""
+    p = (1 - cfg.percent / 100) / 2
+    return int(SKETCH_BITS * p + 5.6 * (SKETCH_BITS * p * (1 - p)) ** 0.5) + 1
+
+
+def _sketch(cfg: NearConfig):
+    @F.arrow_udf("array<bigint>")
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            bounds, flat = batch.offsets.to_numpy(), batch.values.to_numpy().view(U64)
+            yield pa.array([sketch_bits(flat[a:b], cfg) for a, b in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int64()))
+
+    return sketch
