@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -200,3 +200,15 @@ def absorbed_digests(decayed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
     return gone.join(offsets, [*KEYS, "purged_cycle"]).select(
         *KEYS, (F.col("_start") + F.row_number().over(cells) - 1).cast("bigint").alias("ord"), "fact"
     )
+
+
+def render_sessions(purpose: str, sessions: DataFrame, held: DataFrame, parts: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Prompts of all sessions, in the parts of `prune.render`: purpose and state stand before the first part.
+
+    A session without state has none shown, and one without survivors is purpose and state alone.
+    """
+    first = parts.groupBy(*keys).agg(F.min("part").alias("_first"))
+    rows = sessions.select(*keys).distinct().join(held, list(keys), "left").join(first, list(keys), "left").join(parts, list(keys), "left")
+    state, context = F.coalesce("state", F.array().cast("array<string>")), F.coalesce("context", F.lit(""))
+    part = F.coalesce(F.col("part") - F.col("_first"), F.lit(0))
+    return rows.select(*keys, part.alias("part"), F.when(part == 0, render_state(purpose, state, context)).otherwise(context).alias("prompt"))

@@ -1,10 +1,9 @@
 """Hash-chained ledgers over the audit log.
 
-A chain is sequential by nature: every hash needs the one before it. To keep one deployment from
-becoming one task, its chain restarts every `segment_rows` sequence numbers, segments are hashed in
-parallel, and a second chain runs over the segment heads. A log no longer than one segment has exactly
-the single chain. Verification needs no fold at all: each row is rechecked against its stored
-predecessor.
+A chain is sequential by nature: every hash needs the one before it. Each deployment has one chain, whatever its length; it
+is streamed through one task in Arrow batches. A caller with very busy deployments can cut chains into segments by a column
+of the data, such as the day. Segments are hashed in parallel and tied together by a list of sealed heads, a chain of its
+own over head, row count and ends of every segment, and are only ever verified against that list.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.config import BLOCK_ROWS
 from palimpsest.dims import COEFFICIENT_VERSION, grid_factor
 from palimpsest.functions.energy import BOUNDS, saved_columns
 from palimpsest.operators.sequence import Layout
@@ -24,7 +24,6 @@ from palimpsest.operators.sequence import Layout
 # Start of a chain, and the hashed fields in the sorted order of their names.
 GENESIS = "GENESIS"
 SCHEMA_NAME = "carbon_ledger/1"
-SEGMENT_ROWS = 65536
 
 
 def link_hash(prev_hash: Column) -> Column:
@@ -44,16 +43,17 @@ def _canonical(model, prev_hash, tokens_after, tokens_before, ts) -> bytes:
     return json.dumps(row, separators=(",", ":"), ensure_ascii=False).encode()
 
 
-def chain(audit: DataFrame, keys: Sequence[str] = ("deployment",), *, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Add segment, prev_hash and hash. `seq` is unique per key.
+def chain(audit: DataFrame, keys: Sequence[str] = ("deployment",), *, segment: Column | None = None) -> DataFrame:
+    """Add segment, prev_hash and hash. `seq` is unique per key; `segment` grows with it, and is 0 for one chain per key.
 
-    An optional column `resume` holds the hash after which the segment continues. The hash of a row feeds the next one, which no built-in window can express; segments are streamed
-    in order in Arrow batches, so a task holds one batch and one hash.
+    An optional column `resume` holds the hash after which the chain continues. The hash of a row feeds the next one, which no
+    built-in window can express; rows are streamed in order in Arrow batches, so a task holds one batch and one hash.
     """
-    segmented = audit.withColumn("segment", F.floor(F.col("seq") / segment_rows).cast("bigint"))
+    segmented = audit.withColumn("segment", (F.lit(0) if segment is None else segment).cast("bigint"))
     cells = [*keys, "segment"]
     resume = F.col("resume") if "resume" in audit.columns else F.lit(None).cast("string")
     narrow = segmented.select(*cells, "seq", "ts", "model", "tokens_before", "tokens_after", resume.alias("resume"))
+
     def link(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = None
         for batch in batches:
@@ -79,89 +79,129 @@ def chain(audit: DataFrame, keys: Sequence[str] = ("deployment",), *, segment_ro
 
 
 def segment_heads(chained: DataFrame, keys: Sequence[str] = ("deployment",)) -> DataFrame:
+    """One row per segment: its last hash, rows, and first and last sequence number."""
     return chained.groupBy(*keys, "segment").agg(
-        F.max_by("hash", "seq").alias("segment_head"), F.count(F.lit(1)).alias("rows_in")
+        F.max_by("hash", "seq").alias("segment_head"),
+        F.count(F.lit(1)).alias("rows_in"),
+        F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
     )
 
 
-def chain_heads(chained: DataFrame, keys: Sequence[str] = ("deployment",)) -> DataFrame:
-    """Head per key: that of the only segment, else the chain over the segment heads in order."""
-    heads = segment_heads(chained, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("segment", "segment_head"))).alias("_heads"),
-        F.sum("rows_in").alias("chain_rows"),
-    )
-    folded = F.aggregate(
-        "_heads",
-        F.lit(GENESIS),
-        lambda acc, h: F.sha2(F.concat(acc, h["segment_head"]), 256),
+def _seal_text(prev: Column) -> Column:
+    return F.concat_ws("|", prev, "segment", "rows_in", "first_seq", "last_seq", "segment_head")
+
+
+def seal(heads: DataFrame, keys: Sequence[str] = ("deployment",)) -> DataFrame:
+    """The heads with `prev_seal` and `seal`: a chain over the segments of a key, in order. Stored next to the rows."""
+    named = heads.withColumn("_text", _seal_text(F.lit("")))
+
+    def link(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev = GENESIS
+        for batch in batches:
+            before, after = [], []
+            for text in batch.column("_text").to_pylist():
+                before.append(prev)
+                prev = hashlib.sha256((prev + text).encode()).hexdigest()
+                after.append(prev)
+            kept = [n for n in batch.schema.names if n != "_text"]
+            columns = [batch.column(n) for n in kept] + [pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "prev_seal", "seal"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in heads.schema.fields)
+    return (
+        named.repartition(*keys).sortWithinPartitions(*keys, "segment").groupBy(*keys).applyInArrow(link, f"{types}, prev_seal string, seal string")
     )
-    single = F.col("_heads")[0]["segment_head"]
-    return heads.select(
-        *keys,
-        F.size("_heads").cast("bigint").alias("segments"),
-        "chain_rows",
-        F.when(F.size("_heads") == 1, single).otherwise(folded).alias("chain_head"),
+
+
+def chain_heads(sealed: DataFrame, keys: Sequence[str] = ("deployment",)) -> DataFrame:
+    """Per key: segments, rows and the last seal."""
+    return sealed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("segments"), F.sum("rows_in").alias("chain_rows"), F.max_by("seal", "segment").alias("chain_head")
     )
 
 
-def recheck(chained: DataFrame, keys: Sequence[str] = ("deployment",), *, block_rows: int = SEGMENT_ROWS) -> DataFrame:
+def recheck(chained: DataFrame, keys: Sequence[str] = ("deployment",), *, segmented: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`broken` per row: wrong hash, or a previous hash that is not that of the row before.
 
-    Works on segmented chains and, without a `segment` column, on one long chain.
+    Each row is held against its stored predecessor, so nothing is folded: one long chain is checked in blocks. With
+    `segmented`, the first row of a segment follows `GENESIS`.
     """
-    if "segment" in chained.columns:
-        w = Window.partitionBy(*keys, "segment").orderBy("seq")
-        rows, expected = chained, F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))
-    else:
-        layout = Layout(keys, "seq", block_rows)
-        rows = layout.carry(layout.split(chained), last={"_hash_before": F.col("hash")})
-        expected = F.coalesce(
-            layout.running_last(F.col("hash"), F.col("_hash_before"), inclusive=False), F.lit(GENESIS)
-        )
+    cells = [*keys, "segment"] if segmented else list(keys)
+    layout = Layout(cells, "seq", block_rows)
+    rows = layout.carry(layout.split(chained), last={"_hash_before": F.col("hash")})
+    expected = F.coalesce(layout.running_last(F.col("hash"), F.col("_hash_before"), inclusive=False), F.lit(GENESIS))
     good = F.col("prev_hash").eqNullSafe(F.col("_expected")) & F.col("hash").eqNullSafe(link_hash(F.col("prev_hash")))
     return rows.withColumn("_expected", expected).withColumn("broken", ~good).drop("_expected", "_hash_before", "_block")
 
 
-def verify(chained: DataFrame, keys: Sequence[str] = ("deployment",), *, block_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Per key: whether the chain holds, the first broken sequence number, and the last hash."""
-    return recheck(chained, keys, block_rows=block_rows).groupBy(*keys).agg(
-        (~F.bool_or("broken")).alias("ok"),
+def broken_seals(chained: DataFrame, sealed: DataFrame, keys: Sequence[str] = ("deployment",)) -> DataFrame:
+    """Per key the first sequence number where rows and sealed heads disagree, or the list itself is broken."""
+    w = Window.partitionBy(*keys).orderBy("segment")
+    listed = sealed.withColumn("_expected", F.coalesce(F.lag("seal").over(w), F.lit(GENESIS))).select(
+        *keys,
+        "segment",
+        F.struct("segment_head", "rows_in", "first_seq", "last_seq").alias("stored"),
+        (~(F.col("prev_seal").eqNullSafe(F.col("_expected")) & F.col("seal").eqNullSafe(F.sha2(F.concat(F.col("prev_seal"), _seal_text(F.lit(""))), 256)))).alias("_cut"),
+    )
+    found = segment_heads(chained, keys).select(*keys, "segment", F.struct("segment_head", "rows_in", "first_seq", "last_seq").alias("found"))
+    bad = listed.join(found, [*keys, "segment"], "full").filter(F.coalesce("_cut", F.lit(True)) | ~F.col("stored").eqNullSafe(F.col("found")))
+    return bad.groupBy(*keys).agg(F.min(F.coalesce(F.least("stored.first_seq", "found.first_seq"), "stored.first_seq", "found.first_seq")).alias("_at_seal"))
+
+
+def verify(chained: DataFrame, keys: Sequence[str] = ("deployment",), *, sealed: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per key: whether the chain holds, the first broken sequence number, the last hash, and the rows.
+
+    Without `sealed` a key is one chain over all its rows, and segments do not pass. With the stored list of sealed heads,
+    a segment that was deleted, cut at its end, exchanged or added is found, also if no row of it is left.
+    """
+    rows = recheck(chained, keys, segmented=sealed is not None, block_rows=block_rows).groupBy(*keys).agg(
         F.min(F.when(F.col("broken"), F.col("seq"))).alias("first_broken"),
         F.max_by("hash", "seq").alias("last_hash"),
         F.count(F.lit(1)).alias("requests"),
     )
+    if sealed is not None:
+        rows = rows.join(broken_seals(chained, sealed, keys), list(keys), "full").withColumns(
+            {"first_broken": F.least("first_broken", "_at_seal"), "requests": F.coalesce("requests", F.lit(0))}
+        )
+    return rows.select(*keys, F.col("first_broken").isNull().alias("ok"), "first_broken", "last_hash", "requests")
 
 
-def build_ledger(chained: DataFrame, keys: Sequence[str] = ("deployment",), *, grid: str = "world",
+def build_ledger(chained: DataFrame, keys: Sequence[str] = ("deployment",), *, sealed: DataFrame | None = None, grid: str = "world",
                  price_in: float | None = None, period: str | None = None) -> DataFrame:
-    """One ledger row per key. A broken chain raises instead of giving a ledger."""
+    """One ledger row per key. A broken chain raises instead of giving a ledger.
+
+    `chain_head` is the last hash, or the last seal if the chain is kept in segments with a list of `sealed` heads.
+    """
     factor = grid_factor(grid)
-    checked = recheck(chained, keys)
+    checked = recheck(chained, keys, segmented=sealed is not None)
     sums = checked.groupBy(*keys).agg(
-        F.bool_or("broken").alias("_broken"),
         F.min(F.when(F.col("broken"), F.col("seq"))).alias("_at"),
         F.count(F.lit(1)).alias("requests"),
         F.coalesce(F.sum("tokens_before"), F.lit(0)).alias("before"),
         F.coalesce(F.sum("tokens_after"), F.lit(0)).alias("after"),
-    )
+        F.max_by("hash", "seq").alias("chain_head"),
+    ).withColumn("segments", F.lit(1).cast("bigint"))
+    if sealed is not None:
+        sums = (
+            sums.drop("chain_head", "segments")
+            .join(broken_seals(chained, sealed, keys), list(keys), "full")
+            .join(chain_heads(sealed, keys).drop("chain_rows"), list(keys), "full")
+            .withColumn("_at", F.least("_at", "_at_seal"))
+            .drop("_at_seal")
+        )
     guarded = sums.withColumn(
         "before",
         F.when(
-            F.col("_broken"),
+            F.col("_at").isNotNull(),
             F.raise_error(F.concat(F.lit("audit chain broken at row "), F.col("_at"))).cast("bigint"),
         ).otherwise(F.col("before")),
     )
     saved = F.col("before") - F.col("after")
     percent = F.when(F.col("before") > 0, F.bround(100.0 * (1 - F.col("after") / F.col("before")), 4)).otherwise(0.0)
     usd = F.when(saved > 0, F.bround(saved / 1e6 * price_in, 6)) if price_in else F.lit(None).cast("double")
-    if "segment" in chained.columns:
-        heads = chain_heads(chained, keys).select(*keys, "segments", "chain_head")
-    else:
-        heads = chained.groupBy(*keys).agg(
-            F.lit(1).cast("bigint").alias("segments"), F.max_by("hash", "seq").alias("chain_head")
-        )
     return (
-        guarded.join(heads, list(keys))
+        guarded
         .withColumns({"saved": saved, "input_reduction_pct": percent, "usd_input_avoided": usd})
         .withColumns(saved_columns(F.col("saved"), grid))
         .withColumns(
@@ -173,7 +213,7 @@ def build_ledger(chained: DataFrame, keys: Sequence[str] = ("deployment",), *, g
                 "coefficient_version": F.lit(COEFFICIENT_VERSION),
             }
         )
-        .drop("_broken", "_at")
+        .drop("_at")
     )
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.config import PruneConfig
+from palimpsest.config import BLOCK_ROWS, PruneConfig
 from palimpsest.functions import effort as E
 from palimpsest.functions import secrets as X
 from palimpsest.functions import text as T
@@ -191,6 +191,40 @@ def keyword_gate(texts: DataFrame, keywords: Column) -> DataFrame:
     )
 
 
+def uncut_secrets(parts: DataFrame, vault: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Parts of `prune.render`, merged where a vault value runs from one part into the next.
+
+    Only the ends of neighbouring parts are compared, so masking part by part finds what masking the whole would.
+    """
+    longest = max((len(str(s)) for s in vault), default=0)
+    if longest < 2:
+        return parts
+    w = Window.partitionBy(*keys).orderBy("part")
+    tail = F.substring("context", -(longest - 1), longest - 1)
+    head = F.lead(F.substring("context", 1, longest - 1)).over(w)
+    met = F.concat(F.col("_tail"), F.lit("\n"), F.col("_head"))
+    spans = X.redact(met, vault)["hits"] > X.redact(F.col("_tail"), vault)["hits"] + X.redact(F.col("_head"), vault)["hits"]
+    edges = parts.withColumns({"_tail": tail, "_head": head}).withColumn("_joined", F.coalesce(spans, F.lit(False)))
+    starts = F.when(F.lag("_joined").over(w), 0).otherwise(1)
+    return (
+        edges.withColumn("_group", F.sum(starts).over(w) - 1)
+        .groupBy(*keys, F.col("_group").cast("bigint").alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("part").alias("p"), F.col("context").alias("c")))).alias("_parts"))
+        .select(*keys, "part", F.array_join(F.transform("_parts", lambda r: r["c"]), "\n").alias("context"))
+    )
+
+
+def outbound(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Masked texts that leave with each session: `zone`, `part`, `text`, `hits`, `clean`.
+
+    Kept history, query and system text are each put together first and masked then, so a secret that runs over a line break
+    between messages is found.
+    """
+    kept = prune.decide(messages, cfg).filter(F.col("keep") | (F.col("zone") != "history"))
+    parts = prune.render(kept, [*keys, "zone"], part_rows=cfg.block_rows or BLOCK_ROWS)
+    return redacted(uncut_secrets(parts, vault, [*keys, "zone"]).withColumnRenamed("context", "text"), vault)
+
+
 def hardened_report(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str], *, keys: Sequence[str] = ("session_id",),
                     threshold: float = ALERT_THRESHOLD) -> DataFrame:
     """One row per session: flood score of history and query, pruning result, redactions, clean flag.
@@ -204,9 +238,7 @@ def hardened_report(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str],
     sizes = prune.session_audit(
         prune.decide(history, cfg).select(*keys, "keep", "stable", T.token_size(F.col("text")).alias("tokens")), keys
     ).select(*keys, "tokens_before", "tokens_after", "reduction")
-    kept = prune.decide(messages, cfg).filter(F.col("keep") | (F.col("zone") != "history"))
-    masked = redacted(kept.select(*keys, "text"), vault)
-    hits = masked.groupBy(*keys).agg(
+    hits = outbound(messages, cfg, vault, keys).groupBy(*keys).agg(
         F.sum("hits").alias("secrets_redacted"), F.bool_and("clean").alias("outbound_clean")
     )
     report = flood.join(hits, list(keys), "full").join(sizes, list(keys), "left")
@@ -224,14 +256,11 @@ def hardened_report(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str],
 
 
 def hardened_prompts(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str], *, keys: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Redacted prompts of the sessions, in parts (see prune.prompts)."""
-    decided = prune.decide(messages, cfg)
-    parts = prune.render(decided.filter(F.col("keep") & (F.col("zone") == "history")), keys)
-    clean_parts = redacted(parts.withColumnRenamed("context", "text"), vault).withColumnRenamed("text", "context")
-    query = redacted(
-        messages.filter(F.col("zone") == "query").select(*keys, "text"), vault
-    ).select(*keys, F.col("text").alias("request"))
-    return prune.prompts(clean_parts.drop("hits", "clean"), query, keys)
+    """Masked prompts of the sessions, in parts (see prune.prompts), each with the masked system text."""
+    texts = outbound(messages, cfg, vault, keys)
+    zone = lambda name, alias: texts.filter(F.col("zone") == name).select(*keys, "part", F.col("text").alias(alias))
+    asked = prune.prompts(zone("history", "context"), zone("query", "request").drop("part"), keys)
+    return asked.join(zone("system", "system").drop("part"), list(keys), "left")
 
 
 def hardened_responses(responses: DataFrame, report: DataFrame, vault: Sequence[str], keys: Sequence[str] = ("session_id",)) -> DataFrame:

@@ -11,6 +11,7 @@ from palimpsest.functions import display
 from palimpsest.functions.energy import BOUNDS
 from palimpsest.operators import audit as A
 from palimpsest.operators import ledger as L
+from palimpsest.operators.lineage import cut
 from palimpsest.operators import prune, replay, units
 from palimpsest.plans.pruning import (
     AUDIT_COLUMNS,
@@ -229,13 +230,49 @@ def hash_chain(spark: SparkSession, sf: str) -> DataFrame:
 SEGMENTED = CHAIN.replace("PARTITION BY deployment ORDER BY seq", "PARTITION BY deployment, seq // 64 ORDER BY seq")
 
 
-@query("hash_chain_heads", f"""{SEGMENTED}, h AS (
-  SELECT deployment, seq // 64 AS segment, arg_max(hash, seq) AS head, count(*) AS n FROM chained GROUP BY ALL),
-l AS (SELECT deployment, list(head ORDER BY segment) AS heads, sum(n)::BIGINT AS chain_rows FROM h GROUP BY deployment)
-SELECT deployment, len(heads)::BIGINT AS segments, chain_rows, CASE WHEN len(heads) = 1 THEN heads[1]
-  ELSE list_reduce(heads, lambda a, x: sha256(a || x), 'GENESIS') END AS chain_head FROM l""")
+SEALED = f"""{SEGMENTED}, h AS (
+  SELECT deployment, seq // 64 AS segment, arg_max(hash, seq) AS head, count(*) AS n, min(seq) AS lo, max(seq) AS hi FROM chained GROUP BY ALL)"""
+
+
+@query("hash_chain_heads", f"""{SEALED},
+l AS (SELECT deployment, list(concat_ws('|', '', segment, n, lo, hi, head) ORDER BY segment) AS heads, sum(n)::BIGINT AS chain_rows
+  FROM h GROUP BY deployment)
+SELECT deployment, len(heads)::BIGINT AS segments, chain_rows, list_reduce(heads, lambda a, x: sha256(a || x), 'GENESIS') AS chain_head FROM l""")
 def hash_chain_heads(spark: SparkSession, sf: str) -> DataFrame:
-    return L.chain_heads(L.chain(audit_frame(spark, sf).rows, segment_rows=64))
+    return L.chain_heads(L.seal(L.segment_heads(in_segments(spark, sf))))
+
+
+def in_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains in segments of 64 sequence numbers, computed once."""
+    return cut(L.chain(audit_frame(spark, sf).rows, segment=F.floor(F.col("seq") / 64)))
+
+
+# What is left after rows were lost: per segment what the stored list says and what the rows say.
+def lost_sql(lost: str) -> str:
+    return f"""{SEALED}, left_over AS (SELECT * FROM chained WHERE NOT ({lost})),
+g AS (SELECT deployment, seq // 64 AS segment, arg_max(hash, seq) AS head, count(*) AS n, min(seq) AS lo FROM left_over GROUP BY ALL),
+c AS (SELECT deployment, min(h.lo) FILTER (g.head IS NULL OR g.head <> h.head OR g.n <> h.n) AS first_broken
+  FROM h LEFT JOIN g USING (deployment, segment) GROUP BY deployment),
+r AS (SELECT deployment, min(seq) FILTER (prev_hash <> coalesce(before, 'GENESIS')) AS first_broken, arg_max(hash, seq) AS last_hash, count(*) AS requests
+  FROM (SELECT *, lag(hash) OVER (PARTITION BY deployment, seq // 64 ORDER BY seq) AS before FROM left_over) GROUP BY deployment)
+SELECT deployment, least(c.first_broken, r.first_broken) IS NULL AS ok, least(c.first_broken, r.first_broken) AS first_broken, last_hash, requests
+FROM c JOIN r USING (deployment)"""
+
+
+@query("chain_verification_deleted_segment", lost_sql("deployment = 'site-1' AND seq // 64 = 1"))
+def chain_verification_deleted_segment(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of one segment are gone."""
+    rows = in_segments(spark, sf)
+    lost = (F.col("deployment") == "site-1") & (F.col("segment") == 1)
+    return L.verify(rows.filter(~lost), sealed=cut(L.seal(L.segment_heads(rows))))
+
+
+@query("chain_verification_cut_segment", lost_sql("deployment = 'site-0' AND seq // 64 = 0 AND seq >= 50"))
+def chain_verification_cut_segment(spark: SparkSession, sf: str) -> DataFrame:
+    """The end of an inner segment is gone."""
+    rows = in_segments(spark, sf)
+    lost = (F.col("deployment") == "site-0") & (F.col("segment") == 0) & (F.col("seq") >= 50)
+    return L.verify(rows.filter(~lost), sealed=cut(L.seal(L.segment_heads(rows))))
 
 
 def tampered(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,11 +294,14 @@ def chain_verification(spark: SparkSession, sf: str) -> DataFrame:
     return L.verify(tampered(spark, sf))
 
 
-@query("long_chain_verification", f"""{CHAIN}
-SELECT deployment, TRUE AS ok, NULL::BIGINT AS first_broken, arg_max(hash, seq) AS last_hash, count(*) AS requests
-FROM chained GROUP BY deployment""")
+@query("long_chain_verification", f"""{CHAIN},
+r AS (SELECT *, prev_hash <> coalesce(lag(hash) OVER (PARTITION BY deployment ORDER BY seq), 'GENESIS') OR hash <> sha256(
+    '{{"model":"' || model || '","prev_hash":"' || prev_hash || '","tokens_after":' || tokens_after || ',"tokens_before":'
+    || tokens_before || ',"ts":"' || ts || '"}}') AS broken FROM chained)
+SELECT deployment, NOT bool_or(broken) AS ok, min(seq) FILTER (broken) AS first_broken, arg_max(hash, seq) AS last_hash, count(*) AS requests
+FROM r GROUP BY deployment""")
 def long_chain_verification(spark: SparkSession, sf: str) -> DataFrame:
-    return L.verify(L.chain(audit_frame(spark, sf).rows).drop("segment"), block_rows=32)
+    return L.verify(L.chain(audit_frame(spark, sf).rows), block_rows=32)
 
 
 LEDGER = f"""{CHAIN}, s AS (

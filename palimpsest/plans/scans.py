@@ -164,7 +164,7 @@ def consolidation_gain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Words of the data that play the declared secrets.
-VAULT = ["reti", "tion", "and the", "éonç"]
+VAULT = ["reti", "tion", "and the", "éonç", ".\nT"]
 VAULT_SQL = "[" + ", ".join(f"'{v}'" for v in VAULT) + "]"
 
 
@@ -270,34 +270,46 @@ def one_line_digests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hardened_input(spark: SparkSession, sf: str) -> tuple[DataFrame, PruneConfig]:
-    """Long sessions up to their last user turn, which is the query."""
+    """Long sessions up to their last user turn, which is the query; the first turn is the system text."""
     sessions = long_signals(spark, sf)
     rows = units.split_at_query(sessions.rows, sessions.config()).filter(F.col("pos") <= F.col("split"))
-    zone = F.when(F.col("pos") == F.col("split"), "query").otherwise("history")
+    zone = F.when(F.col("pos") == F.col("split"), "query").when(F.col("pos") == 0, "system").otherwise("history")
     return rows.withColumns({"zone": zone, "n": F.col("split")}), sessions.config()
 
 
+# What leaves with each session, put together before it is masked.
+OUTBOUND = f"""z AS (
+  SELECT session_id, string_agg(text, chr(10) ORDER BY pos) FILTER (pos > 0 AND pos < q AND keep) AS context, max(text) FILTER (pos = q) AS request,
+    max(text) FILTER (pos = 0 AND q > 0) AS system FROM r GROUP BY session_id),
+o AS (SELECT session_id, sum({HITS})::BIGINT AS secrets_redacted, bool_and({CLEAN}) AS outbound_clean
+  FROM (SELECT session_id, unnest([context, request, system]) AS text FROM z) WHERE text IS NOT NULL GROUP BY session_id)"""
+
+
 @query("hardened_report", f"""WITH {S.LONG}, q AS (
   SELECT *, max(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY session_id) AS q, {S.TOKENS} AS tok, {S.ROLE_SIGNAL} AS signal FROM long),
 r AS (SELECT *, pos = q OR {S.alive('signal', 'q - 1 - pos')} AS keep FROM q WHERE pos <= q),
 w AS (SELECT session_id, list_filter(regexp_split_to_array(string_agg(text, chr(10) ORDER BY pos), '\\s+'), lambda x: x <> '') AS w
-      FROM r GROUP BY session_id),
+      FROM r WHERE pos > 0 OR pos = q GROUP BY session_id),
 f AS (SELECT session_id, {shingle_sql('w')} AS score FROM w),
-a AS (SELECT session_id, sum({HITS}) FILTER (keep)::BIGINT AS secrets_redacted, bool_and({CLEAN}) FILTER (keep) AS outbound_clean,
-  sum(tok) FILTER (pos < q)::BIGINT AS tokens_before, coalesce(sum(tok) FILTER (pos < q AND keep), 0)::BIGINT AS tokens_after
-  FROM r GROUP BY session_id)
+a AS (SELECT session_id, sum(tok) FILTER (pos > 0 AND pos < q)::BIGINT AS tokens_before,
+  coalesce(sum(tok) FILTER (pos > 0 AND pos < q AND keep), 0)::BIGINT AS tokens_after FROM r GROUP BY session_id),
+{OUTBOUND}
 SELECT session_id, round(score, 4) AS saturation, score >= 0.85 AS red_alert, secrets_redacted, outbound_clean, tokens_before, tokens_after,
-  round(1.0 - tokens_after / tokens_before, 6) AS reduction FROM f JOIN a USING (session_id)""")
+  round(1.0 - tokens_after / tokens_before, 6) AS reduction FROM f JOIN a USING (session_id) JOIN o USING (session_id)""")
 def hardened_report(spark: SparkSession, sf: str) -> DataFrame:
     rows, cfg = hardened_input(spark, sf)
     return rounded(scans.hardened_report(rows, cfg, VAULT), "reduction")
 
 
+MASKED = {name: redact_sql(name)[0] for name in ("context", "request", "system")}
+
+
 @query("hardened_prompts", f"""WITH {S.LONG}, q AS (
   SELECT *, max(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY session_id) AS q, {S.ROLE_SIGNAL} AS signal FROM long),
-r AS (SELECT session_id, pos, q, {REDACTED} AS text, {S.alive('signal', 'q - 1 - pos')} AS keep FROM q WHERE pos <= q)
-SELECT session_id, 0::BIGINT AS part, 'Context:' || chr(10) || string_agg(text, chr(10) ORDER BY pos) FILTER (pos < q AND keep)
-  || chr(10) || chr(10) || 'Request:' || chr(10) || max(text) FILTER (pos = q) AS prompt FROM r GROUP BY session_id""")
+r AS (SELECT *, {S.alive('signal', 'q - 1 - pos')} AS keep FROM q WHERE pos <= q),
+{OUTBOUND}
+SELECT session_id, 0::BIGINT AS part, 'Context:' || chr(10) || {MASKED['context']} || chr(10) || chr(10) || 'Request:' || chr(10)
+  || {MASKED['request']} AS prompt, {MASKED['system']} AS system FROM z""")
 def hardened_prompts(spark: SparkSession, sf: str) -> DataFrame:
     rows, cfg = hardened_input(spark, sf)
     return scans.hardened_prompts(rows, cfg, VAULT)
@@ -306,10 +318,10 @@ def hardened_prompts(spark: SparkSession, sf: str) -> DataFrame:
 @query("hardened_responses", f"""WITH {S.LONG}, q AS (
   SELECT *, max(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY session_id) AS q, {S.ROLE_SIGNAL} AS signal FROM long),
 r AS (SELECT *, pos = q OR {S.alive('signal', 'q - 1 - pos')} AS keep FROM q WHERE pos <= q),
-a AS (SELECT session_id, sum({HITS}) FILTER (keep)::BIGINT AS base, bool_and({CLEAN}) FILTER (keep) AS ok FROM r GROUP BY session_id),
+{OUTBOUND},
 x AS (SELECT session_id, arg_max(text, pos) AS text FROM q WHERE role = 'assistant' GROUP BY session_id)
-SELECT session_id, {REDACTED} AS text, (base + {HITS})::BIGINT AS secrets_redacted, ok AND {CLEAN} AS outbound_clean
-FROM x JOIN a USING (session_id)""")
+SELECT session_id, {REDACTED} AS text, (secrets_redacted + {HITS})::BIGINT AS secrets_redacted, outbound_clean AND {CLEAN} AS outbound_clean
+FROM x JOIN o USING (session_id)""")
 def hardened_responses(spark: SparkSession, sf: str) -> DataFrame:
     rows, cfg = hardened_input(spark, sf)
     report = scans.hardened_report(rows, cfg, VAULT)
@@ -396,17 +408,12 @@ def state_list_evicting(spark: SparkSession, sf: str) -> DataFrame:
 st AS (SELECT session_id, list_reduce(xs, lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a
   ELSE (a || x)[greatest(len(a) + 2 - 4, 1):] END, []::VARCHAR[]) AS state FROM facts),
 ctx AS (SELECT session_id, string_agg(text, chr(10) ORDER BY pos) AS context FROM decayed WHERE purged_cycle IS NULL GROUP BY session_id)
-SELECT session_id, 'Purpose: keep orders' || chr(10) || CASE WHEN len(state) > 0 THEN 'STATE:' || chr(10)
-  || array_to_string(list_transform(state, lambda s: '- ' || s || chr(10)), '') ELSE '' END || context AS prompt
-FROM ctx LEFT JOIN st USING (session_id) WHERE state IS NOT NULL""")
+SELECT session_id, 0::BIGINT AS part, 'Purpose: keep orders' || chr(10) || CASE WHEN len(state) > 0 THEN 'STATE:' || chr(10)
+  || array_to_string(list_transform(state, lambda s: '- ' || s || chr(10)), '') ELSE '' END || coalesce(context, '') AS prompt
+FROM (SELECT DISTINCT session_id FROM decayed) LEFT JOIN ctx USING (session_id) LEFT JOIN st USING (session_id)""")
 def state_rendering(spark: SparkSession, sf: str) -> DataFrame:
     sessions = cycle_rows(spark, sf)
     decayed = decay.decay_cycles(sessions.rows, block_rows=sessions.block_rows)
     held = decay.state_list(decay.absorbed_digests(decayed, sessions.block_rows), 4, sessions.block_rows)
-    parts = prune.render(decayed.filter("alive")).filter("part = 0")
-    joined = parts.join(held, "session_id")
-    return joined.select(
-        "session_id", decay.render_state("Purpose: keep orders", F.col("state"), F.col("context")).alias("prompt")
-    )
-
-
+    parts = prune.render(decayed.filter("alive"))
+    return decay.render_sessions("Purpose: keep orders", decayed.select("session_id"), held, parts)

@@ -20,36 +20,42 @@ def stored_chain(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{CHAIN_SCHEMA}, batch BIGINT").parquet(path)
 
 
-def append_batch(batch: DataFrame, earlier: DataFrame | None, keys: Sequence[str] = ("deployment",), *,
-                 segment_rows: int = L.SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Chain rows of a batch, continued from the last stored hash of each segment, and the late rows.
+def append_batch(batch: DataFrame, ends: DataFrame | None, keys: Sequence[str] = ("deployment",)) -> tuple[DataFrame, DataFrame]:
+    """Chain rows of a batch, continued from the stored ends (`_end`, `resume` per key), and the late rows.
 
-    A row whose sequence number is not beyond the stored end of its segment cannot enter the chain any
-    more; such rows are returned apart and not lost.
+    A row whose sequence number is not beyond the stored end of its chain cannot enter the chain any more; such rows are
+    returned apart and not lost.
     """
-    cells = [*keys, "segment"]
-    rows = batch.withColumn("segment", F.floor(F.col("seq") / segment_rows).cast("bigint"))
-    if earlier is None:
-        return L.chain(batch, keys, segment_rows=segment_rows), rows.limit(0)
-    ends = earlier.groupBy(*cells).agg(F.max("seq").alias("_end"), F.max_by("hash", "seq").alias("resume"))
-    placed = rows.join(ends, cells, "left")
+    if ends is None:
+        return L.chain(batch, keys), batch.limit(0)
+    placed = batch.join(ends, list(keys), "left")
     late = placed.filter(F.col("seq") <= F.col("_end"))
     fresh = placed.filter(F.col("_end").isNull() | (F.col("seq") > F.col("_end")))
     return (
-        L.chain(fresh.drop("segment", "_end"), keys, segment_rows=segment_rows),
-        late.drop("_end", "resume", "segment"),
+        L.chain(fresh.drop("_end"), keys),
+        late.drop("_end", "resume"),
     )
 
 
-def chain_stream(stream: DataFrame, path: str, checkpoint: str, *, segment_rows: int = L.SEGMENT_ROWS) -> None:
-    """Process everything available. Each batch writes its own folder, so a repeated batch replaces it."""
+def _ends(chained: DataFrame, earlier: DataFrame | None, keys: Sequence[str] = ("deployment",)) -> DataFrame:
+    """Last sequence number and hash of every chain: one row per key, from the last ends and the new rows."""
+    new = chained.select(*keys, F.col("seq").alias("_end"), F.col("hash").alias("resume"))
+    rows = new if earlier is None else new.unionByName(earlier.select(*keys, "_end", "resume"))
+    return rows.groupBy(*keys).agg(F.max("_end").alias("_end"), F.max_by("resume", "_end").alias("resume"))
+
+
+def chain_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available. Each batch writes its own folders, so a repeated batch replaces them, and reads only the
+    table of chain ends that the batch before left."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        earlier = stored_chain(spark, path).filter(F.col("batch") < number) if number > 0 else None
-        chained, late = append_batch(batch, earlier, segment_rows=segment_rows)
+        ends = spark.read.parquet(f"{path}-ends/batch={number - 1}") if number > 0 else None
+        chained, late = append_batch(batch, ends)
         chained.write.mode("overwrite").parquet(f"{path}/batch={number}")
         late.write.mode("overwrite").parquet(f"{path}-late/batch={number}")
+        done = spark.read.schema(CHAIN_SCHEMA).parquet(f"{path}/batch={number}")
+        _ends(done, ends).write.mode("overwrite").parquet(f"{path}-ends/batch={number}")
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -60,8 +66,8 @@ def chain_stream(stream: DataFrame, path: str, checkpoint: str, *, segment_rows:
     query.awaitTermination()
 
 
-def chained_table(stream: DataFrame, *, segment_rows: int = L.SEGMENT_ROWS) -> DataFrame:
+def chained_table(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     root = scratch(spark, "chain")
-    chain_stream(stream, f"{root}/rows", f"{root}/progress", segment_rows=segment_rows)
+    chain_stream(stream, f"{root}/rows", f"{root}/progress")
     return stored_chain(spark, f"{root}/rows")

@@ -135,6 +135,20 @@ def test_hardened_report(spark):
     assert prompts[0].endswith("Request:\nuse [REDACTED] now") and prompts[0].count("old noise") == 6
 
 
+@pytest.mark.parametrize("block_rows", [0, 2, 3])
+def test_secrets_over_line_and_part_borders(spark, block_rows):
+    texts = ["a SEC", "RET b", "RET", "SEC", "RET SEC", "x"]
+    rows = [(0, p, 6, "user", 1, t, "history") for p, t in enumerate(texts)] + [(0, 6, 6, "user", 1, "SEC", "query"), (0, -1, 6, "system", 1, "SEC\nRET", "system")]
+    df = spark.createDataFrame(rows, "session_id INT, pos BIGINT, n BIGINT, role STRING, signal INT, text STRING, zone STRING")
+    cfg = PruneConfig(half_life=1.0, threshold=0.4, block_rows=block_rows)
+    vault = ["SEC\nRET", "b\nRET"]
+    row = scans.hardened_report(df, cfg, vault).collect()[0]
+    assert (row.secrets_redacted, row.outbound_clean) == (4, True)
+    got = sorted(scans.hardened_prompts(df, cfg, vault).collect(), key=lambda r: r.part)
+    m = "[REDACTED]"
+    assert "".join(r.prompt for r in got) == f"Context:\na {m} {m}\n{m} SEC\nx\n\nRequest:\nSEC" and got[0].system == m
+
+
 def test_probes_and_gates(spark):
     df = spark.createDataFrame([("a", "Alpha BETA"), ("b", "gamma"), ("c", "x")], "scenario STRING, text STRING")
     got = [r.coverage for r in scans.probe_coverage(df, F.col("scenario"), {"a": ["alpha", "beta", "no"], "b": ["GAMMA"]}).collect()]

@@ -81,9 +81,9 @@ def test_session_pruner(spark, tmp_path):
 def test_chain_continues_over_batches(spark, tmp_path):
     rows = [(i, "d", f"t{i}", "m", 10 + i, i) for i in range(30)]
     audit = spark.createDataFrame(rows, "seq BIGINT, deployment STRING, ts STRING, model STRING, tokens_before BIGINT, tokens_after BIGINT")
-    whole = {r.seq: r.hash for r in L.chain(audit, segment_rows=8).collect()}
-    first, none = ledger_stream.append_batch(audit.filter("seq < 13"), None, segment_rows=8)
-    second, late = ledger_stream.append_batch(audit.filter("seq >= 11"), first, segment_rows=8)
+    whole = {r.seq: r.hash for r in L.chain(audit).collect()}
+    first, none = ledger_stream.append_batch(audit.filter("seq < 13"), None)
+    second, late = ledger_stream.append_batch(audit.filter("seq >= 11"), ledger_stream._ends(first, None))
     got = {r.seq: r.hash for r in first.unionByName(second).collect()}
     assert got == whole and none.count() == 0
     assert sorted(r.seq for r in late.collect()) == [11, 12]
