@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.dims import GRID_G_PER_KWH
-from palimpsest.functions.energy import BOUNDS, cache_multiplier, saved_columns, watt_hours
+from palimpsest.functions.energy import BOUNDS, uncached_share, saved_columns, watt_hours
 from palimpsest.operators.prune import reduction
 from palimpsest.operators.sequence import Layout, number_rows
 
@@ -147,7 +147,7 @@ def compare_configs(control: DataFrame, tuned: DataFrame, on: Sequence[str], mea
 def deployment_projection(totals: DataFrame, *, dispatches_per_day: float, cache_hit: float = 0.0,
                           cache_cost: float = 0.10) -> DataFrame:
     """Yearly MWh and t CO2e avoided per grid, from the mean saving per request."""
-    factor = cache_multiplier(cache_hit, cache_cost)
+    factor = uncached_share(cache_hit, cache_cost)
     per_request = F.try_divide(F.col("tokens_saved").cast("double"), F.col("requests").cast("double"))
     yearly = F.floor(per_request * dispatches_per_day * 365)
     grids = F.array(

@@ -79,19 +79,27 @@ def study_cells(cells: DataFrame) -> DataFrame:
 def study_summary(cells: DataFrame) -> DataFrame:
     """Per model and pooled (model null): saving, cacheable cells, crossover; free cells are only counted."""
     ok = F.col("informative")
-    both = study_cells(cells).groupingSets([["model"], []], "model")
-    median_k = F.percentile(F.when(ok, F.col("k")), 0.5)
-    return both.agg(
-        F.count_if(ok).alias("cells"),
-        F.count_if(~ok).alias("excluded"),
-        F.percentile(F.when(ok, F.col("saving_pct")), 0.5).alias("median_saving_pct"),
-        F.min(F.when(ok, F.col("saving_pct"))).alias("min_saving_pct"),
-        F.max(F.when(ok, F.col("saving_pct"))).alias("max_saving_pct"),
-        F.count_if(ok & F.col("cacheable")).alias("cacheable_cells"),
-        F.count_if(ok & F.col("k").isNull()).alias("never_crossed"),
-        F.floor(median_k).cast("bigint").alias("median_k"),
-        F.min(F.when(ok, F.col("k"))).alias("min_k"),
-        F.max(F.when(ok, F.col("k"))).alias("max_k"),
+    cells = study_cells(cells)
+    per_model = cells.withColumn("scope", F.struct(F.col("model")))
+    pooled = cells.withColumn("scope", F.struct(F.lit(None).cast("string").alias("model")))
+    out = exact_medians(
+        per_model.unionByName(pooled),
+        ["scope"],
+        {"median_saving_pct": F.when(ok, F.col("saving_pct")), "median_k": F.when(ok, F.col("k"))},
+        also=[
+            F.count_if(ok).alias("cells"),
+            F.count_if(~ok).alias("excluded"),
+            F.min(F.when(ok, F.col("saving_pct"))).alias("min_saving_pct"),
+            F.max(F.when(ok, F.col("saving_pct"))).alias("max_saving_pct"),
+            F.count_if(ok & F.col("cacheable")).alias("cacheable_cells"),
+            F.count_if(ok & F.col("k").isNull()).alias("never_crossed"),
+            F.min(F.when(ok, F.col("k"))).alias("min_k"),
+            F.max(F.when(ok, F.col("k"))).alias("max_k"),
+        ],
+    )
+    return out.select(
+        "scope.model", "cells", "excluded", "median_saving_pct", "min_saving_pct", "max_saving_pct", "cacheable_cells", "never_crossed",
+        F.floor("median_k").cast("bigint").alias("median_k"), "min_k", "max_k",
     )
 
 
@@ -102,12 +110,8 @@ def cost_curve(cells: DataFrame, calls: int = 30) -> DataFrame:
         & F.col("bc.warm_cost_usd").isNotNull()
         & F.col("mc.warm_cost_usd").isNotNull()
     )
-    medians = usable.groupBy("model").agg(
-        *[
-            F.percentile(F.col(f"{cell}.{kind}_cost_usd"), 0.5).alias(f"{cell}_{kind}")
-            for cell in ("bc", "mc")
-            for kind in ("cold", "warm")
-        ]
+    medians = exact_medians(
+        usable, ["model"], {f"{cell}_{kind}": F.col(f"{cell}.{kind}_cost_usd") for cell in ("bc", "mc") for kind in ("cold", "warm")}
     )
     points = medians.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(calls))))
     more = F.col("k") - 1
@@ -119,11 +123,11 @@ def cost_curve(cells: DataFrame, calls: int = 30) -> DataFrame:
     )
 
 
-def step_medians(rows: DataFrame, *, large: bool = False) -> DataFrame:
+def step_medians(rows: DataFrame) -> DataFrame:
     """Median cost and prompt size per model, arm and step of the growing study."""
     by = ["model", "arm", "step"]
     medians = {"median_cost": F.col("cost_usd"), "median_tokens": F.col("prompt_tokens")}
-    return exact_medians(rows, by, medians, large=large, also=[F.max("history_turns").alias("history_turns")])
+    return exact_medians(rows, by, medians, also=[F.max("history_turns").alias("history_turns")])
 
 
 def cumulative_costs(medians: DataFrame) -> DataFrame:

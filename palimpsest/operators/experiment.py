@@ -100,7 +100,7 @@ def stale_breakdown(pairs: DataFrame) -> DataFrame:
     return pair_sums(labelled, ["stale_ratio"]).orderBy(place)
 
 
-def chart_stats(pairs: DataFrame, *, large: bool = False) -> DataFrame:
+def chart_stats(pairs: DataFrame) -> DataFrame:
     """Medians per model (interpolated), mean tokens saved and success rates."""
     a, b = F.col("a"), F.col("b")
     means = [
@@ -114,7 +114,7 @@ def chart_stats(pairs: DataFrame, *, large: bool = False) -> DataFrame:
         "median_b": b["input_tokens"],
         "median_reduction_pct": input_reduction_pct(pairs),
     }
-    return exact_medians(pairs, ["model"], medians, large=large, also=means)
+    return exact_medians(pairs, ["model"], medians, also=means)
 
 
 def usd_per_thousand(stats_frame: DataFrame, roster: DataFrame) -> DataFrame:
@@ -219,13 +219,13 @@ def scenario_verdict(cells: DataFrame) -> DataFrame:
     )
 
 
-def trial_medians(rows: DataFrame, by: Sequence[str], measures: Sequence[str], *, large: bool = False) -> DataFrame:
+def trial_medians(rows: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Median of each measure per arm and the reduction in percent."""
     medians = {}
     for m in measures:
         for side, arm in (("a", BASELINE), ("b", TREATED)):
             medians[f"{m}_{side}"] = F.when(F.col("arm") == arm, F.col(m))
-    out = exact_medians(rows, by, medians, large=large)
+    out = exact_medians(rows, by, medians)
     return out.withColumns(
         {f"{m}_reduction_pct": 100.0 * (1.0 - F.try_divide(F.col(f"{m}_b"), F.col(f"{m}_a"))) for m in measures}
     )

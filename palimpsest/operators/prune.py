@@ -113,11 +113,16 @@ def prompts(parts: DataFrame, requests: DataFrame, keys: Sequence[str] = KEYS) -
 
 
 def deletion_only_violations(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows of the output that the input does not hold at the same place; must be empty."""
-    columns = [*keys, "pos", "role", "text"]
-    return after.select(*columns).join(
-        before.select(*columns), on=[after[c].eqNullSafe(before[c]) for c in columns], how="left_anti"
-    )
+    """Rows of the output that the input does not hold at the same place; must be empty.
+
+    Rows meet by key, position and a digest of their content, so the input's texts are not shuffled.
+    """
+    content = F.sha2(F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}), 256)
+    places = [*keys, "pos"]
+    held = before.select(*places, content.alias("_content"))
+    rows = after.select(*places, "role", "text", content.alias("_content"))
+    same = [rows[c].eqNullSafe(held[c]) for c in places] + [rows["_content"] == held["_content"]]
+    return rows.join(held, on=same, how="left_anti").drop("_content")
 
 
 def hold_small_purges(audit: DataFrame, hysteresis: float) -> DataFrame:

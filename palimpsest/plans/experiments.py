@@ -9,7 +9,6 @@ from palimpsest import dims
 from palimpsest.operators import cache_study as CS
 from palimpsest.operators import experiment as X
 from palimpsest.operators import replay
-from palimpsest.operators.selection import may_be_large
 from palimpsest.plans.audits import MODELS, MODELS_SQL
 from palimpsest.plans.pruning import long_signals, replay_sql, rounded
 from palimpsest.plans.registry import query
@@ -74,10 +73,6 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return X.pair_arms(results(spark, sf))
 
 
-def large(spark: SparkSession, sf: str) -> bool:
-    return may_be_large(tables.table(spark, sf, "conversations"))
-
-
 def arm_sql(number: int, name: str, tokens: str) -> str:
     return f"""SELECT '{name}' AS arm, 'task-' || session_id AS task, ['high', 'medium', 'low'][(session_id % 3 + 1)::INT] AS stale_ratio,
     {MODELS_SQL}[((request_no - 1) % 8 + 1)::INT] AS model, (request_no - 1) // 8 AS rep, request_pos * 1000 + session_id * 10 AS ingest_seq,
@@ -173,20 +168,20 @@ CHART = f"""{PAIRS}, st AS (SELECT model, count(*) AS n_pairs, median(ain) AS me
 
 @query("chart_stats", f"""{CHART} SELECT * EXCLUDE (mean_saved), round(mean_saved, 6) AS mean_input_saved FROM st""")
 def chart_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = X.chart_stats(pairs(spark, sf), large=large(spark, sf))
+    out = X.chart_stats(pairs(spark, sf))
     return rounded(out, "median_reduction_pct", "success_a", "success_b", "mean_input_saved")
 
 
 @query("chart_stats_bracketed", f"""{CHART} SELECT model, median_a, median_b, median_reduction_pct FROM st""")
 def chart_stats_bracketed(spark: SparkSession, sf: str) -> DataFrame:
-    out = X.chart_stats(pairs(spark, sf), large=True)
+    out = X.chart_stats(pairs(spark, sf))
     return rounded(out.select("model", "median_a", "median_b", "median_reduction_pct"), "median_reduction_pct")
 
 
 @query("usd_per_thousand_sessions", f"""{CHART} SELECT model, tier, n_pairs, round(mean_saved * price_in / 1e6 * 1000, 6) AS usd_per_1k
 FROM st JOIN roster USING (model) ORDER BY tier <> 'frontier', usd_per_1k DESC, model""")
 def usd_per_thousand_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    out = X.usd_per_thousand(X.chart_stats(pairs(spark, sf), large=large(spark, sf)), dims.roster(spark))
+    out = X.usd_per_thousand(X.chart_stats(pairs(spark, sf)), dims.roster(spark))
     return rounded(out.select("model", "tier", "n_pairs", "usd_per_1k"), "usd_per_1k")
 
 
@@ -267,7 +262,7 @@ def scenario_verdict(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stale_ratio, round(la, 6) AS latency_s_a, round(lb, 6) AS latency_s_b, ia AS input_tokens_a, ib AS input_tokens_b,
   round(100.0 * (1 - lb / la), 6) AS latency_s_reduction_pct, round(100.0 * (1 - ib / ia), 6) AS input_tokens_reduction_pct FROM m""")
 def trial_medians(spark: SparkSession, sf: str) -> DataFrame:
-    out = X.trial_medians(results(spark, sf), ["stale_ratio"], ["latency_s", "input_tokens"], large=large(spark, sf))
+    out = X.trial_medians(results(spark, sf), ["stale_ratio"], ["latency_s", "input_tokens"])
     return rounded(out, "latency_s_a", "latency_s_b", "latency_s_reduction_pct", "input_tokens_reduction_pct")
 
 
@@ -521,7 +516,7 @@ def growing_sql() -> str:
 @query("growing_medians", f"""{growing_sql()} SELECT model, arm, step, round(median_cost, 8) AS median_cost, median_tokens, history_turns,
   round(cumulative_cost, 8) AS cumulative_cost FROM run""")
 def growing_medians(spark: SparkSession, sf: str) -> DataFrame:
-    medians = CS.step_medians(growing_rows(spark, sf), large=large(spark, sf))
+    medians = CS.step_medians(growing_rows(spark, sf))
     return rounded(CS.cumulative_costs(medians), "median_cost", "cumulative_cost", places=8)
 
 
@@ -531,7 +526,7 @@ def growing_medians(spark: SparkSession, sf: str) -> DataFrame:
 SELECT model, steps, round(ua, 8) AS usd_a, round(ub, 8) AS usd_b, ta AS last_tokens_a, tb AS last_tokens_b,
   round(100.0 * (1 - ub / ua), 6) AS saved_pct, round(ta / tb, 6) AS token_ratio FROM e""")
 def growing_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = CS.growing_summary(CS.step_medians(growing_rows(spark, sf), large=large(spark, sf)))
+    out = CS.growing_summary(CS.step_medians(growing_rows(spark, sf)))
     return rounded(rounded(out, "usd_a", "usd_b", places=8), "saved_pct", "token_ratio")
 
 

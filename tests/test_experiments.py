@@ -13,7 +13,7 @@ from palimpsest import dims
 from palimpsest.functions import stats
 from palimpsest.operators import cache_study as CS
 from palimpsest.operators import experiment as X
-from palimpsest.operators.selection import exact_medians, may_be_large
+from palimpsest.operators.selection import exact_medians
 from palimpsest.sources import experiment_rows as E
 
 ROW = "ingest_seq BIGINT, model STRING, task STRING, rep BIGINT, arm STRING, input_tokens BIGINT, output_tokens BIGINT, success BOOLEAN, stale_ratio STRING"
@@ -115,15 +115,17 @@ def test_bootstrap_of_a_large_group_uses_every_row(spark):
     assert m.ci_low < np.median(values) < m.ci_high
 
 
-def test_medians_with_and_without_bracket(spark):
+def test_medians_of_all_sizes(spark):
     rng = random.Random(6)
     rows = [(g, rng.choice([rng.random() * 100, float(rng.randint(0, 5))])) for g in range(4) for _ in range(rng.choice([1, 2, 501, 800]))]
     df = spark.createDataFrame(rows, "g INT, v DOUBLE")
     want = {g: float(np.median([v for k, v in rows if k == g])) for g in range(4)}
-    for large in (False, True):
-        got = {r.g: r.m for r in exact_medians(df, ["g"], {"m": F.col("v")}, large=large).collect()}
-        assert got == pytest.approx(want)
-    assert not may_be_large(df) and may_be_large(df, 10)
+    two = {"m": F.col("v"), "half": F.when(F.col("g") > 0, F.col("v") / 2)}
+    got = {r.g: (r.m, r.half, r.n) for r in exact_medians(df, ["g"], two, also=[F.count("*").alias("n")]).collect()}
+    assert {g: m for g, (m, _, _) in got.items()} == pytest.approx(want)
+    assert {g: h for g, (_, h, _) in got.items() if g} == pytest.approx({g: m / 2 for g, m in want.items() if g}) and got[0][1] is None
+    assert sum(n for _, _, n in got.values()) == len(rows)
+    assert exact_medians(df.limit(0), ["g"], two).count() == 0
 
 
 def test_crossover_fixture(spark):
