@@ -5,7 +5,7 @@ its smallest value; an empty bin takes the value of the first filled bin in a fi
 optimal densification. Bands of bins are bucket keys.
 A bucket proposes only links from one centre to its other members, a star, and each proposed link is confirmed on the full
 sets. Where a bucket still holds members of different components, its members outside the largest of them meet the others
-once more, behind three filters: the sizes, the distances to the centre, and sketches of 2,048 bits.
+once more, behind three filters: the sizes, the distances to the centre, and sketches of 4,096 bits.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from palimpsest.llm.textarrays import U64, Chunk, chunks, hash_spans, mix, space
 from palimpsest.operators.lineage import cut
 
 
-#: Bits of a sketch.
-SKETCH_BITS = 2048
+#: Bits of a sketch, taken from signatures of so many bins each.
+SKETCH_BITS = 4096
+SKETCH_BINS = 2048
 
 
 @dataclass(frozen=True)
@@ -115,10 +116,10 @@ def band_keys(shingles: np.ndarray, cfg: NearConfig) -> np.ndarray:
 
 def sketch_bits(shingles: np.ndarray, cfg: NearConfig) -> np.ndarray:
     """One bit of each of `SKETCH_BITS` bins, as 64-bit numbers. Bits of a pair agree with probability (1 + similarity) / 2."""
-    at = np.arange(SKETCH_BITS, dtype=U64)
+    at = np.arange(SKETCH_BINS, dtype=U64) * U64(0x9FB21C651E98DF25)
     with np.errstate(over="ignore"):
-        bits = mix(bin_values(shingles, SKETCH_BITS, cfg.seed + 1) + at * U64(0x9FB21C651E98DF25)) & U64(1)
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+        values = [mix(bin_values(shingles, SKETCH_BINS, cfg.seed + 1 + k) + at) for k in range(SKETCH_BITS // SKETCH_BINS)]
+    return np.packbits((np.concatenate(values) & U64(1)).astype(np.uint8)).view(np.int64)
 
 
 def _signature(cfg: NearConfig):
@@ -223,7 +224,8 @@ def _left_over(stars: DataFrame, labels: DataFrame, decided: DataFrame, sets: Da
     group with few others stays linear. A pair is passed on if
 
     * its sizes and its distances to the centre (1 - similarity is a metric) allow the similarity, which loses nothing;
-    * its sketches differ in no more bits than a pair at the threshold does with a chance of one in 10^8.
+    * its sketches differ in no more bits than a pair at the threshold does with a chance of one in 10^8;
+    * it meets in the first of the buckets that both are in, so it comes once.
     """
     held = stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = held.groupBy("bucket", "component").agg(F.count("*").alias("n"))
@@ -232,12 +234,11 @@ def _left_over(stars: DataFrame, labels: DataFrame, decided: DataFrame, sets: Da
     ).filter("parts > 1").select("bucket", "major")
     far = decided.select(F.col("a").alias("rep"), F.col("b").alias("centre"), (1 - F.col("similarity")).alias("far"))
     held = cut(held.join(mixed, "bucket").join(far, ["rep", "centre"], "left").select("bucket", "major", "rep", "component", "n_shingles", "far"))
-    ids = held.select("rep").distinct()
-    sketches = sets.join(ids, "rep", "left_semi").select("rep", _sketch(cfg)("shingles").alias("bits"))
-    held = held.join(sketches, "rep")
+    own = held.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # at most one bucket per band
+    held = held.join(sets.join(own, "rep").select("rep", "buckets", _sketch(cfg)("shingles").alias("bits")), "rep")
 
     x, y = (
-        held.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("major", "rep", "component", "n_shingles", "far", "bits")]) for k in "xy"
+        held.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("major", "rep", "component", "n_shingles", "far", "bits", "buckets")]) for k in "xy"
     )
     differing = sum(F.bit_count(F.col("bitsx")[k].bitwiseXOR(F.col("bitsy")[k])) for k in range(SKETCH_BITS // 64))
     reach = F.coalesce(F.abs(F.col("farx") - F.col("fary")) <= 1 - cfg.percent / 100 + 1e-9, F.lit(True))
@@ -248,9 +249,10 @@ def _left_over(stars: DataFrame, labels: DataFrame, decided: DataFrame, sets: Da
         & ((F.col("componenty") == F.col("majory")) | (F.col("repx") > F.col("repy")))
         & _sizes_fit(cfg, "n_shinglesx", "n_shinglesy")
         & reach
-        & (differing <= most_differing(cfg)),
+        & (differing <= most_differing(cfg))
+        & (x["bucket"] == F.array_min(F.array_intersect("bucketsx", "bucketsy"))),
     )
-    return met.select(F.greatest("repx", "repy").alias("a"), F.least("repx", "repy").alias("b")).distinct()
+    return met.select(F.greatest("repx", "repy").alias("a"), F.least("repx", "repy").alias("b"))
 
 
 def most_differing(cfg: NearConfig) -> int:
