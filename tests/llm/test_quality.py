@@ -35,7 +35,7 @@ def test_monotonic_features_never_raise_the_score():
             moved[:, feature] = v
             grid.append(trees.probability(moved))
         assert (sign * np.diff(np.array(grid), axis=0) >= -1e-12).all()
-    assert ((trees.probability(x) > 0.5) == y).mean() > 0.9
+    assert ((trees.probability(x) > 0.5) == y).mean() > 0.85
 
 
 def test_training_does_not_depend_on_row_order():
