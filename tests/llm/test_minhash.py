@@ -29,7 +29,7 @@ def drifting(rng, n, words):
 def test_components_equal_brute_force(spark, k):
     rng = random.Random(k)
     words = [f"w{i}" for i in range(400)]
-    texts = [t for _ in range(6) for t in drifting(rng, 25, words)]
+    texts = [t for _ in range(5) for t in drifting(rng, 14, words)]
     texts += [texts[0].upper()] * 5 + ["", None, " \n", "one", "ONE", "one two", "two one", "one two three four"]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
