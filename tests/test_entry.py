@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -51,3 +53,16 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(map(repr, ([r[names.index(c)] for c in columns] for r in result.fetchall())))
     assert [g.replace("-0.0", "0.0") for g in got] == [w.replace("-0.0", "0.0") for w in want]
+
+
+def test_python_workers_find_the_package_from_any_folder(tmp_path):
+    """A query with a Python function, started where the repository is not on the workers' path."""
+    code = (
+        f"import sys; sys.path.insert(0, {os.path.dirname(os.path.abspath(entry.__file__))!r}); import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        f"print('rows', e.queries()['hash_chain'](s, {SF!r}).count())"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows " in done.stdout, done.stderr[-2000:]
