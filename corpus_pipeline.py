@@ -8,6 +8,7 @@ tasks, not stages.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +16,34 @@ from pyspark.sql import functions as F
 from palimpsest.llm import grace, minhash, mixing, pieces, quality
 from palimpsest.llm.queries import PIECES
 from palimpsest.llm.tables import table
-from palimpsest.operators.lineage import checkpoint_root
+from palimpsest.operators.lineage import checkpoint_root, cut
 from palimpsest.shipping import ship
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """`docs` but those whose verdict is not to be kept; rows without an id stay."""
-    dropped = verdicts.filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _one_of_each(docs: DataFrame, verdicts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`docs` but the rows that `verdicts`, called with the rows and their numbers in `_row`, does not keep.
+
+    Rows are told apart by id and digest of the text. Where every id is there and has one text, the id is the number. Else
+    rows are numbered in the order of id, null ids last, and digest, so that the smallest id stays first. Of rows that repeat
+    both, one stays, the smallest by its other columns.
+    """
+    whole = [F.col("doc_id").cast("string"), F.col("text")]
+    spelt = [*[F.coalesce(F.length(c), F.lit(-1)) for c in whole], *[F.coalesce(c, F.lit("")) for c in whole]]
+    digest = F.sha2(F.concat_ws(":", *spelt), 256)
+    keys = cut(docs.select("doc_id", digest.alias("_key")).groupBy("doc_id", "_key").agg(F.count("*").alias("_copies")))
+    if keys.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
+        keys = keys.withColumn("_row", F.col("doc_id"))
+        rows = docs.withColumn("_row", F.col("doc_id"))
+    else:
+        keys = cut(keys.orderBy(F.asc_nulls_last("doc_id"), "_key").withColumn("_row", F.monotonically_increasing_id()))
+        rows = cut(docs.withColumn("_key", digest).join(keys.select("_key", "_row"), "_key").drop("_key"))
+    left = rows.join(verdicts(rows).filter("NOT kept").select("_row").distinct(), "_row", "left_anti")
+    repeated = keys.filter("_copies > 1").select("_row")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    copies = cut(left.join(repeated, "_row", "left_semi"))  # cut, so that copies of one row meet after they are merged by task
+    one = copies.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return left.join(repeated, "_row", "left_anti").select(*docs.columns).union(one)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +55,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     ship(spark)
-    return _without(docs, grace.exact_duplicates(docs))
+    return _one_of_each(docs, lambda rows: grace.exact_duplicates(rows, id_col="_row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets with a similarity of 0.8 or more."""
     ship(spark)
-    return _without(docs, minhash.near_duplicates(docs, minhash.NearConfig(words=5, percent=80)))
+    return _one_of_each(docs, lambda rows: minhash.near_duplicates(rows, minhash.NearConfig(words=5, percent=80), id_col="_row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
