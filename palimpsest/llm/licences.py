@@ -83,6 +83,19 @@ Permission is granted to anyone to use this software for any purpose, including
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
+_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+LICENCES["BSD-3-Clause"] = LICENCES["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", f"{_THIRD}\n\nTHIS SOFTWARE IS PROVIDED")
+
+#: Titles above published texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License"],
+}
+
 #: Notices that name a licence in one line.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -91,13 +104,18 @@ NOTICES = {
     "MIT": "Released under the MIT License.",
 }
 
-_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A copyright statement in a line of its own. "Copyright" before one of these words is a wrapped line of the licence itself.
+_BODY = "notices?|holders?|owners?|licen[cs]es?|laws?|statements?|and|or|in|to|of|is|are|as|for|by"
+_COPYRIGHT = (
+    rf"(?m)^[^a-z0-9\n]*(?:copyright\b(?=[^\n]*[\p{{L}}\p{{N}}])(?![^\p{{L}}\p{{N}}\n]*(?:{_BODY})\b)|\(c\)|©|all rights reserved)[^\n]*$"
+)
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a text: words with single spaces; empty for null, for empty texts and for copyright lines alone.
 
-    A line is a copyright line if it begins with the word or sign, after anything but letters a-z and digits. Hyphens,
+    A line is a copyright line if it begins with the word or sign, after anything but letters a-z and digits, and a year, (c)
+    or a holder follows the word, so that a wrapped line "copyright notice and this ..." stays. Hyphens,
     apostrophes and soft hyphens vanish, so that "sub-license" is "sublicense"; all other punctuation separates words.
     """
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "")
@@ -125,7 +143,11 @@ def scanned(docs: DataFrame, licences: dict[str, str] | None = None, notices: di
     each. A column `scan` of `docs` is replaced.
     """
     spark = docs.sparkSession
-    whole = known(spark, LICENCES if licences is None else licences).groupBy("known_digest").agg(F.min("licence").alias("licence"))
+    texts = known(spark, LICENCES if licences is None else licences)
+    if licences is None:
+        for k in range(max(map(len, TITLES.values()))):
+            texts = texts.union(known(spark, {x: f"{t[k]}\n\n{LICENCES[x]}" for x, t in TITLES.items() if k < len(t)}))
+    whole = texts.groupBy("known_digest").agg(F.min("licence").alias("licence"))
     lines = known(spark, NOTICES if notices is None else notices).groupBy("known_digest").agg(F.min("licence").alias("licence"))
     notice_of = F.create_map(*[F.lit(x) for r in lines.collect() for x in (r["known_digest"], r["licence"])])
     own = [c for c in docs.columns if c != "scan"]

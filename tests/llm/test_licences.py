@@ -43,3 +43,16 @@ def test_plan_is_native_and_empty_tables_work(spark):
     assert licences.scanned(documents(spark, [])).count() == 0
     plan = licences.scanned(documents(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_published_wrapping_and_titles(spark):
+    wrapped_isc = LICENCES["ISC"].replace("above copyright", "above\ncopyright")
+    wrapped_bsd = LICENCES["BSD-2-Clause"].replace("the above copyright", "the above\n   copyright").replace("THE COPYRIGHT HOLDER OR", "THE\nCOPYRIGHT HOLDER OR")
+    rows = [
+        (1, "ISC License\n\nCopyright (c) 2004-2010 by Some Holder\n\n" + wrapped_isc),
+        (2, "Copyright Some Holder\n" + wrapped_bsd),
+        (3, "MIT License\n\nCopyright (c) 2020 A. Author\n\n" + MIT),
+        (4, "BSD 3-Clause License\n\nCopyright 2020, A\nAll rights reserved.\n\n" + LICENCES["BSD-3-Clause"]),
+    ]
+    got = {r["doc_id"]: r["scan"]["licence"] for r in licences.scanned(documents(spark, rows)).collect()}
+    assert got == {1: "ISC", 2: "BSD-2-Clause", 3: "MIT", 4: "BSD-3-Clause"}
