@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fixity, grace, hosts, language, licences, minhash, mixing, pieces, quality, toxicity
+from palimpsest.llm import alignment, fixity, grace, hosts, language, licences, minhash, mixing, pieces, pivots, quality, toxicity
 from palimpsest.llm.tables import table
 from palimpsest.llm.textstats import COUNTS
 from palimpsest.operators.lineage import cut
@@ -265,3 +265,36 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "scan.canonical_sha256", "scan.licence", F.array_join("scan.notices", ",").alias("notices")
     )
+
+
+#: Where the byte-level vocabulary lies; read on the driver.
+BYTE_LEVEL = os.environ.get("BYTE_LEVEL_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+@_query("op11_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenizers over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.aligned(docs, alignment.read_vocabularies(BYTE_LEVEL, PIECES)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@_query(
+    "op13_pivot_search",
+    r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS "rank" FROM s)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+""",
+)
+def pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all embeddings for every fiftieth."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", pivots.quantised(F.col("embedding"), 256).alias("vector"))
+    found = pivots.nearest(vectors, F.col("vec_id") % 50 == 0, id_col="vec_id")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
