@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import alignment, fixity, grace, hosts, language, licences, minhash, mixing, pieces, pivots, quality, toxicity
+from palimpsest.llm import alignment, fixity, grace, hosts, impacts, language, licences, minhash, mixing, pieces, pivots, quality, toxicity
 from palimpsest.llm.tables import table
 from palimpsest.llm.textstats import COUNTS
 from palimpsest.operators.lineage import cut
@@ -280,6 +280,35 @@ def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    "op12_ranked_search",
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS t FROM documents),
+c AS (SELECT count(*)::BIGINT AS nn, sum(len(t))::BIGINT AS ll FROM d WHERE len(t) > 0),
+p AS MATERIALIZED (
+  SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n FROM (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM d) GROUP BY doc_id, term),
+q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM benchmark) GROUP BY item_id, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM p JOIN w USING (term) JOIN q USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS "rank" FROM s WHERE score > 0)
+SELECT item_id, "rank", doc_id, score FROM r WHERE "rank" <= 20
+""",
+)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of all documents for every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return impacts.ranked(docs, table(spark, sf_dir, "benchmark"))
+
+
 @_query(
     "op13_pivot_search",
     r"""
