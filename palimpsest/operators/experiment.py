@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.dims import small
 from palimpsest.functions import stats
 from palimpsest.functions.energy import saved_columns, watt_hours
-from palimpsest.functions.text import bind
+from palimpsest.operators.ranks import ranks, same_keys
 from palimpsest.operators.selection import exact_medians
 
 BASELINE = "baseline"
@@ -53,9 +54,12 @@ def rate(flag: Column) -> Column:
 
 def pair_sums(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     a, b = F.col("a"), F.col("b")
+    low, high = stats.mean_interval(input_reduction_pct(pairs))
     return pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg(input_reduction_pct(pairs)).alias("mean_reduction_pct"),
+        low.alias("reduction_low"),
+        high.alias("reduction_high"),
         rate(a["success"]).alias("success_a"),
         rate(b["success"]).alias("success_b"),
         F.sum(a["input_tokens"] - b["input_tokens"]).alias("input_saved"),
@@ -74,7 +78,7 @@ def unpriced_models(frame: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def model_report(pairs: DataFrame, roster: DataFrame) -> DataFrame:
-    """Per model: pairs, mean reduction, success rates, tokens, list-price dollars and energy saved."""
+    """Per model: pairs, mean reduction with its 95 % bootstrap interval, success rates, tokens, list-price dollars and energy saved."""
     priced = with_prices(pair_sums(pairs, ["model"]), roster)
     saved = F.col("input_saved") + F.col("output_saved")
     out = priced.withColumns(
@@ -94,7 +98,7 @@ def cross_tier(report: DataFrame) -> DataFrame:
 
 
 def stale_breakdown(pairs: DataFrame) -> DataFrame:
-    """Pooled over models by the staleness label of the baseline row, high to low."""
+    """Pooled over models by the staleness label of the baseline row, high to low, with the 95 % bootstrap interval of the reduction."""
     labelled = pairs.withColumn("stale_ratio", F.col("a.stale_ratio")).filter(F.col("stale_ratio").isin(STALE_ORDER))
     place = F.array_position(F.array(*[F.lit(s) for s in STALE_ORDER]), F.col("stale_ratio"))
     return pair_sums(labelled, ["stale_ratio"]).orderBy(place)
@@ -257,14 +261,9 @@ def both_arms(baseline: DataFrame, treated: DataFrame) -> DataFrame:
 
 
 def average_ranks(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with count and average-tie rank.
-
-    Equal values are combined before the window, so a group is as large as its distinct values.
-    """
-    counts = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("ties").over(w), F.lit(0))
-    return counts.withColumn("avg_rank", below + (F.col("ties") + 1) / 2.0)
+    """Distinct values per group with count and average-tie rank; see `ranks` for how large groups are split."""
+    found = ranks(values, by, value).rows
+    return found.select(*by, value, "ties", (F.col("below") + (F.col("ties") + 1) / 2.0).alias("avg_rank"))
 
 
 def wilcoxon(pairs: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -277,24 +276,18 @@ def wilcoxon(pairs: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     diff = F.col("a.input_tokens") - F.col("b.input_tokens")
     # Arms that agree within these tolerances everywhere count as equal.
     close = F.abs(diff) <= 1e-8 + 1e-5 * F.abs(F.col("b.input_tokens"))
-    counts = (
-        pairs.select(*by, F.abs(diff).alias("_abs"), (diff > 0).alias("_positive"), close.alias("_close"))
-        .groupBy(*by, "_abs")
-        .agg(F.count(F.lit(1)).alias("ties"), F.count_if("_positive").alias("_up"), F.bool_and("_close").alias("_close"))
-    )
-    w = Window.partitionBy(*by).orderBy("_abs").rowsBetween(Window.unboundedPreceding, -1)
-    real = F.col("_abs") > 0
-    below = F.coalesce(F.sum(F.when(real, F.col("ties"))).over(w), F.lit(0))
-    ranked = counts.withColumn("_rank", F.when(real, below + (F.col("ties") + 1) / 2.0))
-    down = F.col("ties") - F.col("_up")
-    tested = ranked.groupBy(*by).agg(
-        F.sum("ties").alias("n_pairs"),
-        F.bool_and("_close").alias("_equal"),
-        F.sum(F.when(real, F.col("ties"))).alias("n"),
-        F.sum(F.col("_rank") * F.col("_up")).alias("_plus"),
-        F.sum(F.col("_rank") * F.when(real, down)).alias("_minus"),
-        F.sum(F.when(real, F.pow("ties", F.lit(3.0)) - F.col("ties"))).alias("_tie"),
-    )
+    rows = pairs.select(*by, F.abs(diff).alias("_abs"), (diff > 0).alias("_positive"), close.alias("_close"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.bool_and("_close").alias("_equal"))
+    real = ranks(rows.filter("_abs > 0"), by, "_abs", {"_up": F.count_if("_positive")}).rows
+    rank = F.col("below") + (F.col("ties") + 1) / 2.0
+    names = {c: f"_{c}" for c in by}
+    sums = real.groupBy(*by).agg(
+        F.sum("ties").alias("n"),
+        F.sum(rank * F.col("_up")).alias("_plus"),
+        F.sum(rank * (F.col("ties") - F.col("_up"))).alias("_minus"),
+        F.sum(F.pow("ties", F.lit(3.0)) - F.col("ties")).alias("_tie"),
+    ).withColumnsRenamed(names)
+    tested = sizes.join(sums, same_keys(sizes, sums, by, names), "left").drop(*names.values())
     tested = tested.withColumn("_ok", (F.col("n_pairs") >= 2) & ~F.col("_equal"))
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4.0
@@ -315,71 +308,32 @@ def wilcoxon(pairs: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
                          F.when(F.col("_ok"), p).alias("p_value"))
 
 
-def bootstrap_ci(values: DataFrame, by: Sequence[str], value: str, row_key: Sequence[str], *, replicates: int = 10_000,
-                 seed: int = 7, statistic: str = "mean", pool: int = 1024) -> DataFrame:
-    """95 % bootstrap interval (2.5 and 97.5 percentiles) of the mean or median of each group.
+def bootstrap_ci(values: DataFrame, by: Sequence[str], value: str, *, statistic: str = "mean") -> DataFrame:
+    """95 % bootstrap interval (2.5 and 97.5 percentiles) of the mean or median of each group; nulls left out.
 
-    A replicate draws as many entries as the group has, each picked by a seeded hash of (draw,
-    replicate): no random state, the same result on every run. Entries are rows, in an array of at most
-    `pool` per group. For the mean, larger groups are first summed into `pool` buckets by the hash of the
-    row key, and whole buckets are resampled: every row counts, and the cost stops growing. The median
-    of a larger group comes from the binomial limits of its order statistics.
+    Neither is drawn. The mean's percentiles come from the cumulants of its bootstrap distribution (`stats.mean_interval`). The
+    median's are exact: the m-th smallest of n draws is at most the value of rank r with a binomial chance, which gives the rank
+    of each limit, and the value of a rank is found by counting. With an even n, both middle draws have their limits, and the
+    mean of the two is taken. The same rule holds for every n.
     """
     if statistic not in ("mean", "median"):
         raise ValueError("statistic must be mean or median")
     by = list(by)
-    key = F.xxhash64(*[F.col(c) for c in row_key])
-    rows = values.select(*by, F.col(value).cast("double").alias("_x"), key.alias("_key"))
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sized = rows.join(sizes, by)
-    large = F.col("_n") > pool
-    if statistic == "median":
-        entries = sized.filter(~large)
-        grid = [i / 1000 for i in range(1001)]
-        quantiles = sized.filter(large).groupBy(*by).agg(
-            F.percentile_approx("_x", grid, 1_000_000).alias("_q"), F.first("_n").alias("_n")
-        )
-        half = 1.959964 * 0.5 / F.sqrt(F.col("_n"))
-        large_ci = quantiles.select(
-            *by,
-            F.get("_q", F.floor((0.5 - half) * 1000).cast("int")).alias("ci_low"),
-            F.get("_q", F.ceil((0.5 + half) * 1000).cast("int")).alias("ci_high"),
-        )
-        return _resampled(entries.withColumn("_c", F.lit(1)), by, statistic, replicates, seed).unionByName(large_ci)
-    bucket = F.when(large, F.pmod(F.col("_key"), F.lit(pool))).otherwise(F.col("_key"))
-    pooled = sized.groupBy(*by, bucket.alias("_key")).agg(F.sum("_x").alias("_x"), F.count(F.lit(1)).alias("_c"))
-    return _resampled(pooled, by, statistic, replicates, seed)
-
-
-def _resampled(entries: DataFrame, by: list[str], statistic: str, replicates: int, seed: int) -> DataFrame:
-    """Interval from resampling the entries (_key, _x, _c) of each group."""
-    arrays = entries.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_key", "_x", "_c"))).alias("_e"))
-    n = F.size("_e")
-    draws = arrays.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    picked = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda j: F.get(F.col("_e"), F.pmod(F.xxhash64(j, F.col("_r"), F.lit(seed)), n.cast("bigint")).cast("int")),
-    )
-
-    def middle(sample: Column) -> Column:
-        ordered = F.array_sort(F.transform(sample, lambda e: e["_x"]))
-        return bind(
-            ordered,
-            lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2.0,
-        )
-
-    def mean(sample: Column) -> Column:
-        def total(field: str) -> Column:
-            return F.aggregate(sample, F.lit(0.0), lambda acc, e: acc + e[field])
-
-        return total("_x") / total("_c")
-
-    estimates = draws.select(*by, bind(picked, middle if statistic == "median" else mean).alias("_e"))
-    return _interval(estimates, by)
-
-
-def _interval(estimates: DataFrame, by: list[str]) -> DataFrame:
-    """Percentiles over the replicates, a fixed number per group."""
-    return estimates.groupBy(*by).agg(
-        F.percentile("_e", 0.025).alias("ci_low"), F.percentile("_e", 0.975).alias("ci_high")
-    )
+    rows = values.select(*by, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    if statistic == "mean":
+        low, high = stats.mean_interval(F.col("_x"))
+        return rows.groupBy(*by).agg(low.alias("ci_low"), high.alias("ci_high"))
+
+    @F.arrow_udf("array<struct<name: string, rank: bigint>>")
+    def limits(sizes: pa.Array) -> pa.Array:
+        out = []
+        for n in sizes.to_pylist():
+            middles = ((n + 1) // 2, n // 2 + 1)
+            out.append([{"name": name, "rank": stats.rank_of_middle(n, m, p)} for name, p in (("low", 0.025), ("high", 0.975)) for m in middles])
+        return pa.array(out, pa.list_(pa.struct([("name", pa.string()), ("rank", pa.int64())])))
+
+    found = ranks(rows, by, "_x")
+    wanted = found.sizes().select(*by, F.explode(limits("n")).alias("w")).select(*by, "w.name", "w.rank")
+    at = found.at(wanted.distinct())  # both middle draws may want one rank
+    limit = lambda name: ((F.min(F.when(F.col("name") == name, F.col("_x"))) + F.max(F.when(F.col("name") == name, F.col("_x")))) / 2.0)
+    return at.groupBy(*by).agg(limit("low").alias("ci_low"), limit("high").alias("ci_high"))

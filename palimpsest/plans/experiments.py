@@ -97,6 +97,19 @@ pairs AS (
   FROM latest a JOIN latest b USING (model, task, rep) WHERE a.arm = 'baseline' AND b.arm = 'treated'),
 roster(model, tier, price_in, price_out) AS (VALUES {', '.join(f"('{m}', '{t}', {i}::DOUBLE, {o}::DOUBLE)" for m, t, i, o in dims.ROSTER)})"""
 
+
+def mean_interval_sql(x: str) -> str:
+    """Limits of the mean's bootstrap distribution over aggregates of x, from the central moments of the group."""
+    m = lambda k: f"avg(pow({x} - mu, {k}))"
+    z = 1.959963984540054
+    skew, excess = f"({m(3)} / pow({m(2)}, 1.5) / sqrt(count(*)))", f"(({m(4)} / pow({m(2)}, 2) - 3) / count(*))"
+    limit = lambda z: (f"CASE WHEN {m(2)} > 0 THEN least(greatest(any_value(mu) + sqrt({m(2)} / count(*)) * ({z} + {(z * z - 1) / 6!r} * {skew} "
+                       f"+ ({(z**3 - 3 * z) / 24!r}) * {excess} - ({(2 * z**3 - 5 * z) / 36!r}) * {skew} * {skew}), min({x})), max({x})) ELSE any_value(mu) END")
+    return f"round({limit(-z)}, 6) AS {{low}}, round({limit(z)}, 6) AS {{high}}"
+
+
+REDUCTION_LIMITS = mean_interval_sql("red").format(low="reduction_low", high="reduction_high")
+
 RATES = """round(avg(asucc::INT), 6) AS success_a, round(avg(bsucc::INT), 6) AS success_b"""
 
 
@@ -127,15 +140,15 @@ def experiment_arms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REPORT = f"""{PAIRS}, rep AS (
-  SELECT model, tier, count(*) AS n_pairs, round(avg(red), 6) AS mean_reduction_pct, {RATES},
+  SELECT model, tier, count(*) AS n_pairs, round(avg(red), 6) AS mean_reduction_pct, {REDUCTION_LIMITS}, {RATES},
     (sum(ain - bin) + sum(aout - bout))::BIGINT AS tokens_saved,
     round(sum(ain - bin) / 1e6 * any_value(price_in) + sum(aout - bout) / 1e6 * any_value(price_out), 6) AS dollars_saved
-  FROM pairs JOIN roster USING (model) GROUP BY model, tier)"""
+  FROM (SELECT *, avg(red) OVER (PARTITION BY model) AS mu FROM pairs) JOIN roster USING (model) GROUP BY model, tier)"""
 REPORT_COLUMNS = [
-    "model", "tier", "n_pairs", "mean_reduction_pct", "success_a", "success_b", "tokens_saved", "dollars_saved",
+    "model", "tier", "n_pairs", "mean_reduction_pct", "reduction_low", "reduction_high", "success_a", "success_b", "tokens_saved", "dollars_saved",
     "wh_saved_mid", "gco2e_saved_mid",
 ]
-REPORT_ROUNDED = ["mean_reduction_pct", "success_a", "success_b", "dollars_saved", "wh_saved_mid", "gco2e_saved_mid"]
+REPORT_ROUNDED = ["mean_reduction_pct", "reduction_low", "reduction_high", "success_a", "success_b", "dollars_saved", "wh_saved_mid", "gco2e_saved_mid"]
 
 
 @query("model_report", f"""{REPORT}
@@ -155,10 +168,10 @@ def cross_tier_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(report.select("model", "tier", "n_pairs", *names), *names)
 
 
-@query("stale_breakdown", f"""{PAIRS} SELECT stale_ratio, count(*) AS n_pairs, round(avg(red), 6) AS mean_reduction_pct, {RATES}
-FROM pairs GROUP BY stale_ratio""")
+@query("stale_breakdown", f"""{PAIRS} SELECT stale_ratio, count(*) AS n_pairs, round(avg(red), 6) AS mean_reduction_pct, {REDUCTION_LIMITS}, {RATES}
+FROM (SELECT *, avg(red) OVER (PARTITION BY stale_ratio) AS mu FROM pairs) GROUP BY stale_ratio""")
 def stale_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["mean_reduction_pct", "success_a", "success_b"]
+    names = ["mean_reduction_pct", "reduction_low", "reduction_high", "success_a", "success_b"]
     return rounded(X.stale_breakdown(pairs(spark, sf)).select("stale_ratio", "n_pairs", *names), *names)
 
 
@@ -320,26 +333,40 @@ def wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.wilcoxon(pairs(spark, sf)).drop("p_value"), "z")
 
 
-@query("wilcoxon_p_values")
+ERFC = """(2 / sqrt(pi()) * list_sum(list_transform(range(0, 4001), lambda i: exp(-pow(x + i / 500.0, 2)) * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)) / 1500.0)"""
+
+
+@query("wilcoxon_p_values", f"""{WILCOXON}, subsets AS (
+  WITH RECURSIVE c(n, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL
+    SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda s: coalesce(c[s + 1], 0) + CASE WHEN s > n THEN coalesce(c[s - n], 0) ELSE 0 END) FROM c WHERE n < 50)
+  SELECT * FROM c),
+p AS (SELECT z.model, z.n, w, z, ties = 0 AND z.n = n_pairs AND z.n <= 50 AS exact, abs(z) / sqrt(2) AS x FROM z LEFT JOIN tie USING (model))
+SELECT model, round(CASE WHEN w IS NULL THEN NULL WHEN exact THEN least(1.0, 2 * list_sum(c[1:w::BIGINT + 1]) / pow(2, p.n)) ELSE least(1.0, {ERFC}) END, 6) AS p_value
+FROM p LEFT JOIN subsets USING (n)""")
 def wilcoxon_p_values(spark: SparkSession, sf: str) -> DataFrame:
-    return X.wilcoxon(pairs(spark, sf)).select("model", "p_value")
+    return rounded(X.wilcoxon(pairs(spark, sf)).select("model", "p_value"), "p_value")
 
 
 def reduction_values(spark: SparkSession, sf: str) -> DataFrame:
     frame = pairs(spark, sf)
-    return frame.select("model", "task", "rep", X.input_reduction_pct(frame).alias("reduction_pct"))
+    return frame.select("model", X.input_reduction_pct(frame).alias("reduction_pct"))
 
 
-@query("bootstrap_mean_ci")
+@query("bootstrap_mean_ci", f"""{PAIRS} SELECT model, {mean_interval_sql("red").format(low="ci_low", high="ci_high")}
+FROM (SELECT *, avg(red) OVER (PARTITION BY model) AS mu FROM pairs) GROUP BY model""")
 def bootstrap_mean_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return X.bootstrap_ci(reduction_values(spark, sf), ["model"], "reduction_pct", ["model", "task", "rep"])
+    return rounded(X.bootstrap_ci(reduction_values(spark, sf), ["model"], "reduction_pct"), "ci_low", "ci_high")
 
 
-@query("bootstrap_median_ci")
+@query("bootstrap_median_ci", f"""{PAIRS}, o AS (SELECT model, red, row_number() OVER (PARTITION BY model ORDER BY red) AS r, count(*) OVER (PARTITION BY model) AS n FROM pairs),
+chance AS (
+  SELECT model, n, r, m, CASE WHEN r = n THEN 1.0 ELSE sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(r / n) + (n - k) * ln(1 - r / n + CASE WHEN r = n THEN 1 ELSE 0 END))) END AS p
+  FROM (SELECT DISTINCT model, n, r, unnest([(n + 1) // 2, n // 2 + 1]) AS m FROM o), generate_series(0, 100000) AS g(k) WHERE k BETWEEN m AND n GROUP BY model, n, r, m),
+limits AS (SELECT model, m, min(r) FILTER (p >= 0.025) AS low, min(r) FILTER (p >= 0.975) AS high FROM chance GROUP BY model, m)
+SELECT model, round((min(a.red) + max(a.red)) / 2, 6) AS ci_low, round((min(b.red) + max(b.red)) / 2, 6) AS ci_high
+FROM limits JOIN o a USING (model) JOIN o b USING (model) WHERE a.r = low AND b.r = high GROUP BY model""")
 def bootstrap_median_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return X.bootstrap_ci(
-        reduction_values(spark, sf), ["model"], "reduction_pct", ["model", "task", "rep"], statistic="median"
-    )
+    return rounded(X.bootstrap_ci(reduction_values(spark, sf), ["model"], "reduction_pct", statistic="median"), "ci_low", "ci_high")
 
 
 def cached_calls(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,6 +13,7 @@ from palimpsest import dims
 from palimpsest.functions import stats
 from palimpsest.operators import cache_study as CS
 from palimpsest.operators import experiment as X
+from palimpsest.operators.ranks import ranks
 from palimpsest.operators.selection import exact_medians
 from palimpsest.sources import experiment_rows as E
 
@@ -89,30 +90,59 @@ def test_error_function(spark):
 @pytest.mark.parametrize("statistic", ["mean", "median"])
 def test_bootstrap(spark, statistic):
     rng = random.Random(3)
-    groups = {"a": [rng.gauss(80, 5) for _ in range(90)], "b": [rng.random() ** 3 * 100 for _ in range(45)]}
-    rows = [(g, i, v) for g, vs in groups.items() for i, v in enumerate(vs)]
-    df = spark.createDataFrame(rows, "g STRING, i INT, v DOUBLE")
-    once = {r.g: (r.ci_low, r.ci_high) for r in X.bootstrap_ci(df, ["g"], "v", ["g", "i"], replicates=4000, statistic=statistic).collect()}
-    again = {r.g: (r.ci_low, r.ci_high) for r in X.bootstrap_ci(df.repartition(3), ["g"], "v", ["g", "i"], replicates=4000, statistic=statistic).collect()}
-    assert once == again
-    for g, vs in groups.items():
-        draws = np.random.default_rng(7).choice(np.array(vs), size=(4000, len(vs)))
+    groups = {"a": [rng.gauss(80, 5) for _ in range(90)], "b": [rng.random() ** 3 * 100 for _ in range(45)], None: [rng.gauss(0, 1) for _ in range(400)], "one": [4.0], "same": [2.0] * 9}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(3)
+    got = {r.g: (r.ci_low, r.ci_high) for r in X.bootstrap_ci(df, ["g"], "v", statistic=statistic).collect()}
+    assert set(got) == set(groups) and got["one"] == (4.0, 4.0) and got["same"] == (2.0, 2.0)
+    for g in ("a", "b", None):
+        draws = np.random.default_rng(7).choice(np.array(groups[g]), size=(20_000, len(groups[g])))
         est = draws.mean(axis=1) if statistic == "mean" else np.median(draws, axis=1)
         want = np.percentile(est, [2.5, 97.5])
-        assert once[g] == pytest.approx(tuple(want), abs=0.15 * (want[1] - want[0]))
-
-
-def test_bootstrap_of_a_large_group_uses_every_row(spark):
-    rng = random.Random(5)
-    values = [rng.gauss(10, 3) for _ in range(3000)]
-    df = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "g INT, i INT, v DOUBLE")
-    half = 1.96 * np.std(values) / math.sqrt(3000)
-    for pool in (256, 1024):
-        r = X.bootstrap_ci(df, ["g"], "v", ["i"], replicates=1500, pool=pool).collect()[0]
-        assert (r.ci_low + r.ci_high) / 2 == pytest.approx(np.mean(values), abs=half / 4)
-        assert (r.ci_high - r.ci_low) / 2 == pytest.approx(half, rel=0.25)
-    m = X.bootstrap_ci(df, ["g"], "v", ["i"], statistic="median", pool=1024).collect()[0]
-    assert m.ci_low < np.median(values) < m.ci_high
+        assert got[g] == pytest.approx(tuple(want), abs=(0.03 if statistic == "mean" else 0.08) * (want[1] - want[0]))
+    assert X.bootstrap_ci(df.limit(0), ["g"], "v", statistic=statistic).count() == 0
+
+
+@pytest.mark.parametrize("n", [1024, 1025, 2_000_000])
+def test_median_interval_of_every_size(spark, n):
+    """Within one hundredth of the width that the order statistics give."""
+    df = spark.range(n).select(F.lit(0).alias("g"), F.col("id").cast("double").alias("v"))
+    r = X.bootstrap_ci(df, ["g"], "v", statistic="median").collect()[0]
+    half = stats.Z975 * math.sqrt(n) / 2
+    assert (r.ci_low, r.ci_high) == pytest.approx(((n - 1) / 2 - half, (n - 1) / 2 + half), abs=max(0.6, 0.01 * half))
+
+
+def test_binomial_tails():
+    for n, m, x in [(1, 1, 0.3), (7, 4, 0.5), (50, 20, 0.31), (300, 151, 0.55), (5, 0, 0.2), (5, 6, 0.2)]:
+        want = sum(math.comb(n, k) * x**k * (1 - x) ** (n - k) for k in range(m, n + 1))
+        assert stats.binomial_tail(n, m, x) == pytest.approx(want, rel=1e-10)
+    for n in (1, 2, 3, 10, 101):
+        for m in ((n + 1) // 2, n // 2 + 1):
+            for p in (0.025, 0.975):
+                assert stats.rank_of_middle(n, m, p) == min(r for r in range(1, n + 1) if stats.binomial_tail(n, m, r / n) >= p)
+
+
+def test_ranks_over_ranges(spark):
+    """The same ranks however the values are dealt to ranges; no window takes in a whole group."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold", None]), rng.randint(0, 400)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g STRING, v INT")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = ranks(df, ["g"], "v")
+        got = {(r.g, r.v): (r.ties, r.below) for r in found.rows.collect()}
+        assert found.parts.count() > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in ("hot", "cold", None):
+        own = [v for k, v in rows if k == g]
+        assert {v: got[g, v] for v in set(own)} == {v: (own.count(v), sum(x < v for x in own)) for v in set(own)}
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "windowspecdefinition" in line]
+    assert windows and all("part" in line for line in windows)
+    wanted = spark.createDataFrame([(None, "a", 1), ("hot", "b", 1000)], "g STRING, name STRING, rank BIGINT")
+    hot = sorted(v for k, v in rows if k == "hot")
+    assert {(r.g, r.name): r.v for r in found.at(wanted).collect()} == {(None, "a"): min(v for k, v in rows if k is None), ("hot", "b"): hot[999]}
 
 
 def test_medians_of_all_sizes(spark):
