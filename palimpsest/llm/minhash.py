@@ -30,6 +30,9 @@ from palimpsest.operators.lineage import cut
 SKETCH_BITS = 4096
 SKETCH_BINS = 2048
 
+#: Sets made or sketched by one task: that work follows rows, while Spark joins small partitions by their bytes.
+ROWS_PER_TASK = 2048
+
 
 @dataclass(frozen=True)
 class NearConfig:
@@ -186,9 +189,10 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     members = cut(keyed.join(crowded.filter("n > 1").select("bucket", "centre", "size"), "bucket"))
 
     wanted = cut(members.select("rep").distinct())
-    texts = rows.join(counted_hint(wanted, wanted.count()), rows["id"] == wanted["rep"], "left_semi").groupBy(
-        F.col("id").alias("rep")
-    ).agg(F.max("text").alias("text"))
+    n = wanted.count()
+    tasks = max(1, -(-n // ROWS_PER_TASK))
+    chosen = rows.join(counted_hint(wanted, n), rows["id"] == wanted["rep"], "left_semi").select(F.col("id").alias("rep"), "text")
+    texts = chosen.repartition(tasks, "rep").groupBy("rep").agg(F.max("text").alias("text"))
     sets = cut(texts.select("rep", _set(cfg)("text").alias("shingles")))
 
     close = _sizes_fit(cfg, "n_shingles", "size")
@@ -196,7 +200,7 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     proposed = stars.filter(close).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     decided = cut(_confirmed(proposed, sets, cfg.percent))
     labels = components(decided.filter("linked").select("a", "b"))
-    more = _confirmed(_left_over(stars, labels, decided, sets, cfg), sets, cfg.percent)
+    more = _confirmed(_left_over(stars, labels, decided, sets, tasks, cfg), sets, cfg.percent)
     linked = cut(more.filter("linked").select("a", "b"))
     if not linked.isEmpty():
         labels = components(decided.filter("linked").select("a", "b").union(linked))
@@ -217,7 +221,7 @@ def _sizes_fit(cfg: NearConfig, a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= cfg.percent * F.greatest(a, b)
 
 
-def _left_over(stars: DataFrame, labels: DataFrame, decided: DataFrame, sets: DataFrame, cfg: NearConfig) -> DataFrame:
+def _left_over(stars: DataFrame, labels: DataFrame, decided: DataFrame, sets: DataFrame, tasks: int, cfg: NearConfig) -> DataFrame:
     """Pairs (`a` > `b`) still to be confirmed, of buckets whose members lie in several components.
 
     Members of the largest component of a bucket are connected already, so each pair has a member outside it: one large
@@ -235,7 +239,7 @@ def _left_over(stars: DataFrame, labels: DataFrame, decided: DataFrame, sets: Da
     far = decided.select(F.col("a").alias("rep"), F.col("b").alias("centre"), (1 - F.col("similarity")).alias("far"))
     held = cut(held.join(mixed, "bucket").join(far, ["rep", "centre"], "left").select("bucket", "major", "rep", "component", "n_shingles", "far"))
     own = held.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # at most one bucket per band
-    held = held.join(sets.join(own, "rep").select("rep", "buckets", _sketch(cfg)("shingles").alias("bits")), "rep")
+    held = held.join(sets.repartition(tasks, "rep").join(own.repartition(tasks, "rep"), "rep").select("rep", "buckets", _sketch(cfg)("shingles").alias("bits")), "rep")
 
     x, y = (
         held.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("major", "rep", "component", "n_shingles", "far", "bits", "buckets")]) for k in "xy"

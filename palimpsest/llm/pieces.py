@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.held import held
+
 #: The mark of a space in pieces and what an unknown character costs below the worst piece.
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
-#: Words whose pieces a worker remembers; the memory is emptied when full.
-REMEMBERED = 1 << 18
+#: Bytes of words and pieces that a worker remembers (the memory is emptied when full), and the longest word remembered.
+REMEMBERED_BYTES = 48 << 20
+REMEMBERED_CHARS = 48
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,9 @@ class PieceTable:
     bytes: list[int]
     unknown: int
 
+    def digest(self) -> str:
+        return sha256(repr((self.pieces, self.scores, self.bytes, self.unknown)).encode()).hexdigest()
+
 
 def read_pieces(path: str) -> PieceTable:
     """The table of a model file, read on the driver; its size is that of the vocabulary."""
@@ -62,6 +68,7 @@ class Encoder(dict):
     def __init__(self, table: PieceTable):
         super().__init__()
         self.table = table
+        self.held = 0
         own = [(p, i) for i, p in enumerate(table.pieces) if p]
         self.unknown_score = min(table.scores[i] for _, i in own) - UNKNOWN_PENALTY
         self.single = {p for p, _ in own if len(p) == 1}
@@ -81,41 +88,45 @@ class Encoder(dict):
             self.raw[i] = bytes([b])
 
     def __missing__(self, word: str) -> array:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = self.search(word)
+        found = self.search(word)
+        if len(word) <= REMEMBERED_CHARS:
+            self.held += 250 + 4 * (len(word) + len(found))
+            if self.held > REMEMBERED_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = found
         return found
 
     def search(self, word: str) -> array:
-        """Ids of the best pieces of a text; of equal scores the longer last piece wins."""
-        n, worst = len(word), float("-inf")
-        best, back = [0.0] + [worst] * n, [(0, -1)] * (n + 1)
+        """Ids of the best pieces of a text; of equal scores the longer last piece wins. 16 bytes a character."""
+        n, single, unknown = len(word), self.single, self.unknown_score
+        best = array("d", [float("-inf")]) * (n + 1)
+        length, back = array("i", [1]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
         done = 0  # best[:done + 1] is final
-        for end, (length, score, piece) in self.automaton.iter(word):
+        for end, (size, score, piece) in self.automaton.iter(word):
             while done < end:
-                done = self._fall_back(word, done, best, back)
-            start = end + 1 - length
-            if (value := best[start] + score) > best[end + 1]:
-                best[end + 1], back[end + 1] = value, (start, piece)
+                # every piece that ends here was seen; a character without its own piece may still stand for itself
+                if word[done] not in single and (value := best[done] + unknown) > best[done + 1]:
+                    best[done + 1], length[done + 1], back[done + 1] = value, 1, -1
+                done += 1
+            if (value := best[end + 1 - size] + score) > best[end + 1]:
+                best[end + 1], length[end + 1], back[end + 1] = value, size, piece
         while done < n:
-            done = self._fall_back(word, done, best, back)
-        parts, at = [], n
+            if word[done] not in single and (value := best[done] + unknown) > best[done + 1]:
+                best[done + 1], length[done + 1], back[done + 1] = value, 1, -1
+            done += 1
+        ids, at, raw = array("i"), n, self.table.bytes
         while at:
-            start, piece = back[at]
-            if piece >= 0:
-                parts.append((piece,))
-            elif self.table.bytes:
-                parts.append([self.table.bytes[b] for b in word[start:at].encode()])
+            if back[at] >= 0:
+                ids.append(back[at])
+            elif raw:
+                ids.extend([raw[b] for b in reversed(word[at - 1].encode())])
             else:
-                parts.append((self.table.unknown,))
-            at = start
-        return array("i", [i for part in reversed(parts) for i in part])
-
-    def _fall_back(self, word: str, at: int, best: list[float], back: list[tuple[int, int]]) -> int:
-        """All pieces that end at `at` were seen; a character without its own piece may still stand for itself."""
-        if word[at] not in self.single and (value := best[at] + self.unknown_score) > best[at + 1]:
-            best[at + 1], back[at + 1] = value, (at, -1)
-        return at + 1
+                ids.append(self.table.unknown)
+            at -= length[at]
+        ids.reverse()
+        return ids
 
     def encode(self, text: str) -> array:
         ids = array("i")
@@ -129,28 +140,28 @@ class Encoder(dict):
         return b"".join([raw[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-_encoders: dict[int, Encoder] = {}
+def _shared(spark: SparkSession, table: PieceTable):
+    """The table with its digest, for the workers."""
+    return spark.sparkContext.broadcast((table.digest(), table))
 
 
 def _encoder(shared) -> Encoder:
-    """The worker's encoder of a broadcast table, built once."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared)
-    if key not in _encoders:
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
+    """The worker's one encoder; another table lets the one before go."""
+    digest, table = shared.value
+    return held("encoder", digest, lambda: Encoder(table))
 
 
 def encoded(spark: SparkSession, text: Column, table: PieceTable) -> Column:
     """Token ids of whole texts; a null or empty text has none."""
-    shared = spark.sparkContext.broadcast(table)
+    shared = _shared(spark, table)
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(shared)
         for batch in batches:
             flat, offsets = array("i"), array("i", [0])
-            for text in batch.to_pylist():
-                flat.extend(encoder.encode(text or ""))
+            for text in batch:
+                flat.extend(encoder.encode(text.as_py() or ""))
                 offsets.append(len(flat))
             yield pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
 
@@ -159,7 +170,7 @@ def encoded(spark: SparkSession, text: Column, table: PieceTable) -> Column:
 
 def decoded(spark: SparkSession, ids: Column, table: PieceTable) -> Column:
     """Texts of token ids; null for null, and "" for none. Bytes that are no UTF-8 become replacement characters."""
-    shared = spark.sparkContext.broadcast(table)
+    shared = _shared(spark, table)
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -175,7 +186,7 @@ def decoded(spark: SparkSession, ids: Column, table: PieceTable) -> Column:
 def audit(spark: SparkSession, text: Column, table: PieceTable) -> Column:
     """Struct of `n_tokens`, `n_byte_tokens`, `tokens_sha256` (of the ids as 32-bit little-endian integers) and `exact`: the
     decoded tokens are the text again. A null text counts as empty. Only a text with U+2581 itself is not exact."""
-    shared = spark.sparkContext.broadcast(table)
+    shared = _shared(spark, table)
 
     @F.arrow_udf("struct<n_tokens: bigint, n_byte_tokens: bigint, tokens_sha256: string, exact: boolean>")
     def check(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -184,7 +195,8 @@ def audit(spark: SparkSession, text: Column, table: PieceTable) -> Column:
         is_byte[encoder.table.bytes] = True
         for batch in batches:
             rows = []
-            for text in batch.to_pylist():
+            for value in batch:
+                text = value.as_py()
                 ids = encoder.encode(text or "")
                 flat = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
                 rows.append((len(ids), int(is_byte[flat].sum()), sha256(flat.tobytes()).hexdigest(), encoder.decode(ids) == (text or "")))

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 18
 
 #: The white space of `[\x20\x09-\x0D]`.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -94,8 +94,8 @@ def chunks(texts: pa.Array) -> Iterator[list[str]]:
     """The texts of a batch in order, null as empty, in lists that make chunks."""
     held: list[str] = []
     size = 0
-    for text in texts.to_pylist():
-        text = text or ""
+    for value in texts:
+        text = value.as_py() or ""
         if held and size + len(text) > CHUNK_CHARS:
             yield held
             held, size = [], 0

@@ -86,3 +86,22 @@ def test_columns(spark, table, texts):
     assert pieces.encoded_documents(documents(spark, []), table).count() == 0
     nulls = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [r[0] for r in nulls.select(pieces.decoded(spark, F.col("ids"), table)).collect()] == [None, ""]
+
+
+def test_another_table_is_another_encoder(spark, table, texts):
+    """Workers are used again; ids always come from the table that was given."""
+    letters = pieces.PieceTable([p if p and len(p) == 1 else None for p in table.pieces], table.scores, table.bytes, table.unknown)
+    docs = documents(spark, list(enumerate(texts[:60]))).repartition(2).cache()
+    want = {id(t): {i: list(Encoder(t).encode(x)) for i, x in enumerate(texts[:60])} for t in (table, letters)}
+    for t in (table, letters, table, letters, letters, table):
+        assert {r["doc_id"]: r["tokens"] for r in pieces.encoded_documents(docs, t).collect()} == want[id(t)]
+
+
+def test_memory_is_bounded(table, texts, monkeypatch):
+    whole = Encoder(table)
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 4000)
+    short = Encoder(table)
+    for t in texts:
+        assert short.encode(t) == whole.encode(t) and len(short) < 20
+    long = "x" * 300_000
+    assert whole.decode(whole.encode(long)) == long and not any(len(w) > pieces.REMEMBERED_CHARS for w in whole)
