@@ -20,60 +20,74 @@ from palimpsest.operators.lineage import checkpoint_root, cut
 from palimpsest.shipping import ship
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row whole, as `whole`, next to its `id` and `text`: what stages add can not meet a column of the documents."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "text")
+
+
 def _one_of_each(docs: DataFrame, verdicts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`docs` but the rows that `verdicts`, called with the rows and their numbers in `_row`, does not keep.
+    """`docs` but the rows that `verdicts`, called with numbers of rows (`row`) and texts, does not keep.
 
     Rows are told apart by id and digest of the text. Where every id is there and has one text, the id is the number. Else
     rows are numbered in the order of id, null ids last, and digest, so that the smallest id stays first. Of rows that repeat
-    both, one stays, the smallest by its other columns.
+    both, one stays, the first by a digest of all its columns.
     """
-    whole = [F.col("doc_id").cast("string"), F.col("text")]
-    spelt = [*[F.coalesce(F.length(c), F.lit(-1)) for c in whole], *[F.coalesce(c, F.lit("")) for c in whole]]
-    digest = F.sha2(F.concat_ws(":", *spelt), 256)
-    keys = cut(docs.select("doc_id", digest.alias("_key")).groupBy("doc_id", "_key").agg(F.count("*").alias("_copies")))
+    text = [F.col("doc_id").cast("string"), F.col("text")]
+    spelt = [*[F.coalesce(F.length(c), F.lit(-1)) for c in text], *[F.coalesce(c, F.lit("")) for c in text]]
+    own = _rows(docs).withColumn("key", F.sha2(F.concat_ws(":", *spelt), 256))
+    keys = cut(own.groupBy("doc_id", "key").agg(F.count("*").alias("copies")))
     if keys.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
-        keys = keys.withColumn("_row", F.col("doc_id"))
-        rows = docs.withColumn("_row", F.col("doc_id"))
+        keys = keys.withColumn("row", F.col("doc_id"))
+        rows = own.withColumn("row", F.col("doc_id"))
     else:
-        keys = cut(keys.orderBy(F.asc_nulls_last("doc_id"), "_key").withColumn("_row", F.monotonically_increasing_id()))
-        rows = cut(docs.withColumn("_key", digest).join(keys.select("_key", "_row"), "_key").drop("_key"))
-    left = rows.join(verdicts(rows).filter("NOT kept").select("_row").distinct(), "_row", "left_anti")
-    repeated = keys.filter("_copies > 1").select("_row")
+        keys = cut(keys.orderBy(F.asc_nulls_last("doc_id"), "key").withColumn("row", F.monotonically_increasing_id()))
+        rows = cut(own.join(keys.select("key", "row"), "key"))
+    left = rows.join(verdicts(rows.select("row", "text")).filter("NOT kept").select("row").distinct(), "row", "left_anti")
+    repeated = keys.filter("copies > 1").select("row")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    copies = cut(left.join(repeated, "_row", "left_semi"))  # cut, so that copies of one row meet after they are merged by task
-    one = copies.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return left.join(repeated, "_row", "left_anti").select(*docs.columns).union(one)
+        return left.select("whole.*")
+    copies = cut(left.join(repeated, "row", "left_semi"))  # cut, so that copies of one row meet after they are merged by task
+    one = copies.groupBy("row").agg(F.min_by("whole", F.sha2(F.to_json("whole"), 256)).alias("whole"))
+    return left.join(repeated, "row", "left_anti").select("whole").union(one.select("whole")).select("whole.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the trees keep."""
+    """Documents that the base rule and the trees keep, with all their columns and however often they repeat.
+
+    Null and empty texts have no words and go; a null id has no label and is judged like any; long texts are judged whole."""
     ship(spark)
-    return quality.judged(docs, table(spark, sf_dir, "labels")).filter("quality.kept").select(*docs.columns)
+    judged = quality.judged(_rows(docs), table(spark, sf_dir, "labels"))
+    return judged.filter("quality.kept").select("whole.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest before white space goes, then the smallest id, null ids last.
+
+    Null and empty texts are equal; texts are compared whole."""
     ship(spark)
-    return _one_of_each(docs, lambda rows: grace.exact_duplicates(rows, id_col="_row"))
+    return _one_of_each(docs, lambda rows: grace.exact_duplicates(rows, id_col="row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets with a similarity of 0.8 or more."""
+    """One document of each component of five-word shingle sets with a similarity of 0.8 or more: the smallest id, null ids last.
+
+    A null text or one without words is like no other and stays; sets are those of whole texts."""
     ship(spark)
-    return _one_of_each(docs, lambda rows: minhash.near_duplicates(rows, minhash.NearConfig(words=5, percent=80), id_col="_row"))
+    return _one_of_each(docs, lambda rows: minhash.near_duplicates(rows, minhash.NearConfig(words=5, percent=80), id_col="row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, all columns as they are.
+
+    Null and empty texts have no words but are taken like others; rows that repeat id and text share their draw."""
     ship(spark)
     return mixing.emitted(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every copy: doc_id, n_tokens, tokens."""
+    """Piece ids of every copy: doc_id, n_tokens, tokens. Null and empty texts have no tokens; no other column is read."""
     ship(spark)
-    read = pieces.encoded_documents(docs, pieces.read_pieces(PIECES))
+    read = pieces.encoded_documents(docs.select("doc_id", "text"), pieces.read_pieces(PIECES))
     return read.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
 
 

@@ -31,9 +31,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def unit_hash(id: Column, seed: str) -> Column:
-    """A number in [0, 1) from the id alone: 60 bits of md5."""
-    hashed = F.md5(F.concat_ws(":", F.lit(seed), id.cast("string")).cast("binary"))
+def unit_hash(id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) from id and text: 60 bits of md5. Rows that share an id, or have none, draw by their texts."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(id.cast("string"), F.lit("")), digest).cast("binary"))
     return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long").cast("double") / F.lit(float(1 << 60))
 
 
@@ -86,8 +87,8 @@ def source_targets(sized: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
 def mixed(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of `docs` plus a struct `mix`: `size`, `source_size`, `target`, `copies`.
 
-    The rate of a source is target / source_size; a source without words has rate 0. A null id is hashed as such: rows
-    without an id share one draw. Null and empty texts have size 0. Columns of `docs` keep their names and values; one
+    The rate of a source is target / source_size; a source without words has rate 0. A row draws by its id and text:
+    only rows that repeat both share a draw. Null and empty texts have size 0. Columns of `docs` keep their names and values; one
     named `mix` is replaced.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"])
@@ -106,10 +107,13 @@ def mixed(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id",
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     id = F.col("row").getField(id_col)
-    copies = F.floor(rate) + (unit_hash(id, cfg.seed) < rate - F.floor(rate)).cast("long")
+    copies = F.floor(rate) + (unit_hash(id, F.col("row").getField(text_col), cfg.seed) < rate - F.floor(rate)).cast("long")
     return joined.select("row.*", F.struct("size", "source_size", "target", copies.cast("long").alias("copies")).alias("mix"))
 
 
 def emitted(docs: DataFrame, cfg: MixConfig = MixConfig(), **columns: str) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, same columns."""
-    return mixed(docs, cfg, **columns).withColumn("mix", F.explode(F.sequence(F.lit(0), F.col("mix.copies")))).filter("mix > 0").select(*docs.columns)
+    """The mix itself: each row of `docs` as often as it is taken, same columns, also one named `mix`."""
+    names = {k: columns.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *[F.col(f"`{v}`").alias(k) for k, v in names.items()])
+    taken = mixed(whole, cfg, **{k: k for k in names}).select("whole", F.col("mix.copies").alias("copies"))
+    return taken.filter("copies > 0").select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("whole.*")

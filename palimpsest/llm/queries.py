@@ -80,7 +80,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op5_mix_sources",
     r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS own, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS MATERIALIZED (
   SELECT source, source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
   FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
@@ -97,7 +97,7 @@ rounds AS (
 t AS (SELECT source, source_size, target FROM rounds WHERE k = 25),
 u AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE AS draw
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || own), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * (floor(rate) + (draw < rate - floor(rate))::INT)::BIGINT AS taken FROM u
 """,

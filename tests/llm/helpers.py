@@ -85,5 +85,6 @@ def targets(sizes, weights=(5, 2, 1), ceiling=3):
         full |= more
 
 
-def draw(id, seed="mix"):
-    return int(hashlib.md5(f"{seed}:{id}".encode()).hexdigest()[:15], 16) / float(1 << 60)
+def draw(id, text, seed="mix"):
+    own = hashlib.md5((text or "").encode()).hexdigest()
+    return int(hashlib.md5(f"{seed}:{'' if id is None else id}:{own}".encode()).hexdigest()[:15], 16) / float(1 << 60)

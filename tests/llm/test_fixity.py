@@ -79,3 +79,11 @@ def test_layout(spark):
     rows = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, "b", 2), (4, "a", 1)], "id long, f string, n long")
     laid = fixity.laid_out(rows, F.col("f"), ["id"], F.col("n"))
     assert sorted((r["file"], r["id"], r["offset"]) for r in laid.collect()) == [("a", 1, 0), ("a", 2, 5), ("a", 4, 12), ("b", 3, 0)]
+
+
+def test_lost_and_added_repeats(spark):
+    """A record that one replica has more often is a fault, with any number of repeats of no length in one range."""
+    a = [("f", 0, 5, "d")] * 2 + [("f", 5, 0, "e")] * 500 + [("g", 0, 1, "x")]
+    b = [("f", 0, 5, "d")] + [("f", 5, 0, "e")] * 501 + [("g", 0, 1, "x")]
+    assert found(spark, a, b, FixityConfig()) == [("f", 0, "missing", "d", "d"), ("f", 5, "extra", "e", "e")]
+    assert found(spark, a, a, FixityConfig()) == []

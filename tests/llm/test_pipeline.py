@@ -17,7 +17,7 @@ from palimpsest.llm.pieces import Encoder
 from .helpers import WORD, counts, draw, exact_groups, near_components, targets
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages labels".split()
+TABLES = "documents pages labels benchmark embeddings".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
@@ -76,7 +76,7 @@ def test_stages_equal_brute_force(spark):
                 sizes[r["source"]] += len(WORD.findall(r["text"]))
             goal = targets(sizes)
             rate = {s: goal[s] / sizes[s] for s in sizes}
-            want = {r["doc_id"]: math.floor(rate[r["source"]]) + (draw(r["doc_id"]) < rate[r["source"]] % 1) for r in before}
+            want = {r["doc_id"]: math.floor(rate[r["source"]]) + (draw(r["doc_id"], r["text"]) < rate[r["source"]] % 1) for r in before}
             assert ids == Counter({k: v for k, v in want.items() if v})
         else:
             encoder = Encoder(pieces.read_pieces(queries.PIECES))
