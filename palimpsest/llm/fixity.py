@@ -60,21 +60,21 @@ def tree(records: DataFrame, depth: tuple[int, int], cfg: FixityConfig = FixityC
 
     `records` has `file`, `offset`, `length`, `digest`. A file name must not hold a slash in its last part; a null name or
     offset is an empty name or 0. A node's children are at most 16, the files of a group or the records of one range, so no
-    node gathers an unbounded list as long as records have a length.
+    node gathers an unbounded list as long as different records have a length.
     """
     file, offset = F.coalesce(F.replace("file", F.lit("/"), F.lit("|")), F.lit("")), F.coalesce("offset", F.lit(0))
     groups, ranges = depth
     shelf = F.regexp_replace(F.substring(F.sha2(file.cast("binary"), 256), 1, groups), "(.)", "/$1") if groups else F.lit("")
     parent = F.concat(shelf, F.lit("/"), file, _digits(F.floor(offset / cfg.range_bytes).cast("long"), ranges))
     name = F.lpad(offset.cast("string"), 20, "0")
-    level = cut(
-        records.select(
-            F.concat(parent, F.lit("/"), name).alias("path"),
-            parent.alias("parent"),
-            F.sha2(F.concat_ws(":", F.coalesce("length", F.lit(-1)).cast("string"), F.coalesce("digest", F.lit(""))).cast("binary"), 256).alias("digest"),
-            "file", "offset", F.col("digest").alias("record_digest"),
-        )
+    content = F.concat_ws(":", F.coalesce("length", F.lit(-1)).cast("string"), F.coalesce("digest", F.lit("")))
+    own = records.select(
+        F.concat(parent, F.lit("/"), name).alias("path"), parent.alias("parent"), content.alias("content"), "file", "offset", F.col("digest").alias("record_digest")
     )
+    # records that repeat in every respect are one leaf that knows how many they are
+    own = own.groupBy(*own.columns).agg(F.count("*").alias("copies"))
+    counted = F.when(F.col("copies") == 1, F.col("content")).otherwise(F.concat_ws(" x ", "content", F.col("copies").cast("string")))
+    level = cut(own.select("path", "parent", F.sha2(counted.cast("binary"), 256).alias("digest"), "file", "offset", "record_digest", "copies"))
     levels = [level]
     for _ in range(groups + 1 + ranges):
         path = F.col("path")
@@ -92,7 +92,8 @@ def faults(expected: DataFrame, found: DataFrame, cfg: FixityConfig = FixityConf
     """Records that differ between two replicas: `file`, `offset`, `status`, `expected_digest`, `found_digest`.
 
     `status` is `altered`, `missing` (only expected) or `extra` (only found). Two empty replicas have no faults. Records that
-    share file and offset are told apart by their digests: each that only one side has is a fault of its own.
+    share file and offset are told apart by their digests: each that only one side has is a fault of its own. A record that one
+    side has more often is `missing` or `extra`, with both digests.
     """
     depth = depth_of([expected, found], cfg)
     ours, theirs = tree(expected, depth, cfg), tree(found, depth, cfg)
@@ -106,12 +107,14 @@ def faults(expected: DataFrame, found: DataFrame, cfg: FixityConfig = FixityConf
     only_a, only_b = (
         x.join(y.select("path", "digest"), ["path", "digest"], "left_anti").dropDuplicates(["path", "digest"]) for x, y in ((a, b), (b, a))
     )
-    both = only_a.select("path", "file", "offset", F.col("record_digest").alias("expected_digest"), F.lit(True).alias("x")).join(
-        only_b.select("path", F.col("file").alias("f"), F.col("offset").alias("o"), F.col("record_digest").alias("found_digest"), F.lit(True).alias("y")),
+    both = only_a.select("path", "file", "offset", F.col("record_digest").alias("expected_digest"), F.col("copies").alias("x")).join(
+        only_b.select("path", F.col("file").alias("f"), F.col("offset").alias("o"), F.col("record_digest").alias("found_digest"), F.col("copies").alias("y")),
         "path",
         "full",
     )
-    status = F.when(F.col("x").isNull(), "extra").when(F.col("y").isNull(), "missing").otherwise("altered")
+    status = F.when(F.col("x").isNull(), "extra").when(F.col("y").isNull(), "missing")
+    more = F.when(F.col("x") > F.col("y"), "missing").otherwise("extra")
+    status = status.when(F.col("expected_digest").eqNullSafe(F.col("found_digest")) & (F.col("x") != F.col("y")), more).otherwise("altered")
     return both.select(
         F.coalesce("file", "f").alias("file"), F.coalesce("offset", "o").alias("offset"), status.alias("status"), "expected_digest", "found_digest"
     )
