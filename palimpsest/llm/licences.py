@@ -1,8 +1,8 @@
 """Licence scans by canonical digest, in built-in expressions.
 
 A text is brought to a canonical form: lower case, without copyright lines, without punctuation, words of equivalent
-spelling made one. Whole texts are looked up by the digest of that form in a table of known licences. Lines that mention a
-licence are looked up the same way among known notices.
+spelling made one. Whole texts are looked up by the digest of that form in a table of known licences, which may hold texts
+or, for long ones, digests alone. Lines that mention a licence are looked up the same way among known notices.
 """
 
 from __future__ import annotations
@@ -84,6 +84,15 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 }
 
 _THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+LICENCES["Unlicense"] = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
 LICENCES["BSD-3-Clause"] = LICENCES["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", f"{_THIRD}\n\nTHIS SOFTWARE IS PROVIDED")
 
 #: Titles above published texts.
@@ -96,18 +105,60 @@ TITLES = {
     "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License"],
 }
 
-#: Notices that name a licence in one line.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
+#: Canonical digests of long licences, as published whole in plain text.
+DIGESTS = {
+    "Apache-2.0": ["f5c47c90353103b1d90e3acddc15b332dab82b6dfd8f262e29d501ba8cb47d21"],
+    "Artistic-1.0": ["df5112a5044a37bae26eb65c864696a0495de64523f3013f0e463fdf828a7bcf"],
+    "CC0-1.0": ["85ecef89c0122e868b86bc7a79554a2fb3820f078c8a08fff28ee2c887322762"],
+    "GFDL-1.2": ["c451b790aa73e4852fab190de773a491fc4b0b4eb325658e018fdde714b0090b"],
+    "GFDL-1.3": ["6524bed4ba8b75085bd65a4dc4c57049c10ff83ccfe91252e99030c6f712cd2e"],
+    "GPL-1.0": ["681b26fd1b64491cd4180e979055cc3975dfcee687db788b5b5db9a412e2df49"],
+    "GPL-2.0": ["f4ddbd240d18264236442ffe123799c3ca11186c744ca33e78976b6111dbd44f"],
+    "GPL-3.0": ["b2ac68bce942bc6215543ed71771c9842d216ca8aeacfab909a6516342209813"],
+    "LGPL-2.0": ["c6e6b0a0ce4ab489489f5ad3185cf82033a795e32ab6c4ab311b49928cd3c683"],
+    "LGPL-2.1": ["509a0466853f728518479e10c0b839140f7440e8ea7bd892fb11de7a27ce69ff"],
+    "LGPL-3.0": ["1857db73f9412dbec47942f7abc52681d05e566c78c44eeafffc69a4ce796042"],
+    "MPL-1.1": ["dbe46e5d8b387387dd18e2a708d1af4af7014aa6cab60c78c07450a4cd6beb33"],
+    "MPL-2.0": ["0eddc56545c945b1fb5de02f17fc5ca484ee9a1b24932ae9a60628b570000094"],
 }
 
+#: Names of licences as notices give them, besides the ids and titles above.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
+#: How a notice begins before the name.
+OPENINGS = [
+    "Licensed under", "Released under", "Distributed under", "Published under", "Available under", "This work is licensed under",
+    "This project is licensed under", "This software is licensed under", "SPDX-License-Identifier:",
+]
+
+
+def notices(names: dict[str, list[str]]) -> dict[str, list[str]]:
+    """One-line notices by licence: every opening with every name, with and without "the"."""
+    return {
+        licence: [f"{opening} {article}{name}" for opening in OPENINGS for name in dict.fromkeys([*own, licence]) for article in ("", "the ")]
+        for licence, own in names.items()
+    }
+
+
+#: The notices known by default: of every licence above by its id, its titles and its names.
+NOTICES = notices({k: [*TITLES.get(k, []), *NAMES.get(k, [])] for k in [*TITLES, *NAMES]})
+
 #: A copyright statement in a line of its own. "Copyright" before one of these words is a wrapped line of the licence itself.
-_BODY = "notices?|holders?|owners?|licen[cs]es?|laws?|statements?|and|or|in|to|of|is|are|as|for|by"
+_BODY = "notices?|holders?|owners?|licen[cs]es?|laws?|statements?|and|or|in|to|of|is|are|as"
 _COPYRIGHT = (
-    rf"(?m)^[^a-z0-9\n]*(?:copyright\b(?=[^\n]*[\p{{L}}\p{{N}}])(?![^\p{{L}}\p{{N}}\n]*(?:{_BODY})\b)|\(c\)|©|all rights reserved)[^\n]*$"
+    rf"(?md)^[^a-z0-9\n]*(?:copyright\b(?=[^\n]*[\p{{L}}\p{{N}}])(?![^\p{{L}}\p{{N}}\n]*(?:{_BODY})\b)|\(c\)|©|all rights reserved)[^\n]*$"
 )
 
 
@@ -129,27 +180,34 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """`licence`, `known_digest`: one row per known text."""
-    return spark.createDataFrame(list(texts.items()), "licence string, text string").select("licence", digest(F.col("text")).alias("known_digest"))
+def known(spark: SparkSession, texts: dict[str, list[str]], digests: dict[str, list[str]] | None = None) -> DataFrame:
+    """`known_digest`, `licence`: one row per canonical form of the texts and digests by licence, the first licence by name."""
+    texts_of, digests_of = ([(k, x) for k, of in d.items() for x in of] for d in (texts, digests or {}))
+    told = spark.createDataFrame(texts_of, "licence string, text string").select(digest(F.col("text")).alias("known_digest"), "licence")
+    given = spark.createDataFrame(digests_of, "licence string, known_digest string").select("known_digest", "licence")
+    return told.union(given).groupBy("known_digest").agg(F.min("licence").alias("licence"))
+
+
+def built_in() -> dict[str, list[str]]:
+    """The short licences, bare and under each of their titles."""
+    return {k: [text, *[f"{t}\n\n{text}" for t in TITLES.get(k, [])]] for k, text in LICENCES.items()}
 
 
-def scanned(docs: DataFrame, licences: dict[str, str] | None = None, notices: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
+def scanned(
+    docs: DataFrame, licences: dict[str, list[str]] | None = None, digests: dict[str, list[str]] | None = None, notices: dict[str, list[str]] | None = None, text_col: str = "text"
+) -> DataFrame:
     """All columns of `docs` plus the struct `scan`: `canonical_sha256` of the whole text, `licence` if that is a known
     licence, `notices`: ids of the known notices among the text's lines, each once and sorted.
 
-    Both tables are parameters of fixed size and broadcast. A null text counts as empty and matches nothing, as does a text of
-    copyright lines alone. Of known texts with one canonical form the first id by name is given. Repeated rows are scanned
+    The three tables are parameters, texts, canonical digests and notice lines by licence; those of a caller replace the
+    built-in ones. They are lists on the driver, and broadcast. A null text counts as empty and matches nothing, as does a text
+    of copyright lines alone. Of known texts with one canonical form the first id by name is given. Repeated rows are scanned
     each. A column `scan` of `docs` is replaced.
     """
     spark = docs.sparkSession
-    texts = known(spark, LICENCES if licences is None else licences)
-    if licences is None:
-        for k in range(max(map(len, TITLES.values()))):
-            texts = texts.union(known(spark, {x: f"{t[k]}\n\n{LICENCES[x]}" for x, t in TITLES.items() if k < len(t)}))
-    whole = texts.groupBy("known_digest").agg(F.min("licence").alias("licence"))
-    lines = known(spark, NOTICES if notices is None else notices).groupBy("known_digest").agg(F.min("licence").alias("licence"))
-    notice_of = F.create_map(*[F.lit(x) for r in lines.collect() for x in (r["known_digest"], r["licence"])])
+    whole = known(spark, built_in() if licences is None else licences, (DIGESTS if licences is None else {}) if digests is None else digests)
+    lines = known(spark, NOTICES if notices is None else notices)
+    notice_of = F.create_map(*[F.lit(x) for r in lines.collect() for x in (r["known_digest"], r["licence"])]) if lines.count() else F.lit(None).cast("map<string,string>")
     own = [c for c in docs.columns if c != "scan"]
     text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     naming = F.filter(F.split(text, "\n"), lambda x: x.rlike("(?i)licen[cs]"))

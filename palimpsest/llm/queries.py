@@ -237,18 +237,23 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     """The canonical form of licence texts, in SQL."""
-    plain = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+    line = lambda rule: rf"regexp_matches(l, '^[^a-z0-9]*{rule}')"
+    body = rf"copyright\b[^\p{{L}}\p{{N}}]*(?:{licences._BODY})\b"
+    statement = rf"{line(r'(?:\(c\)|©|all rights reserved)')} OR ({line(r'copyright\b.*[\p{L}\p{N}]')} AND NOT {line(body)})"
+    plain = f"array_to_string(list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: NOT ({statement})), chr(10))"
     words = rf"string_split(trim(regexp_replace(regexp_replace({plain}, '[-‐‑\x{{AD}}''’]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
     return f"array_to_string(list_transform({words}, lambda w: coalesce(spelled[w], w)), ' ')"
 
 
 def _licence_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = lambda d: ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in d.items())
+    rows = lambda d: ", ".join(f"({quoted(k)}, {quoted(x)})" for k, of in d.items() for x in of)
     spelled = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in licences.EQUIVALENT.items()) + "}"
     return f"""
 WITH e AS (SELECT {spelled} AS spelled),
-w AS (SELECT id, sha256({_canonical_sql('body')}) AS dg FROM (VALUES {rows(licences.LICENCES)}) AS t(id, body), e),
+k AS (SELECT id, sha256({_canonical_sql('body')}) AS dg FROM (VALUES {rows(licences.built_in())}) AS t(id, body), e
+      UNION ALL SELECT * FROM (VALUES {rows(licences.DIGESTS)})),
+w AS (SELECT min(id) AS id, dg FROM k GROUP BY dg),
 m AS (SELECT id, sha256({_canonical_sql('body')}) AS dg FROM (VALUES {rows(licences.NOTICES)}) AS t(id, body), e),
 d AS (SELECT doc_id, text, sha256({_canonical_sql('text')}) AS dg FROM documents, e),
 l AS (SELECT doc_id, sha256({_canonical_sql('line')}) AS dg
