@@ -28,8 +28,8 @@ SPACE = 64 + 64**2 + 64**3
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """Most labelled rows of the fit, landmarks among them, and the ridge. The rows are shared out evenly over the languages,
-    of which there may be at most `languages`."""
+    """Most labelled rows of the fit, landmarks among them, and the ridge. The rows are shared out evenly over the languages;
+    the `languages` most common ones are learned."""
 
     sample: int = 4096
     landmarks: int = 256
@@ -93,15 +93,17 @@ class LanguageModel:
 
 
 def _sampled(rows: DataFrame, cfg: LanguageConfig) -> DataFrame:
-    """At most `cfg.sample` ids with their language, the same number of each language as far as there are; first by a hash."""
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(cfg.languages + 1).collect()}
-    if len(sizes) > cfg.languages:
-        raise ValueError(f"more than {cfg.languages} languages")
+    """At most `cfg.sample` ids with their language, the same number of each language as far as there are; first by a hash.
+
+    Of more than `cfg.languages` languages those with most rows are learned, equal ones by name; the others are never predicted.
+    """
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.languages)
+    sizes = counts.collect()  # at most `cfg.languages` rows
     quota = max(1, cfg.sample // max(1, len(sizes)))
+    known = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, (4 * quota + 100) / r["n"])) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, (4 * quota + 100) / n)) for k, n in sizes.items()], F.lit(0.0))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    return rows.filter(draw < share).withColumn("place", first).filter(F.col("place") <= quota)
+    return rows.join(F.broadcast(known), "lang").filter(draw < F.col("share")).drop("share").withColumn("place", first).filter(F.col("place") <= quota)
 
 
 def trained(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 3) -> LanguageModel:
@@ -111,6 +113,7 @@ def trained(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), id_col: str
     named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropna().filter(id_remainder("id", held_out) != 1)
     chosen = F.broadcast(_sampled(named, cfg).dropDuplicates(["id"]))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    rows = rows.groupBy("id", "lang", "place").agg(F.max("text").alias("text"))  # a row per id, however often it repeats
 
     @F.arrow_udf("array<int>")
     def grams(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

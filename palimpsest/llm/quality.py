@@ -49,7 +49,8 @@ def trained(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConf
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(cfg.sample)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.distinct()), "id")
+    rows = rows.groupBy("id", "label").agg(F.max("text").alias("text"))  # a row per id and label, however often an id repeats
     got = rows.select(document_features("text").alias("x"), F.col("label").cast("int").alias("label")).toArrow()
     if not got.num_rows:
         return boosting.constant(1.0)

@@ -61,3 +61,13 @@ def test_nothing_to_learn_from(spark):
     assert language.identified(documents(spark, [])).count() == 0
     (row,) = language.identified(documents(spark, [(1, "text", None)])).collect()
     assert tuple(row["language"])[1:] == ("und", 0.0)
+
+
+def test_more_languages_than_are_learned(spark):
+    """The most common ones are learned; the others are never predicted, and a repeated id counts once."""
+    letters = "abcdefghij"
+    rows = [(i, " ".join(letters[i % 5] * 3 + letters[(i + 5) % 10] for _ in range(8)), f"l{i % 5}" if i < 300 else f"rare{i}") for i in range(340)]
+    rows += [rows[0]] * 50
+    cfg = language.LanguageConfig(sample=100, landmarks=20, languages=5)
+    got = {r["language"]["lang_pred"] for r in language.identified(documents(spark, rows), cfg).collect()}
+    assert got <= {f"l{k}" for k in range(5)} and len(got) > 1
