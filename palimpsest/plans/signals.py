@@ -161,20 +161,42 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_pairs(signatures).select("a_id", "b_id", "distance")
 
 
-EMBEDDED = f"""WITH z AS (SELECT vec_id AS item_id, ({' + '.join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {('-' if i == 63 else '') + str(1 << i)}::HUGEINT ELSE 0 END" for i in range(64))})::BIGINT AS sig FROM embeddings),
+CLASSES = """nb AS MATERIALIZED (SELECT a.item_id AS p, b.item_id AS q FROM z a JOIN z b ON bit_count(xor(a.sig, b.sig)) <= 5),
+reach AS (SELECT p, q FROM nb UNION SELECT reach.p, nb.q FROM reach JOIN nb ON reach.q = nb.p)
+SELECT p AS item_id, min(reach.q) AS class_id, (SELECT count(*) - 1 FROM nb WHERE nb.p = reach.p) AS links FROM reach GROUP BY p"""
+
+
+@query("near_duplicate_classes", f"{SIGNATURES}, {CLASSES}")
+def near_duplicate_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_classes(text_signatures(documents(spark, sf)))
+
+
+#: Components beyond this, of either sign, set a bit of an embedding's signature.
+LARGE = 0.15
+
+EMBEDDED = f"""WITH RECURSIVE z AS (SELECT vec_id AS item_id, ({' + '.join(f"CASE WHEN embedding[{i // 2 + 1}] {'<' if i % 2 else '>'} {'-' * (i % 2)}{LARGE} THEN {('-' if i == 63 else '') + str(1 << i)}::HUGEINT ELSE 0 END" for i in range(64))})::BIGINT AS sig FROM embeddings),
 d AS (SELECT sig, min(item_id) AS id FROM z GROUP BY sig)"""
 
 
-@query("near_embedding_pairs", f"""{EMBEDDED} SELECT a.id AS a_id, b.id AS b_id, bit_count(xor(a.sig, b.sig))::INT AS distance FROM d a JOIN d b ON a.id < b.id
-  AND bit_count(xor(a.sig, b.sig)) BETWEEN 1 AND 16""")
-def near_embedding_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def embedding_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Two bits for each of the first 32 components: large and positive, large and negative."""
     sig = F.lit(0).cast("bigint")
     for i in range(64):
-        bit = F.when(F.get("embedding", F.lit(i)) > 0, 1).otherwise(0).cast("bigint")
+        x = F.get("embedding", F.lit(i // 2)).cast("double")
+        bit = F.when((x < -LARGE) if i % 2 else (x > LARGE), 1).otherwise(0).cast("bigint")
         sig = sig.bitwiseOR(F.shiftleft(bit, i))
-    items = tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), sig.alias("sig"))
-    pairs = neardup.near_pairs(neardup.distinct_signatures(items), 16)
-    return pairs.select("a_id", "b_id", "distance")
+    return tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), sig.alias("sig"))
+
+
+@query("near_embedding_pairs", f"""{EMBEDDED} SELECT a.id AS a_id, b.id AS b_id, bit_count(xor(a.sig, b.sig))::INT AS distance FROM d a JOIN d b ON a.id < b.id
+  AND bit_count(xor(a.sig, b.sig)) BETWEEN 1 AND 5""")
+def near_embedding_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_pairs(neardup.distinct_signatures(embedding_signatures(spark, sf))).select("a_id", "b_id", "distance")
+
+
+@query("near_embedding_classes", f"{EMBEDDED}, {CLASSES}")
+def near_embedding_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_classes(embedding_signatures(spark, sf))
 
 
 LEADERS = f"""{SIGNATURES}, o AS (SELECT item_id, sig, row_number() OVER (ORDER BY item_id) AS i FROM z),
@@ -198,10 +220,17 @@ def keep_latest(spark: SparkSession, sf: str) -> DataFrame:
 @query("media_substitution", f"""{SIGNATURES}, m AS (SELECT doc_id % 20 AS session_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) - 1 AS pos,
     count(*) OVER (PARTITION BY doc_id % 20) AS n, CASE WHEN doc_id % 3 = 0 THEN 'text' ELSE 'media' END AS kind, sig, text, lang,
     CASE WHEN doc_id % 3 = 0 THEN {S.TOKENS} ELSE 1600 END AS tokens FROM documents JOIN z ON z.item_id = doc_id),
-k AS (SELECT *, {S.alive('2', 'n - 1 - pos')} AS keep, max(pos) OVER (PARTITION BY session_id, kind, sig) AS last_pos FROM m)
+o AS (SELECT session_id, pos, sig, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS i FROM m WHERE kind = 'media'),
+walk(session_id, i, leaders) AS (SELECT DISTINCT session_id, 0::BIGINT, []::BIGINT[] FROM o UNION ALL
+  SELECT o.session_id, o.i, CASE WHEN len(list_filter(w.leaders, lambda l: bit_count(xor(l, o.sig)) <= 5)) = 0 THEN list_append(w.leaders, o.sig) ELSE w.leaders END
+  FROM walk w JOIN o ON o.session_id = w.session_id AND o.i = w.i + 1),
+led AS (SELECT session_id, max_by(leaders, i) AS leaders FROM walk GROUP BY session_id),
+c AS (SELECT o.session_id, o.pos, list_position(list_transform(leaders, lambda l: bit_count(xor(l, o.sig)) <= 5), TRUE) AS c FROM o JOIN led USING (session_id)),
+latest AS (SELECT session_id, max(pos) AS pos, TRUE AS newest FROM c GROUP BY session_id, c),
+k AS (SELECT *, {S.alive('2', 'n - 1 - pos')} AS keep FROM m LEFT JOIN latest USING (session_id, pos))
 SELECT session_id, pos, CASE WHEN kind = 'media' AND NOT keep THEN 'extract' ELSE kind END AS kind,
   (CASE WHEN kind = 'media' AND NOT keep THEN length('screen in ' || lang) // 4 + 1 ELSE tokens END)::BIGINT AS tokens
-FROM k WHERE (kind = 'text' AND keep) OR (kind = 'media' AND pos = last_pos)""")
+FROM k WHERE (kind = 'text' AND keep) OR (kind = 'media' AND newest)""")
 def media_substitution(spark: SparkSession, sf: str) -> DataFrame:
     from palimpsest.operators import prune
     from palimpsest.operators.sequence import dense_positions, fitting_block_rows
@@ -224,4 +253,4 @@ def media_substitution(spark: SparkSession, sf: str) -> DataFrame:
     )
     decided = prune.decide(rows, PruneConfig())
     extracts = rows.select("session_id", "pos", F.concat(F.lit("screen in "), "lang").alias("extract"))
-    return neardup.substitute_media(decided, extracts, threshold=0).select("session_id", "pos", "kind", "tokens")
+    return neardup.substitute_media(decided, extracts).select("session_id", "pos", "kind", "tokens")

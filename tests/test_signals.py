@@ -60,7 +60,7 @@ def test_chain_fixture(spark):
     assert [r.item_id for r in N.keep_latest(frame(spark, chain)).orderBy("item_id").collect()] == [1, 2]
 
 
-@pytest.mark.parametrize("limit", [2, 256])
+@pytest.mark.parametrize("limit", [2, 16, 512])
 def test_near_duplicates_fuzz(spark, limit):
     rng = random.Random(limit)
     centres = [rng.getrandbits(64) for _ in range(6)]
@@ -72,14 +72,62 @@ def test_near_duplicates_fuzz(spark, limit):
         sigs.append(s)
     items = frame(spark, sigs)
     for threshold in (0, 2, 5):
-        pairs = {(r.a_id, r.b_id): r.distance for r in N.near_pairs(N.distinct_signatures(items), threshold, bucket_limit=limit).collect()}
+        distinct = N.distinct_signatures(items)
+        rows = N.near_pairs(distinct, threshold, limit=limit).collect()
+        pairs = {(r.a_id, r.b_id): r.distance for r in rows}
         first = {s: sigs.index(s) for s in sigs}
         ids = sorted(first.values())
         want = {(a, b): bin(sigs[a] ^ sigs[b]).count("1") for a in ids for b in ids if a < b and bin(sigs[a] ^ sigs[b]).count("1") <= threshold}
-        assert pairs == want
+        assert pairs == want and len(rows) == len(pairs)
+        near = lambda i, j: bin(sigs[i] ^ sigs[j]).count("1") <= threshold
+        reach = {i: i for i in range(160)}
+        for _ in range(160):
+            for i in range(160):
+                reach[i] = min(reach[j] for j in range(160) if near(i, j))
+        got = {r.item_id: (r.class_id, r.links) for r in N.near_classes(items, threshold, limit=limit).collect()}
+        assert got == {i: (reach[i], sum(near(i, j) for j in range(160)) - 1) for i in range(160)}
     reps, newest = brute.leaders(sigs, 5)
     assert sorted(r.item_id for r in N.keep_first(items).collect()) == reps
     assert sorted(r.item_id for r in N.keep_latest(items).collect()) == newest
+    rounds = N.clusters(items, settled=limit)
+    assert sorted(r.first_id for r in rounds.filter("leader_id = first_id").collect()) == reps
+
+
+def test_scopes_do_not_mix(spark):
+    rows = [(g, i, signed(s)) for g in ("a", "b", None) for i, s in enumerate([0, 1, 3, 1 << 63, 0])]
+    items = spark.createDataFrame(rows, "g STRING, item_id BIGINT, sig BIGINT")
+    got = {(r.g, r.item_id): (r.class_id, r.links) for r in N.near_classes(items, 1, ["g"]).collect()}
+    one = {0: (0, 3), 1: (0, 3), 2: (0, 1), 3: (0, 2), 4: (0, 3)}
+    assert got == {(g, i): v for g in ("a", "b", None) for i, v in one.items()}
+    assert N.near_classes(items.limit(0), 5, ["g"]).count() == 0
+
+
+def test_no_cell_above_two_tiles(spark):
+    """One dense cluster of signatures that no block tells apart, next to spread ones."""
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    sigs = {centre ^ sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(1500)} | {rng.getrandbits(64) for _ in range(500)}
+    signatures = N.distinct_signatures(frame(spark, sorted(sigs)))
+    sizes = [r["count"] for r in N.tiles(signatures, 5, limit=64).groupBy("cell").count().collect()]
+    assert max(sizes) <= 3 * 64  # two tiles, whose sizes follow from a hash
+    classes = N.linked(signatures, 5, limit=64)
+    small = sorted(sigs)[:: len(sigs) // 40]
+    for s in small:
+        want = sum(0 < bin(s ^ o).count("1") <= 5 for o in sigs)
+        assert classes.filter(F.col("sig") == signed(s)).first()["links"] == want
+
+
+def test_latest_takes_few_jobs(spark):
+    """Chains of near-duplicates, each link near to the one before only, do not take a round per link."""
+    sigs = []
+    for g in range(40):
+        s = (g * 0x9E3779B97F4A7C15) % (1 << 64)
+        for k in range(12):
+            s ^= 0b1111 << (4 * k)
+            sigs.append(s)
+    items = frame(spark, sigs)
+    reps, newest = brute.leaders(sigs, 5)
+    assert sorted(r.item_id for r in N.keep_latest(items).collect()) == newest
 
 
 def test_pairs_come_once(spark):
