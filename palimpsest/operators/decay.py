@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import config as C
@@ -24,6 +24,18 @@ REINFORCEMENT = 0.5
 STATE_CAPACITY = 64
 
 
+def initial_level(signal: Column, oxygen: Column) -> Column:
+    """The given level of a block; by its class where none is given or it is negative."""
+    return F.when(F.coalesce(oxygen, F.lit(-1.0)) < 0, weight_of(signal)).otherwise(oxygen)
+
+
+def lifetime(level: Column, signal: Column, half_life: float, threshold: float) -> Column:
+    """The number of cycles after which a block falls below the threshold, one at least; null for those that never do."""
+    cycles = F.floor(F.log2(level / F.lit(threshold)) * max(half_life, 0.1) + 1e-9) + 1
+    ends = F.when(level < threshold, F.lit(1)).otherwise(F.greatest(cycles, F.lit(1)))
+    return F.when(~has_flag(signal, C.PROTECTED) & (F.lit(threshold) > 0), ends.cast("bigint"))
+
+
 def decay_cycles(
     rows: DataFrame,
     *,
@@ -44,19 +56,13 @@ def decay_cycles(
         layout.split(rows), sums={"_cycles_before": cycle}, totals={"total_cycles": cycle}
     )
     born = layout.running_sum(cycle, F.col("_cycles_before"))
-    start = F.when(F.coalesce(F.col("oxygen"), F.lit(-1.0)) < 0, weight_of(F.col("signal"))).otherwise(
-        F.col("oxygen")
-    )
+    start = initial_level(F.col("signal"), F.col("oxygen"))
     blocks = counted.withColumn("born_cycle", born).filter(~F.col("is_cycle"))
     cycles = F.col("total_cycles") - F.col("born_cycle")
     protected = has_flag(F.col("signal"), C.PROTECTED)
-    # Smallest number of cycles that brings the block below the threshold; at least one must run.
-    lifetime = F.when(F.col("_start") < threshold, F.lit(1)).otherwise(
-        F.greatest(F.floor(F.log2(F.col("_start") / F.lit(threshold)) * life + 1e-9) + 1, F.lit(1))
-    )
     return layout.merge(
         blocks.withColumns({"_start": start, "cycles": cycles})
-        .withColumn("_lifetime", F.when(~protected & (F.lit(threshold) > 0), lifetime.cast("bigint")))
+        .withColumn("_lifetime", lifetime(F.col("_start"), F.col("signal"), half_life, threshold))
         .withColumn(
             "purged_cycle",
             F.when(F.col("_lifetime") <= F.col("cycles"), F.col("born_cycle") + F.col("_lifetime")),

@@ -105,11 +105,18 @@ def stream_hash_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("stream_session_pruning", f"""{DECAY}, k AS (SELECT session_id, pos, cyc AS cycle,
-    (sum(CASE WHEN is_cycle THEN 0 ELSE tok END) OVER (PARTITION BY session_id ORDER BY pos))::BIGINT AS inserted_tokens, is_cycle FROM c)
-SELECT k.session_id, k.cycle::BIGINT AS cycle, k.inserted_tokens, coalesce(sum(d.tok) FILTER (d.purged_cycle <= k.cycle), 0)::BIGINT AS reclaimed_tokens,
+    (sum(CASE WHEN is_cycle THEN 0 ELSE tok END) OVER (PARTITION BY session_id ORDER BY pos))::BIGINT AS inserted_tokens, is_cycle FROM c),
+g AS (SELECT k.session_id, k.cycle::BIGINT AS cycle, k.inserted_tokens, coalesce(sum(d.tok) FILTER (d.purged_cycle <= k.cycle), 0)::BIGINT AS reclaimed_tokens,
   count(*) FILTER (d.purged_cycle = k.cycle) AS purged,
-  count(*) FILTER (d.pos < k.pos AND (d.purged_cycle IS NULL OR d.purged_cycle > k.cycle)) AS active_blocks
-FROM k JOIN decayed d USING (session_id) WHERE k.is_cycle GROUP BY ALL""")
+  count(*) FILTER (d.pos < k.pos AND (d.purged_cycle IS NULL OR d.purged_cycle > k.cycle)) AS active_blocks,
+  coalesce(sum(d.tok) FILTER (d.pos < k.pos AND (d.purged_cycle IS NULL OR d.purged_cycle > k.cycle)), 0)::BIGINT AS active_tokens,
+  string_agg(d.text, chr(10) ORDER BY d.pos) FILTER (d.pos < k.pos AND (d.purged_cycle IS NULL OR d.purged_cycle > k.cycle)) AS body,
+  list([d.text] ORDER BY d.purged_cycle, d.pos) FILTER (d.purged_cycle <= k.cycle AND d.signal & 6 <> 0) AS xs
+FROM k JOIN decayed d USING (session_id) WHERE k.is_cycle GROUP BY ALL),
+st AS (SELECT *, list_reduce(coalesce(xs, []), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE (a || x)[greatest(len(a) + 2 - 64, 1):] END, []::VARCHAR[]) AS held FROM g)
+SELECT session_id, cycle, inserted_tokens, reclaimed_tokens, purged, active_blocks, active_tokens, coalesce(array_to_string(held, '|'), '') AS state,
+  sha256(CASE WHEN len(held) > 0 THEN 'STATE:' || chr(10) || array_to_string(list_transform(held, lambda s: '- ' || s || chr(10)), '') ELSE '' END || coalesce(body, '')) AS context_sha256
+FROM st""")
 def stream_session_pruning(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "session-events")
     rows = cycle_rows(spark, sf).rows.select(
@@ -121,17 +128,16 @@ def stream_session_pruning(spark: SparkSession, sf: str) -> DataFrame:
         "oxygen",
     )
     for low, high in ((0, 30), (30, 1 << 40)):
-        rows.filter((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(4).write.mode("append").parquet(f"{path}/part={low}")
+        rows.filter((F.col("seq") >= low) & (F.col("seq") < high)).repartition(4, "session_id").write.mode("append").parquet(f"{path}/part={low}")
     schema = spark.read.parquet(path).schema
-    first = spark.readStream.schema(schema).parquet(f"{path}/part=0*")
-    second = spark.readStream.schema(schema).parquet(f"{path}/part=*")
+    first = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/part=0*")
+    second = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/part=*")
     root = scratch(spark, "pruner")
     for source in (first, second):
         pruned = session_state.prune_live_sessions(source)
         out = append_to_table(pruned, "pruner", path=f"{root}/rows", checkpoint=f"{root}/progress")
-    return out.select(
-        "session_id", "cycle", "inserted_tokens", "reclaimed_tokens", "purged", "active_blocks"
-    )
+    counts = ["session_id", "cycle", "inserted_tokens", "reclaimed_tokens", "purged", "active_blocks", "active_tokens"]
+    return out.select(*counts, F.array_join("state", "|").alias("state"), F.sha2("context", 256).alias("context_sha256"))
 
 
 @query("protocol_repair", f"""WITH RECURSIVE {S.EVENTS}, l AS (

@@ -1,134 +1,169 @@
-"""Incremental pruning of live sessions: blocks decay once per cycle, purged turns leave a state line.
+"""Live sessions that forget: blocks expire by decay cycles, and purged turns leave a line of state.
 
-This is the one operator whose state changes with every row and cannot be written as a window: it
-keeps, per session, the live blocks, the bounded state list, the purpose header and three counters.
-The batch form (operators/decay.py) gives the same final state without any fold.
+A block's last cycle follows from its level when it comes in, so nothing is decayed from cycle to cycle. Levels, lifetimes, sizes
+and the lines that purged turns leave are columns of the stream; the stateful step only files each block under the cycle in which
+it expires. A cycle takes the blocks filed under its number and touches no other: the keyed state is a map from expiry cycle to
+blocks, six counters, and the bounded list of lines. Texts of live blocks are kept in a second map, if contexts are wanted.
+
+The batch form (operators/decay.py) gives the same rows from windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle, TimerValues
 
 from palimpsest import config as C
-from palimpsest.operators.decay import CYCLE_HALF_LIFE, CYCLE_THRESHOLD, REINFORCEMENT, STATE_CAPACITY
+from palimpsest.functions import text as T
+from palimpsest.functions.classes import has_flag
+from palimpsest.operators.decay import CYCLE_HALF_LIFE, CYCLE_THRESHOLD, STATE_CAPACITY, initial_level, lifetime, render_state
 from palimpsest.streaming.sinks import use_rocks_state
 
-OUTPUT = (
+INPUT_COLUMNS = ["session_id", "seq", "kind", "content", "signal", "oxygen"]
+
+_CYCLES = (
     "session_id {key}, cycle BIGINT, purged BIGINT, active_blocks BIGINT, active_tokens BIGINT, "
-    "inserted_tokens BIGINT, reclaimed_tokens BIGINT, state ARRAY<STRING>, context STRING"
+    "inserted_tokens BIGINT, reclaimed_tokens BIGINT, state ARRAY<STRING>, purpose STRING, body STRING"
 )
-INPUT_COLUMNS = ["session_id", "seq", "kind", "content", "signal", "oxygen"]
+_COUNTERS = "purpose string, cycle bigint, blocks bigint, tokens bigint, inserted bigint, reclaimed bigint"
 
 
-def start_weight(signal: int) -> float:
-    if signal & C.PROTECTED:
-        return C.WEIGHT_PROTECTED
-    if signal & (C.USER | C.ASSISTANT):
-        return C.WEIGHT_TALK
-    if signal & C.THINKING:
-        return C.WEIGHT_THINKING
-    return C.WEIGHT_TOOL if signal & C.TOOL else C.WEIGHT_OTHER
+@dataclass
+class Bucket:
+    """Blocks that expire in one cycle, in the order they came: places, sizes, and the lines they leave (None: no line)."""
 
+    seqs: list[int]
+    tokens: list[int]
+    lines: list[str | None]
 
-def digest(content: str, limit: int = 120) -> str:
-    flat = " ".join(content.split())
-    raw = flat.encode()
-    if len(raw) <= limit:
-        return flat
-    end = limit
-    while end < len(raw) and raw[end] & 0xC0 == 0x80:
-        end += 1
-    return flat if end >= len(raw) else raw[:end].decode() + "…"
+    def extend(self, other: Bucket) -> None:
+        self.seqs += other.seqs
+        self.tokens += other.tokens
+        self.lines += other.lines
 
 
-class SessionPruner(StatefulProcessor):
-    """One row out per decay cycle of a session."""
+class ExpiryWheel(StatefulProcessor):
+    """One row per cycle of a session."""
 
-    def __init__(self, half_life: float, threshold: float, boost: float, capacity: int, absorb: bool, idle_ms: int | None) -> None:
-        self.factor = 2.0 ** (-1.0 / max(half_life, 0.1))
-        self.threshold, self.boost = threshold, boost
-        self.capacity, self.absorb, self.idle_ms = max(capacity, 1), absorb, idle_ms
+    def __init__(self, capacity: int, with_context: bool, idle_ms: int | None) -> None:
+        self.capacity, self.with_context, self.idle_ms = max(capacity, 1), with_context, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         keep = {} if self.idle_ms is None else {"ttlDurationMs": self.idle_ms}
-        self.blocks = handle.getListState("blocks", "content string, oxygen double, signal int, tokens bigint", **keep)
-        self.notes = handle.getListState("notes", "note string", **keep)
-        self.header = handle.getValueState("header", "purpose string, cycle bigint, inserted bigint, reclaimed bigint", **keep)
+        self.wheel = handle.getMapState("wheel", "cycle bigint", "seqs array<bigint>, tokens array<bigint>, lines array<string>", **keep)
+        self.texts = handle.getMapState("texts", "seq bigint", "content string", **keep)
+        self.lines = handle.getListState("lines", "line string", **keep)
+        self.counters = handle.getValueState("counters", _COUNTERS, **keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        # One micro-batch of one session, whose size the source's batch limit bounds.
-        batch = pd.concat(list(rows)).sort_values("seq")
-        purpose, cycle, inserted, reclaimed = self.header.get() if self.header.exists() else (None, 0, 0, 0)
-        live = [list(b) for b in self.blocks.get()] if self.blocks.exists() else []
-        notes = [n[0] for n in self.notes.get()] if self.notes.exists() else []
+        # rows of one session in one micro-batch, which the source's batch limit bounds
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        purpose, cycle, blocks, tokens, inserted, reclaimed = self.counters.get() if self.counters.exists() else (None, 0, 0, 0, 0, 0)
+        held = dict.fromkeys(line[0] for line in self.lines.get()) if self.lines.exists() else {}
+        new: dict[int, Bucket] = {}
+        fresh: dict[int, str] = {}
         out = []
-        for row in batch.itertuples(index=False):
-            if row.kind == "purpose":
-                purpose = None if pd.isna(row.content) else row.content
-            elif row.kind == "note":
-                self._note(notes, row.content)
-            elif row.kind == "insert":
-                given = row.oxygen is not None and not pd.isna(row.oxygen) and row.oxygen >= 0
-                tokens = len(row.content.encode()) // 4 + 1
-                inserted += tokens
-                live.append([row.content, float(row.oxygen) if given else start_weight(int(row.signal)), int(row.signal), tokens])
+        for seq, kind, content, size, life, line in zip(*[batch[c].tolist() for c in ("seq", "kind", "content", "size", "life", "line")]):
+            if kind == "insert":
+                blocks, tokens, inserted = blocks + 1, tokens + int(size), inserted + int(size)
+                if not pd.isna(life):
+                    new.setdefault(cycle + int(life), Bucket([], [], [])).extend(Bucket([seq], [int(size)], [None if pd.isna(line) else line]))
+                if self.with_context:
+                    fresh[seq] = content
+            elif kind == "purpose":
+                purpose = None if pd.isna(content) else content
+            elif kind == "note":
+                self._hold(held, content)
             else:
                 cycle += 1
-                alive, purged = [], 0
-                for block in live:
-                    protected = block[2] & C.PROTECTED
-                    block[1] = block[1] + self.boost if protected else block[1] * self.factor
-                    if protected or block[1] >= self.threshold:
-                        alive.append(block)
-                        continue
-                    purged += 1
-                    reclaimed += block[3]
-                    if self.absorb and block[2] & (C.USER | C.ASSISTANT):
-                        self._note(notes, digest(block[0]))
-                live = alive
-                out.append(
-                    (key[0], cycle, purged, len(live), sum(b[3] for b in live), inserted, reclaimed, list(notes), self._render(purpose, notes, live))
-                )
-        self.blocks.put([tuple(b) for b in live]) if live else self.blocks.clear()
-        self.notes.put([(n,) for n in notes]) if notes else self.notes.clear()
-        self.header.update((purpose, cycle, inserted, reclaimed))
+                due = self._due(cycle, new)
+                blocks, tokens, reclaimed = blocks - len(due.seqs), tokens - sum(due.tokens), reclaimed + sum(due.tokens)
+                for gone, left in zip(due.seqs, due.lines):
+                    if left is not None:
+                        self._hold(held, left)
+                    if self.with_context and fresh.pop(gone, None) is None:
+                        self.texts.removeKey((gone,))
+                out.append((key[0], cycle, len(due.seqs), blocks, tokens, inserted, reclaimed, list(held), purpose, self._body(fresh)))
+        for at, bucket in new.items():
+            if self.wheel.containsKey((at,)):
+                whole = Bucket(*map(list, self.wheel.getValue((at,))))
+                whole.extend(bucket)
+                bucket = whole
+            self.wheel.updateValue((at,), (bucket.seqs, bucket.tokens, bucket.lines))
+        for seq, content in fresh.items():
+            self.texts.updateValue((seq,), (content,))
+        if held:
+            self.lines.put([(line,) for line in held])
+        self.counters.update((purpose, cycle, blocks, tokens, inserted, reclaimed))
         if out:
-            columns = ["session_id", "cycle", "purged", "active_blocks", "active_tokens", "inserted_tokens", "reclaimed_tokens", "state", "context"]
-            yield pd.DataFrame(out, columns=columns)
-
-    def _note(self, notes: list[str], fact: str) -> None:
-        if fact not in notes:
-            notes.append(fact)
-            del notes[: max(len(notes) - self.capacity, 0)]
-
-    @staticmethod
-    def _render(purpose: str | None, notes: list[str], live: list[list]) -> str:
-        top = "" if purpose is None else purpose + "\n"
-        state = "STATE:\n" + "".join(f"- {n}\n" for n in notes) if notes else ""
-        return top + state + "\n".join(b[0] for b in live)
+            yield pd.DataFrame(out, columns=["session_id", "cycle", "purged", "active_blocks", "active_tokens", "inserted_tokens", "reclaimed_tokens", "state", "purpose", "body"])
+
+    def _due(self, cycle: int, new: dict[int, Bucket]) -> Bucket:
+        """The blocks of a cycle, those of earlier batches first; they leave the wheel."""
+        due = Bucket([], [], [])
+        if self.wheel.containsKey((cycle,)):
+            due.extend(Bucket(*map(list, self.wheel.getValue((cycle,)))))
+            self.wheel.removeKey((cycle,))
+        if cycle in new:
+            due.extend(new.pop(cycle))
+        return due
+
+    def _hold(self, held: dict[str, None], line: str) -> None:
+        """A line not held yet goes to the end; the oldest leaves a full list."""
+        held.setdefault(line)
+        if len(held) > self.capacity:
+            del held[next(iter(held))]
+
+    def _body(self, fresh: dict[int, str]) -> str | None:
+        if not self.with_context:
+            return None
+        texts = {seq[0]: content[0] for seq, content in self.texts.iterator()} | fresh
+        return "\n".join(texts[seq] for seq in sorted(texts))
 
     def close(self) -> None:
         pass
 
 
-def prune_live_sessions(stream: DataFrame, *, half_life: float = CYCLE_HALF_LIFE, threshold: float = CYCLE_THRESHOLD,
-                        boost: float = REINFORCEMENT, capacity: int = STATE_CAPACITY, absorb: bool = True,
-                        idle_ms: int | None = None) -> DataFrame:
+def prune_live_sessions(
+    stream: DataFrame,
+    *,
+    half_life: float = CYCLE_HALF_LIFE,
+    threshold: float = CYCLE_THRESHOLD,
+    capacity: int = STATE_CAPACITY,
+    absorb: bool = True,
+    with_context: bool = True,
+    idle_ms: int | None = None,
+) -> DataFrame:
     """Stream of session events (INPUT_COLUMNS; kind insert, cycle, note or purpose) to one row per cycle.
 
-    `idle_ms` drops the state of sessions that have been quiet for that long.
+    Rows of a session count in the order of `seq` inside a micro-batch and in the order of batches. `context` is purpose, state and
+    live texts, null without `with_context`. `idle_ms` drops the state of sessions that have been quiet for that long. Protected
+    blocks never expire: their texts stay in the state as long as the session.
     """
     use_rocks_state(stream.sparkSession)
-    processor = SessionPruner(half_life, threshold, boost, capacity, absorb, idle_ms)
+    talk = has_flag(F.col("signal"), C.USER | C.ASSISTANT) & F.lit(absorb)
+    text = F.coalesce("content", F.lit(""))
+    insert = F.col("kind") == "insert"
+    prepared = stream.select(*INPUT_COLUMNS).select(
+        "session_id",
+        "seq",
+        "kind",
+        F.when(insert, text).otherwise(F.col("content")).alias("content"),
+        T.token_size(text).cast("bigint").alias("size"),
+        lifetime(initial_level(F.col("signal"), F.col("oxygen")), F.col("signal"), half_life, threshold).alias("life"),
+        F.when(talk, T.one_line_digest(text)).alias("line"),
+    )
+    processor = ExpiryWheel(capacity, with_context, idle_ms)
     key = stream.schema["session_id"].dataType.simpleString()
     mode = "None" if idle_ms is None else "ProcessingTime"
-    return (
-        stream.select(*INPUT_COLUMNS)
-        .groupBy("session_id")
-        .transformWithStateInPandas(processor, OUTPUT.format(key=key), "Append", mode)
-    )
+    cycles = prepared.groupBy("session_id").transformWithStateInPandas(processor, _CYCLES.format(key=key), "Append", mode)
+    head = F.when(F.col("purpose").isNotNull(), F.concat("purpose", F.lit("\n"))).otherwise(F.lit(""))
+    return cycles.withColumn("context", F.concat(head, render_state(None, F.col("state"), F.col("body")))).withColumn(
+        "context", F.when(F.lit(with_context), F.col("context"))
+    ).drop("purpose", "body")
