@@ -7,13 +7,11 @@ next kept row answers one of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.config import BLOCK_ROWS
+from palimpsest.operators.lineage import cut
 from palimpsest.operators.sequence import Layout
 
 KEYS = ["session_id"]
@@ -39,7 +37,7 @@ def _paired_results(rows: DataFrame, layout: Layout) -> DataFrame:
 
     In a run, the first row that fits the delimiter before it stays. Unless that row is itself an
     assistant row it cannot back the rest of the run, which falls. Only runs where an assistant row
-    carries results need the ordered scan.
+    carries results need more.
     """
     giver = F.when(
         ~F.col("has_result"),
@@ -60,41 +58,49 @@ def _paired_results(rows: DataFrame, layout: Layout) -> DataFrame:
         (F.col("pos") == F.col("_first_fit")).alias("_ok"),
     )
     plain = simple.filter(~F.col("_chained") & F.col("_ok")).select(*KEYS, "pos")
-    stay = plain.unionByName(_walk(simple.filter("_chained")))
+    chained = cut(simple.filter("_chained"))
+    stay = plain if chained.isEmpty() else plain.unionByName(_chained(chained, layout.block_rows))
     return (
         rows.filter(~F.col("has_result"))
         .unionByName(rows.filter("has_result").join(stay, [*KEYS, "pos"], "left_semi").select(rows.columns))
     )
 
 
-def _walk(rows: DataFrame) -> DataFrame:
-    """Positions kept by the ordered scan of runs, streamed: the state is the last kept row."""
-    cells = [*KEYS, "_run_at"]
-    narrow = rows.select(
-        *cells, "pos", "role", "use_ids", "result_ids",
-        F.col("_run.role").alias("start_role"), F.col("_run.use_ids").alias("start_ids"),
-    )
+def _chained(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Positions kept in runs where rows with results may back later ones.
 
-    def scan(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        role, uses = None, None
-        for batch in batches:
-            kept = []
-            for row in batch.to_pylist():
-                if uses is None:
-                    role, uses = row["start_role"], set(row["start_ids"] or [])
-                if role == "assistant" and set(row["result_ids"]) <= uses:
-                    role, uses = row["role"], set(row["use_ids"])
-                    kept.append(row["pos"])
-            session = pa.array([key[0].as_py()] * len(kept), type=key[0].type)
-            yield pa.RecordBatch.from_arrays([session, pa.array(kept, pa.int64())], names=["session_id", "pos"])
-
-    key_type = rows.schema["session_id"].dataType.simpleString()
-    return (
-        narrow.repartition(*cells)
-        .sortWithinPartitions(*cells, "pos")
-        .groupBy(*cells)
-        .applyInArrow(scan, f"session_id {key_type}, pos bigint")
-    )
+    Whichever row is kept, the next one kept is the first later row of the run whose results it all used. So every row that could
+    back others points to one successor, and the kept rows are those that pointers reach from the delimiter: pointers double in
+    length until none is left, a number of rounds that is the logarithm of the longest chain. Successors are looked up by set of
+    results, among the distinct sets of a run, and then by position.
+    """
+    run = [*KEYS, "_run_at"]
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    givers = rows.groupBy(*run).agg(F.first("_run").alias("_run")).filter("_run.role = 'assistant'")
+    givers = givers.select(*run, F.col("_run_at").alias("node"), as_set(F.col("_run.use_ids")).alias("uses"))
+    nodes = cut(givers.unionByName(rows.filter("role = 'assistant'").select(*run, F.col("pos").alias("node"), as_set(F.col("use_ids")).alias("uses"))))
+    results = cut(rows.select(*run, "pos", as_set(F.col("result_ids")).alias("wants")))
+
+    used, wanted = nodes.select(*run, "uses").distinct(), results.select(*run, "wants").distinct()
+    by_first = used.withColumn("id", F.explode("uses")).join(wanted.filter("size(wants) > 0").withColumn("id", F.col("wants")[0]), [*run, "id"])
+    some = by_first.filter(F.size(F.array_except("wants", "uses")) == 0).select(*run, "uses", "wants")
+    fits = some.unionByName(used.join(wanted.filter("size(wants) = 0"), run))
+
+    asked = nodes.join(fits, [*run, "uses"]).select(*run, "wants", (2 * F.col("node") + 1).alias("at"), "node", F.lit(None).cast("bigint").alias("pos"))
+    given = results.select(*run, "wants", (2 * F.col("pos")).alias("at"), F.lit(None).cast("bigint").alias("node"), "pos")
+    layout = Layout([*run, "wants"], "at", block_rows)
+    placed = layout.carry(layout.split(asked.unionByName(given)), first_after={"_after": F.col("pos")}, reuse=True)
+    placed = placed.withColumn("next", layout.following_first(F.col("pos"), F.col("_after"))).filter("node IS NOT NULL AND next IS NOT NULL")
+    jumps = cut(placed.groupBy(*run, "node").agg(F.min("next").alias("next")))
+
+    reached = givers.select(*run, "node")
+    while True:
+        hops = cut(reached.join(jumps, [*run, "node"]).select(*run, F.col("next").alias("node")))
+        if hops.isEmpty():
+            return reached.filter("node <> _run_at").select(*KEYS, F.col("node").alias("pos"))
+        reached = cut(reached.unionByName(hops))
+        further = jumps.select(*run, F.col("node").alias("next"), F.col("next").alias("far"))
+        jumps = cut(jumps.join(further, [*run, "next"]).select(*run, "node", F.col("far").alias("next")))
 
 
 def _answered_uses(rows: DataFrame, layout: Layout) -> DataFrame:

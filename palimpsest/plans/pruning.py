@@ -492,9 +492,7 @@ def block_flags(spark: SparkSession, sf: str) -> tables.Sessions:
     return tables.event_sessions(spark, sf, prepare=flags)
 
 
-@query(
-    "blocks_surface_audit",
-    audit_sql(f"""{BLOCK_UNITS}, units AS (
+BLOCK_DECIDED = f"""{BLOCK_UNITS}, units AS (
   SELECT session_id, unit_id, min(pos) AS first_pos, max(split) AS split, arg_min(role, pos) AS role,
          bool_or(has_use OR has_result) AS is_tool, sum(strlen(text)) + count(*) - 1 AS unit_bytes,
          sum(length(text)) + count(*) - 1 AS unit_chars FROM u GROUP BY session_id, unit_id),
@@ -506,8 +504,10 @@ zoned AS (
   SELECT *, history_units // 4 * 4 AS boundary, CASE WHEN split IS NULL THEN 'pass' WHEN first_pos >= split THEN 'tail'
     WHEN unit_id >= history_units // 4 * 4 THEN 'frozen' WHEN unit_id < least(1, history_units // 4 * 4) THEN 'stable' ELSE 'mobile' END AS zone
   FROM classed),
-decided AS (SELECT *, zone <> 'mobile' OR {S.alive('signal', 'boundary - 1 - unit_id', 6.0, 0.2)} AS keep FROM zoned)"""),
-)
+decided AS (SELECT *, zone <> 'mobile' OR {S.alive('signal', 'boundary - 1 - unit_id', 6.0, 0.2)} AS keep FROM zoned)"""
+
+
+@query("blocks_surface_audit", audit_sql(BLOCK_DECIDED))
 def blocks_surface_audit(spark: SparkSession, sf: str) -> DataFrame:
     sessions = block_flags(spark, sf)
     _, decided = units.gateway_plan(sessions.rows, sessions.config(AGENT_CONFIG.with_(quantum=4)), "blocks")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import repair
-from palimpsest.plans import sqltext as S
+from palimpsest.config import AGENT_CONFIG
+from palimpsest.operators import repair, units
+from palimpsest.operators.sequence import Layout
 from palimpsest.plans.audits import AUDIT, CHAIN, audit_frame
-from palimpsest.plans.pruning import rounded
+from palimpsest.plans.pruning import BLOCK_DECIDED, block_flags, rounded
 from palimpsest.plans.registry import query
 from palimpsest.plans.scans import DECAY, FLOOD, cycle_rows
 from palimpsest.plans.signals import DAY0, EVENTS
@@ -140,31 +141,29 @@ def stream_session_pruning(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*counts, F.array_join("state", "|").alias("state"), F.sha2("context", 256).alias("context_sha256"))
 
 
-@query("protocol_repair", f"""WITH RECURSIVE {S.EVENTS}, l AS (
-  SELECT session_id, pos, CASE WHEN event_type = 'error' THEN 'user' ELSE role END AS role, event_type = 'click' AS has_use,
-    event_type = 'error' AS has_result, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS i FROM ev WHERE event_id % 3 <> 0),
-walk AS (SELECT DISTINCT session_id, 0::BIGINT AS i, FALSE AS started, NULL::VARCHAR AS prev_role, FALSE AS prev_use, FALSE AS kept FROM l
-  UNION ALL SELECT l.session_id, l.i, w.started OR k.keep, CASE WHEN k.keep THEN l.role ELSE w.prev_role END,
-    CASE WHEN k.keep THEN l.has_use ELSE w.prev_use END, k.keep
+@query("protocol_repair", f"""{BLOCK_DECIDED.replace("WITH ", "WITH RECURSIVE ", 1)},
+c AS (SELECT *, max(CASE WHEN has_use THEN pos END) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS call FROM u),
+l AS (SELECT c.*, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS i FROM c JOIN decided d USING (session_id, unit_id) WHERE d.keep),
+walk AS (SELECT DISTINCT session_id, 0::BIGINT AS i, FALSE AS started, NULL::VARCHAR AS giver_role, NULL::BIGINT AS giver, FALSE AS kept FROM l
+  UNION ALL SELECT l.session_id, l.i, w.started OR k.keep, CASE WHEN k.keep THEN l.role ELSE w.giver_role END,
+    CASE WHEN NOT k.keep THEN w.giver WHEN l.has_use THEN l.pos END, k.keep
   FROM walk w JOIN l ON l.session_id = w.session_id AND l.i = w.i + 1,
-    LATERAL (SELECT (w.started OR l.role = 'user') AND (NOT l.has_result OR (coalesce(w.prev_role, '') = 'assistant' AND w.prev_use)) AS keep) k),
-o AS (SELECT l.*, lead(has_result) OVER (PARTITION BY session_id ORDER BY i) AS answered FROM l JOIN walk USING (session_id, i) WHERE kept)
-SELECT session_id, pos, role, has_use, has_result FROM o WHERE NOT (role = 'assistant' AND has_use AND NOT coalesce(answered, FALSE))""")
+    LATERAL (SELECT (w.started OR l.role = 'user') AND (NOT l.has_result OR (coalesce(w.giver_role, '') = 'assistant' AND w.giver IS NOT DISTINCT FROM l.call AND l.call IS NOT NULL)) AS keep) k),
+p AS (SELECT l.*, lead(has_result) OVER v AND lead(call) OVER v = pos AS answered FROM l JOIN walk USING (session_id, i) WHERE kept WINDOW v AS (PARTITION BY session_id ORDER BY i))
+SELECT session_id, pos, role, has_use, has_result FROM p WHERE NOT (role = 'assistant' AND has_use AND NOT coalesce(answered, FALSE))""")
 def protocol_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Event sessions with two thirds of the rows left, made protocol-valid again."""
-    sessions = tables.event_sessions(spark, sf)
-    kind, i = F.col("event_type"), F.col("event_id")
-    left = sessions.rows.filter(i % 3 != 0)
-    rows = left.withColumns(
-        {
-            "role": F.when(kind == "error", "user").otherwise(F.col("role")),
-            "has_use": kind == "click",
-            "has_result": kind == "error",
-            "use_ids": F.when(kind == "click", F.array(F.lit("call"))).otherwise(F.array().cast("array<string>")),
-            "result_ids": F.when(kind == "error", F.array(F.lit("call"))).otherwise(F.array().cast("array<string>")),
-        }
+    """Pruned sessions of the block surface, every call with an id of its own, made protocol-valid again."""
+    sessions = block_flags(spark, sf)
+    layout = Layout(["session_id"], "pos", sessions.block_rows)
+    call = F.when(F.col("has_use"), F.col("pos"))
+    rows = layout.carry(layout.split(sessions.rows), last={"_before": call}, reuse=True)
+    rows = layout.merge(rows.withColumn("call", layout.running_last(call, F.col("_before"), inclusive=False)))
+    named = lambda pos: F.array(F.concat(F.lit("call-"), F.coalesce(pos.cast("string"), F.lit("none"))))
+    none = F.array().cast("array<string>")
+    ids = rows.select(
+        "session_id", "pos", F.when(F.col("has_use"), named(F.col("pos"))).otherwise(none).alias("use_ids"),
+        F.when(F.col("has_result"), named(F.col("call"))).otherwise(none).alias("result_ids"),
     )
-    out = repair.repair(rows, sessions.block_rows)
-    return out.select("session_id", "pos", "role", "has_use", "has_result")
-
-
+    grouped, decided = units.gateway_plan(sessions.rows, sessions.config(AGENT_CONFIG.with_(quantum=4)), "blocks")
+    left = units.reassemble(grouped, decided, ids).select("session_id", "pos", "role", "has_use", "has_result", "use_ids", "result_ids")
+    return repair.repair(left, sessions.block_rows).select("session_id", "pos", "role", "has_use", "has_result")

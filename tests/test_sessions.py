@@ -249,6 +249,19 @@ def repair_rows(seed, sessions=25):
     return rows
 
 
+def test_long_chains_of_answers(spark):
+    """Rows that answer and call at once, one after the other: pointers double instead of a scan of the run."""
+    rows = [dict(session_id=0, pos=0, role="user", use_ids=[], result_ids=[]), dict(session_id=0, pos=1, role="assistant", use_ids=["c1"], result_ids=[])]
+    for p in range(2, 90):
+        gives = ["other"] if p % 7 == 6 else [f"c{p - 2 if p % 7 == 0 else p - 1}"] + (["c1"] if p % 11 == 0 else [])
+        rows.append(dict(session_id=0, pos=p, role="assistant", use_ids=[f"c{p}", "c1"], result_ids=gives))
+    rows += [dict(session_id=0, pos=90, role="user", use_ids=[], result_ids=["c1"]), dict(session_id=0, pos=91, role="user", use_ids=[], result_ids=[])]
+    rows = [r | dict(text="t", has_use=bool(r["use_ids"]), has_result=bool(r["result_ids"])) for r in rows]
+    schema = "session_id BIGINT, pos BIGINT, role STRING, text STRING, has_use BOOLEAN, has_result BOOLEAN, use_ids ARRAY<STRING>, result_ids ARRAY<STRING>"
+    got = sorted(r.pos for r in repair.repair(spark.createDataFrame(rows, schema), 0).collect())
+    assert got == brute.repaired(rows) and len(got) > 20
+
+
 @pytest.mark.parametrize("block_rows", BLOCKS)
 def test_repair_fuzz(spark, block_rows):
     rows = repair_rows(6)
