@@ -28,8 +28,8 @@ from palimpsest.llm.held import held
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
-#: Bytes of words and pieces that a worker remembers (the memory is emptied when full), and the longest word remembered.
-REMEMBERED_BYTES = 48 << 20
+#: Bytes of words and pieces that a worker remembers, in two generations, and the longest word remembered.
+REMEMBERED_BYTES = 96 << 20
 REMEMBERED_CHARS = 48
 
 
@@ -69,6 +69,7 @@ class Encoder(dict):
         super().__init__()
         self.table = table
         self.held = 0
+        self.older: dict[str, array] = {}
         own = [(p, i) for i, p in enumerate(table.pieces) if p]
         self.unknown_score = min(table.scores[i] for _, i in own) - UNKNOWN_PENALTY
         self.single = {p for p, _ in own if len(p) == 1}
@@ -88,20 +89,24 @@ class Encoder(dict):
             self.raw[i] = bytes([b])
 
     def __missing__(self, word: str) -> array:
-        found = self.search(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.search(word)
         if len(word) <= REMEMBERED_CHARS:
             self.held += 250 + 4 * (len(word) + len(found))
-            if self.held > REMEMBERED_BYTES:
+            if self.held > REMEMBERED_BYTES // 2:
+                self.older, self.held = dict(self), 0
                 self.clear()
-                self.held = 0
             self[word] = found
         return found
 
     def search(self, word: str) -> array:
-        """Ids of the best pieces of a text; of equal scores the longer last piece wins. 16 bytes a character."""
+        """Ids of the best pieces of a text; of equal scores the longer last piece wins. Long ones take 16 bytes a character."""
         n, single, unknown = len(word), self.single, self.unknown_score
-        best = array("d", [float("-inf")]) * (n + 1)
-        length, back = array("i", [1]) * (n + 1), array("i", [-1]) * (n + 1)
+        best, length, back = [float("-inf")], [1], [-1]
+        if n > 1024:
+            best, length, back = array("d", best), array("i", length), array("i", back)
+        best, length, back = best * (n + 1), length * (n + 1), back * (n + 1)
         best[0] = 0.0
         done = 0  # best[:done + 1] is final
         for end, (size, score, piece) in self.automaton.iter(word):
