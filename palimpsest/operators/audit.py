@@ -39,18 +39,16 @@ def estimates(totals: DataFrame, *, grid: str = "world", cache_hit: float = 0.0,
     return out.withColumn("usd_avoided", usd.cast("double"))
 
 
-def energy_per_request(totals: DataFrame) -> DataFrame:
+def energy_per_request(totals: DataFrame, *, strict: bool = True) -> DataFrame:
     """Energy before and after per group; the reduction does not depend on the coefficient.
 
-    A group without tokens is an error: it has no reduction.
+    A group without tokens is an error: it has no reduction. With `strict` off such groups come with nulls and `valid` false.
     """
-    before = F.when(F.col("tokens_before") > 0, F.col("tokens_before")).otherwise(
-        F.raise_error(F.lit("tokens_before must be positive")).cast("bigint")
-    )
-    return totals.withColumns(
-        {f"wh_before_{b}": watt_hours(before, b) for b in BOUNDS}
-        | {f"wh_after_{b}": watt_hours(F.col("tokens_after"), b) for b in BOUNDS}
-    )
+    ok = F.coalesce(F.col("tokens_before") > 0, F.lit(False))
+    wrong = F.raise_error(F.lit("tokens_before must be positive")).cast("bigint") if strict else F.lit(None).cast("bigint")
+    before, after = F.when(ok, F.col("tokens_before")).otherwise(wrong), F.when(ok, F.col("tokens_after"))
+    energy = {f"wh_before_{b}": watt_hours(before, b) for b in BOUNDS} | {f"wh_after_{b}": watt_hours(after, b) for b in BOUNDS}
+    return totals.withColumns(energy | {"reduction": F.when(ok, F.col("reduction")), "valid": ok})
 
 
 def session_totals(audit: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -43,8 +43,9 @@ def _canonical(model, prev_hash, tokens_after, tokens_before, ts) -> bytes:
     return json.dumps(row, separators=(",", ":"), ensure_ascii=False).encode()
 
 
-def chain(audit: DataFrame, keys: Sequence[str] = ("deployment",), *, segment: Column | None = None) -> DataFrame:
-    """Add segment, prev_hash and hash. `seq` is unique per key; `segment` grows with it, and is 0 for one chain per key.
+def chain(audit: DataFrame, keys: Sequence[str] = ("deployment",), *, segment: Column | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """Add segment, prev_hash and hash. `seq` is unique per key; `segment` grows with it, and is 0 for one chain per key. Columns
+    in `also` are kept but not hashed.
 
     An optional column `resume` holds the hash after which the chain continues. The hash of a row feeds the next one, which no
     built-in window can express; rows are streamed in order in Arrow batches, so a task holds one batch and one hash.
@@ -52,7 +53,7 @@ def chain(audit: DataFrame, keys: Sequence[str] = ("deployment",), *, segment: C
     segmented = audit.withColumn("segment", (F.lit(0) if segment is None else segment).cast("bigint"))
     cells = [*keys, "segment"]
     resume = F.col("resume") if "resume" in audit.columns else F.lit(None).cast("string")
-    narrow = segmented.select(*cells, "seq", "ts", "model", "tokens_before", "tokens_after", resume.alias("resume"))
+    narrow = segmented.select(*cells, "seq", "ts", "model", "tokens_before", "tokens_after", *also, resume.alias("resume"))
 
     def link(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = None

@@ -169,13 +169,17 @@ def cached_saving_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("model", "tokens_saved", "wh_mid", "gco2e_mid"), "wh_mid", "gco2e_mid")
 
 
-@query("energy_per_request", f"""{AUDIT}, t AS (SELECT model, {ROLLUP} FROM audit GROUP BY model)
-SELECT model, reduction, {', '.join(f"round(tokens_before / 1e6 * {k} * 1000.0, 6) AS wh_before_{b}, round(tokens_after / 1e6 * {k} * 1000.0, 6) AS wh_after_{b}" for b, k in dims.KWH_PER_MTOK.items())}
-FROM t WHERE tokens_before > 0""")
+@query("energy_per_request", f"""{AUDIT}, t AS (SELECT model, {ROLLUP} FROM audit WHERE model <> '{MODELS[0]}' GROUP BY model),
+a AS (SELECT model, tokens_before, tokens_after, reduction, coalesce(tokens_before, 0) > 0 AS valid FROM (SELECT unnest({MODELS_SQL}) AS model) LEFT JOIN t USING (model))
+SELECT model, valid, CASE WHEN valid THEN reduction END AS reduction,
+  {', '.join(f"CASE WHEN valid THEN round(tokens_before / 1e6 * {k} * 1000.0, 6) END AS wh_before_{b}, CASE WHEN valid THEN round(tokens_after / 1e6 * {k} * 1000.0, 6) END AS wh_after_{b}" for b, k in dims.KWH_PER_MTOK.items())}
+FROM a""")
 def energy_per_request(spark: SparkSession, sf: str) -> DataFrame:
-    totals = A.model_totals(audit_frame(spark, sf).rows).filter(F.col("tokens_before") > 0)
+    """All priced models; one without requests has no energy."""
+    audit = audit_frame(spark, sf).rows.filter(F.col("model") != MODELS[0])
+    totals = F.broadcast(dims.roster(spark).select("model")).join(A.model_totals(audit), "model", "left")
     names = [f"wh_{side}_{b}" for side in ("before", "after") for b in BOUNDS]
-    return rounded(A.energy_per_request(totals).select("model", "reduction", *names), "reduction", *names)
+    return rounded(A.energy_per_request(totals, strict=False).select("model", "valid", "reduction", *names), "reduction", *names)
 
 
 @query("grid_coefficients", f"""{AUDIT}, t AS (SELECT {ROLLUP} FROM audit),

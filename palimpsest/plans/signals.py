@@ -57,14 +57,14 @@ def channel_sense(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.sense(levels, masks, ["bus"]), "level")
 
 
-DAY0 = 1704067200
-
-
-@query("channel_dissipation", f"""{EVENTS} SELECT bus, channel, round(sum(intensity * pow(0.9, 31 - (epoch(ts)::BIGINT - {DAY0}) // 86400)), 5) AS concentration
-FROM b GROUP BY ALL""".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
+@query("channel_dissipation", f"""{EVENTS}, m AS (SELECT max(floor(epoch(ts))::BIGINT // 86400) AS last FROM e)
+SELECT bus, channel, round(sum(intensity * pow(0.9, last + 1 - floor(epoch(ts))::BIGINT // 86400)), 5) AS concentration FROM b, m GROUP BY ALL""")
 def channel_dissipation(spark: SparkSession, sf: str) -> DataFrame:
-    ticks = F.floor((F.unix_seconds("ts") - DAY0) / 86400)
-    out = G.dissipated(signal_events(spark, sf), ticks, 31, 0.9, ["bus"], 16)
+    """Daily ticks up to the end of the last day with an event."""
+    events = signal_events(spark, sf)
+    day = F.floor(F.unix_seconds("ts") / 86400)
+    last = F.broadcast(events.agg(F.max(day).alias("last")))  # one row
+    out = G.dissipated(events.join(last), day, F.col("last") + 1, 0.9, ["bus"], 16)
     return rounded(out, "concentration", places=5)
 
 
@@ -83,32 +83,34 @@ def alert_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def power_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Event values as power samples per user, and four-day intervals with an idle draw."""
+    """Event values as power samples per user, and four-day intervals with an idle draw, from the first sample to the last."""
     events = tables.table(spark, sf, "events")
     samples = events.select(
         F.col("user_id").alias("device"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
         F.col("value").alias("watts"),
     )
-    devices = samples.select("device").distinct()
-    day = 86_400_000_000
-    intervals = devices.withColumn("interval_id", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
+    span = 4 * 86_400_000_000
+    ends = samples.agg(F.floor(F.min("t") / span).alias("first"), F.floor(F.max("t") / span).alias("last")).filter("first IS NOT NULL")
+    devices = samples.select("device").distinct().join(F.broadcast(ends))  # one row
+    intervals = devices.withColumn("interval_id", F.explode(F.sequence("first", "last"))).select(
         "device",
         "interval_id",
-        (F.lit(DAY0 * 1_000_000) + F.col("interval_id") * 4 * day).alias("t0"),
-        (F.lit(DAY0 * 1_000_000) + (F.col("interval_id") * 4 + 3) * day).alias("t1"),
+        (F.col("interval_id") * span).alias("t0"),
+        (F.col("interval_id") * span + span // 4 * 3).alias("t1"),
         (F.lit(2.0) + F.col("device") % 5).alias("idle_w"),
     )
     return samples, intervals
 
 
-POWER = f"""WITH s AS (SELECT user_id AS device, epoch_us(ts) AS t, value AS watts, event_id FROM events),
-i AS (SELECT DISTINCT device, k AS interval_id, {DAY0}000000 + k * 4 * 86400000000 AS t0, {DAY0}000000 + (k * 4 + 3) * 86400000000 AS t1,
-      2.0::DOUBLE + device % 5 AS idle_w FROM s, range(0, 8) r(k)),
+POWER = """WITH s AS (SELECT user_id AS device, epoch_us(ts) AS t, value AS watts, event_id FROM events),
+h AS (SELECT min(t) // 345600000000 AS first, max(t) // 345600000000 AS last FROM s),
+i AS (SELECT DISTINCT device, k AS interval_id, k * 345600000000 AS t0, k * 345600000000 + 259200000000 AS t1, 2.0::DOUBLE + device % 5 AS idle_w
+      FROM s, (SELECT unnest(range(first, last + 1)) AS k FROM h)),
 j AS (SELECT i.*, s.t, s.watts FROM i JOIN s ON s.device = i.device AND s.t BETWEEN i.t0 AND i.t1)"""
 
 
-@query("samples_in_intervals", f"{POWER} SELECT device, interval_id::INT AS interval_id, t, watts FROM j")
+@query("samples_in_intervals", f"{POWER} SELECT device, interval_id, t, watts FROM j")
 def samples_in_intervals(spark: SparkSession, sf: str) -> DataFrame:
     samples, intervals = power_frames(spark, sf)
     return power.samples_in_intervals(samples, intervals).select("device", "interval_id", "t", "watts")
@@ -117,7 +119,7 @@ def samples_in_intervals(spark: SparkSession, sf: str) -> DataFrame:
 @query("interval_energy", f"""{POWER}, n AS (SELECT *, lead(t) OVER w AS t2, lead(watts) OVER w AS w2 FROM j WINDOW w AS (PARTITION BY device, interval_id ORDER BY t)),
 g AS (SELECT device, interval_id, coalesce(sum((watts + w2) / 2.0 * ((t2 - t) / 1e6)), 0) AS joule, (max(t) - min(t)) / 1e6 AS dur, max(idle_w) AS idle, count(*) AS samples
       FROM n GROUP BY ALL)
-SELECT i.device, i.interval_id::INT AS interval_id, CASE WHEN samples >= 2 THEN round(joule, 3) ELSE 0 END::DOUBLE AS joule,
+SELECT i.device, i.interval_id, CASE WHEN samples >= 2 THEN round(joule, 3) ELSE 0 END::DOUBLE AS joule,
   CASE WHEN samples >= 2 THEN round(greatest(joule - idle * dur, 0), 3) ELSE 0 END::DOUBLE AS marginal_joule,
   CASE WHEN samples >= 2 AND dur > 0 THEN round(joule / dur, 6) ELSE 0 END::DOUBLE AS avg_watts, coalesce(samples, 0) AS samples
 FROM i LEFT JOIN g USING (device, interval_id)""")

@@ -12,7 +12,7 @@ from palimpsest.plans.audits import AUDIT, CHAIN, audit_frame
 from palimpsest.plans.pruning import BLOCK_DECIDED, block_flags, rounded
 from palimpsest.plans.registry import query
 from palimpsest.plans.scans import DECAY, FLOOD, cycle_rows
-from palimpsest.plans.signals import DAY0, EVENTS
+from palimpsest.plans.signals import EVENTS
 from palimpsest.sources import audit_log as log
 from palimpsest.sources import tables
 from palimpsest.streaming import audit_stream, ledger_stream, session_state, signal_stream
@@ -55,16 +55,31 @@ def stream_model_totals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(latest_to_table(audit_stream.live_model_totals(stream), "models"), "reduction")
 
 
+def closed_folder(spark: SparkSession, sf: str) -> str:
+    """The audit log with the row of a gateway that goes down, as the last file."""
+    path = audit_folder(spark, sf)
+    rows = log.read_audit(spark, path)
+    audit_stream.closing_row(rows, 120).coalesce(1).write.mode("append").json(path)
+    return path
+
+
 @query("stream_request_rate", f"""{AUDIT}, t AS (SELECT epoch(strptime(ts, '%Y-%m-%dT%H:%M:%S'))::BIGINT AS second FROM audit),
-w AS (SELECT second // 5 * 5 - k * 5 AS start_s FROM t, range(0, 12) r(k)),
-g AS (SELECT start_s, count(*) AS requests FROM w GROUP BY start_s)
-SELECT start_s, requests FROM g WHERE start_s + 60 <= (SELECT max(second) - 10 FROM t)""")
+w AS (SELECT second // 5 * 5 - k * 5 AS start_s FROM t, range(0, 12) r(k))
+SELECT start_s, count(*) AS requests FROM w GROUP BY start_s""")
 def stream_request_rate(spark: SparkSession, sf: str) -> DataFrame:
-    stream = audit_stream.follow_audit(spark, audit_folder(spark, sf))
+    stream = audit_stream.follow_audit(spark, closed_folder(spark, sf))
     rows = append_to_table(audit_stream.request_rate(stream), "rate")
     return rows.select(F.unix_seconds("window_start").alias("start_s"), "requests")
 
 
+@query("stream_recent_requests", f"""{AUDIT}, t AS (SELECT deployment, epoch(strptime(ts, '%Y-%m-%dT%H:%M:%S'))::BIGINT AS second FROM audit),
+d AS (SELECT DISTINCT deployment, second FROM t)
+SELECT d.deployment, d.second, count(*) AS requests FROM d JOIN t ON t.deployment = d.deployment AND t.second BETWEEN d.second - 60 AND d.second GROUP BY ALL""")
+def stream_recent_requests(spark: SparkSession, sf: str) -> DataFrame:
+    stream = audit_stream.follow_audit(spark, closed_folder(spark, sf))
+    return append_to_table(audit_stream.recent_requests(stream), "recent").select("deployment", "second", "requests")
+
+
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = tables.table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
@@ -77,32 +92,40 @@ def stream_alert_levels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(latest_to_table(signal_stream.channel_stream(alerts), "alerts"), "concentration")
 
 
-@query("stream_channel_dissipation", f"""{EVENTS}, m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM e),
-k AS (SELECT channel, intensity, date_trunc('day', ts) AS day FROM b)
-SELECT channel, round(sum(intensity * pow(0.9, 31 - (epoch(day)::BIGINT - {DAY0}) // 86400)), 4) AS concentration FROM k, m
-WHERE day + INTERVAL 1 DAY <= mark GROUP BY channel""")
+@query("stream_channel_dissipation", f"""{EVENTS}, k AS (SELECT channel, intensity, floor(epoch(ts))::BIGINT // 86400 AS day FROM b),
+m AS (SELECT max(floor(epoch(ts))::BIGINT // 86400) AS last FROM e)
+SELECT channel, round(sum(intensity * pow(0.9, last + 1 - day)), 4) AS concentration FROM k, m GROUP BY channel""")
 def stream_channel_dissipation(spark: SparkSession, sf: str) -> DataFrame:
-    events = table_stream(spark, sf, "events").select(
+    """Events as files in the order of time and, at the end, one without a channel a week later that closes every day."""
+    path = scratch(spark, "signals")
+    events = tables.table(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("at"),
         (F.col("event_id") * 7919 % 1048576).cast("int").alias("flags"),
         (F.col("value") / 100.0).alias("intensity"),
     )
-    sums = append_to_table(signal_stream.tick_sums(events, "at", "1 day", delay="1 hour", channels=16), "ticks")
-    since = F.lit(31) - F.floor((F.unix_seconds("tick_start") - DAY0) / 86400)
-    return rounded(signal_stream.levels_after(sums, since, 0.9), "concentration", places=4)
-
-
-@query("stream_hash_chain", f"{CHAIN} SELECT deployment, seq, prev_hash, hash FROM chained")
+    events.write.parquet(path)
+    end = events.agg((F.max("at") + F.expr("INTERVAL 7 DAYS")).alias("at")).filter("at IS NOT NULL")
+    end.select("at", F.lit(0).alias("flags"), F.lit(0.0).alias("intensity")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("at TIMESTAMP, flags INT, intensity DOUBLE").parquet(path)
+    sums = append_to_table(signal_stream.tick_sums(stream, "at", "1 day", delay="1 hour", channels=16), "ticks")
+    day = F.floor(F.unix_seconds("tick_start") / 86400)
+    last = F.broadcast(events.agg(F.floor(F.unix_seconds(F.max("at")) / 86400).alias("last")))  # one row
+    return rounded(signal_stream.levels_after(sums.join(last), F.col("last") + 1 - day, 0.9), "concentration", places=4)
+
+
+@query("stream_hash_chain", f"""{CHAIN.replace("ORDER BY seq", "ORDER BY (seq % 3 = 0), seq")},
+placed AS (SELECT *, row_number() OVER (PARTITION BY deployment ORDER BY (seq % 3 = 0), seq) AS place FROM chained)
+SELECT deployment, place, seq, prev_hash, hash FROM placed""")
 def stream_hash_chain(spark: SparkSession, sf: str) -> DataFrame:
-    # Files in sequence order, two at a time: every batch continues the chains of the one before.
+    """A third of the rows arrives after all others: they continue the chains at the places at which they come."""
     path = scratch(spark, "audit-log")
     rows = audit_frame(spark, sf).rows
-    log.write_audit(rows.filter("seq < 150"), path, partition_by_day=False)
     first = ledger_stream.scratch(spark, "chain")
-    ledger_stream.chain_stream(audit_stream.follow_audit(spark, path), f"{first}/rows", f"{first}/progress")
-    log.write_audit(rows.filter("seq >= 150"), path, partition_by_day=False)
-    ledger_stream.chain_stream(audit_stream.follow_audit(spark, path), f"{first}/rows", f"{first}/progress")
-    return ledger_stream.stored_chain(spark, f"{first}/rows").select("deployment", "seq", "prev_hash", "hash")
+    for part in ("seq % 3 <> 0", "seq % 3 = 0"):
+        log.write_audit(rows.filter(part), path, partition_by_day=False)
+        ledger_stream.chain_stream(audit_stream.follow_audit(spark, path), f"{first}/rows", f"{first}/progress")
+    chained = ledger_stream.stored_chain(spark, f"{first}/rows")
+    return chained.select("deployment", F.col("seq").alias("place"), F.col("source_seq").alias("seq"), "prev_hash", "hash")
 
 
 @query("stream_session_pruning", f"""{DECAY}, k AS (SELECT session_id, pos, cyc AS cycle,

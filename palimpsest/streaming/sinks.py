@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palimpsest.operators.lineage import checkpoint_root
 
@@ -46,8 +45,11 @@ def latest_to_table(stream: DataFrame, label: str, *, mode: str = "complete") ->
     spark = stream.sparkSession
     root = scratch(spark, label)
 
+    last: list[int] = []
+
     def replace(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{root}/rows/{number}")
+        last[:] = [number]
 
     query = (
         stream.writeStream.foreachBatch(replace)
@@ -57,6 +59,4 @@ def latest_to_table(stream: DataFrame, label: str, *, mode: str = "complete") ->
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.parquet(f"{root}/rows").drop("batch")
-    last = rows.agg(F.max("_batch").alias("_last"))
-    return rows.join(F.broadcast(last), rows["_batch"] == last["_last"]).drop("_batch", "_last")
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows/{last[0]}") if last else spark.createDataFrame([], stream.schema)

@@ -82,11 +82,43 @@ def test_chain_continues_over_batches(spark, tmp_path):
     rows = [(i, "d", f"t{i}", "m", 10 + i, i) for i in range(30)]
     audit = spark.createDataFrame(rows, "seq BIGINT, deployment STRING, ts STRING, model STRING, tokens_before BIGINT, tokens_after BIGINT")
     whole = {r.seq: r.hash for r in L.chain(audit).collect()}
-    first, none = ledger_stream.append_batch(audit.filter("seq < 13"), None)
-    second, late = ledger_stream.append_batch(audit.filter("seq >= 11"), ledger_stream._ends(first, None))
-    got = {r.seq: r.hash for r in first.unionByName(second).collect()}
-    assert got == whole and none.count() == 0
-    assert sorted(r.seq for r in late.collect()) == [11, 12]
+    first = ledger_stream.append_batch(audit.filter("seq < 13"), None)
+    second = ledger_stream.append_batch(audit.filter("seq >= 13"), ledger_stream._ends(first, None))
+    assert {r.source_seq: r.hash for r in first.unionByName(second).collect()} == whole
+
+
+def test_late_rows_take_the_next_places(spark, tmp_path):
+    """Rows that come out of order are chained as they arrive, and the chain verifies."""
+    rng = random.Random(2)
+    rows = [(i, f"d{i % 2}", f"t{i}", "m", 10 + i, i) for i in range(40)]
+    rng.shuffle(rows)
+    folder, out = tmp_path / "log", str(tmp_path / "chain")
+    folder.mkdir()
+    for k in range(4):
+        write_log(folder, f"{k}.json", [dict(zip(("seq", "deployment", "ts", "model", "tokens_before", "tokens_after"), r)) for r in rows[10 * k : 10 * k + 10]])
+        ledger_stream.chain_stream(audit_stream.follow_audit(spark, str(folder)), f"{out}/rows", f"{out}/progress")
+    chained = ledger_stream.stored_chain(spark, f"{out}/rows")
+    assert sorted(r.source_seq for r in chained.collect()) == list(range(40))
+    for d in ("d0", "d1"):
+        got = [r.source_seq for r in chained.filter(F.col("deployment") == d).orderBy("seq").collect()]
+        assert got == [i for k in range(4) for i in sorted(r[0] for r in rows[10 * k : 10 * k + 10] if r[1] == d)]
+    assert all(r.ok and r.requests == 20 for r in L.verify(chained.drop("batch")).collect())
+
+
+def test_recent_requests(spark, tmp_path):
+    """Exact counts of the last minute at every second with a request, out of order and to the end of the log."""
+    rng = random.Random(3)
+    seconds = sorted(rng.sample(range(400), 60)) + [399, 399]
+    rows = [dict(ts=f"2026-01-01T00:{s // 60:02d}:{s % 60:02d}", deployment=f"d{s % 2}", tokens_before=1) for s in seconds]
+    mixed = sorted(rows, key=lambda r: (r["ts"][:18], rng.random()))
+    write_log(tmp_path, "1.json", mixed[:30])
+    write_log(tmp_path, "2.json", mixed[30:])
+    write_log(tmp_path, "3.json", [dict(ts="2026-01-01T00:30:00")])
+    stream = audit_stream.follow_audit(spark, str(tmp_path), files_per_batch=1)
+    got = append_to_table(audit_stream.recent_requests(stream), "recent").collect()
+    start = 1767225600
+    want = {(f"d{s % 2}", start + s): sum(s - 60 <= o <= s and o % 2 == s % 2 for o in seconds) for s in seconds}
+    assert {(r.deployment, r.second): r.requests for r in got} == want and len(got) == len(want)
 
 
 def test_alerts_and_ticks(spark, tmp_path):
