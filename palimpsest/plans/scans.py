@@ -9,7 +9,7 @@ from palimpsest.config import PruneConfig
 from palimpsest.functions import effort as E
 from palimpsest.functions import secrets as X
 from palimpsest.functions import text as T
-from palimpsest.operators import decay, prune, scans, units
+from palimpsest.operators import decay, prune, scans, units, vault
 from palimpsest.plans import sqltext as S
 from palimpsest.plans.pruning import AUDIT_COLUMNS, DECIDED, long_signals, rounded
 from palimpsest.plans.registry import query
@@ -175,6 +175,16 @@ def vault_exposure(spark: SparkSession, sf: str) -> DataFrame:
     return scans.vault_exposure(documents(spark, sf), "doc_id", VAULT)
 
 
+@query("vault_table_exposure", """WITH v AS (SELECT DISTINCT substring(text, (1 + doc_id % 40)::BIGINT, (6 + doc_id % 30)::BIGINT) AS secret FROM documents)
+SELECT doc_id, count(*) AS secrets, min(secret) AS first_secret FROM documents JOIN v ON secret <> '' AND contains(text, secret) GROUP BY doc_id""")
+def vault_table_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    """A vault with an entry from every document, looked for in all documents."""
+    docs = tables.table(spark, sf, "documents")
+    entry = F.substring(F.col("text"), F.lit(1) + (F.col("doc_id") % 40).cast("int"), F.lit(6) + (F.col("doc_id") % 30).cast("int"))
+    found = vault.exposed(docs.select("doc_id", "text"), docs.select(entry.alias("secret")), id_col="doc_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("secrets"), F.min("secret").alias("first_secret"))
+
+
 def redact_sql(text: str) -> tuple[str, str, str]:
     current, hits = text, []
     for v in VAULT:
