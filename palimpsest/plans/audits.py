@@ -12,7 +12,7 @@ from palimpsest.functions.energy import BOUNDS
 from palimpsest.operators import audit as A
 from palimpsest.operators import ledger as L
 from palimpsest.operators.lineage import cut
-from palimpsest.operators import prune, replay, units
+from palimpsest.operators import prune, replay, scans, units
 from palimpsest.plans.pruning import (
     AUDIT_COLUMNS,
     DECIDED,
@@ -21,8 +21,10 @@ from palimpsest.plans.pruning import (
     replay_sql,
     rounded,
     zoned_sql,
+    UNIT_AUDIT,
 )
 from palimpsest.plans.registry import query
+from palimpsest.plans.scans import effort_sql
 from palimpsest.sources import audit_log as log
 from palimpsest.sources import tables, unit_store
 from palimpsest.streaming.sinks import scratch
@@ -71,9 +73,13 @@ ROLLUP = """count(*) AS requests, sum(tokens_before)::BIGINT AS tokens_before, s
 
 @query("audit_log_rows", f"""{AUDIT}
 SELECT seq, deployment, ts, model, stream, tokens_before, tokens_after, round(reduction, 4) AS reduction,
-  kernel_latency_us, blocks_purged FROM audit""")
+  kernel_latency_us, blocks_purged, NULL::BOOLEAN AS held, NULL::DOUBLE AS potential_reduction, NULL::VARCHAR AS effort_tier, NULL::BIGINT AS hashes FROM audit""")
 def audit_log_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return audit_frame(spark, sf).rows.drop("held", "potential_reduction", "effort", "purged_hashes")
+    rows = audit_frame(spark, sf).rows
+    return rows.select(
+        *[c for c in rows.columns if c not in ("effort", "purged_hashes")], F.col("effort.tier").alias("effort_tier"),
+        F.when(F.col("purged_hashes").isNotNull(), F.size("purged_hashes")).cast("bigint").alias("hashes"),
+    )
 
 
 @query("audit_rollup", f"{AUDIT} SELECT deployment, substring(ts, 1, 10) AS day, {ROLLUP} FROM audit GROUP BY ALL")
@@ -363,7 +369,50 @@ def purged_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("purged_unit_documents", f"{PURGED_UNITS} SELECT session_id, unit_id, unit, digest FROM hashed")
 def purged_unit_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return purged_documents(spark, sf)
+    return purged_documents(spark, sf).select("session_id", "unit_id", "unit", "digest")
+
+
+DIGEST_LOG = f"""{zoned_sql(8, "3", 6.0, 0.35)}, audit AS ({UNIT_AUDIT}),
+pot AS (SELECT *, CASE WHEN tokens_before > 0 THEN 1.0 - tokens_after / tokens_before ELSE 0 END AS potential FROM audit),
+h AS (SELECT *, potential < 0.55 AS held FROM pot),
+docs AS (
+  SELECT d.session_id, d.unit_id::BIGINT AS unit_id,
+    '[' || string_agg('{{"content":' || to_json(u.text) || ',"role":"' || u.role || '"}}', ',' ORDER BY u.pos) || ']' AS unit
+  FROM decided d JOIN u USING (session_id, unit_id) WHERE NOT d.keep GROUP BY ALL),
+lists AS (SELECT session_id, string_agg(sha256(unit), ',' ORDER BY unit_id) AS hashes FROM docs GROUP BY session_id),
+last AS (SELECT session_id AS id, arg_max(text, pos) AS text FROM u WHERE role = 'user' GROUP BY session_id)"""
+
+
+@query("audit_log_with_digests", f"""{DIGEST_LOG}, e AS ({effort_sql("SELECT id, text FROM last")} SELECT id, tier, round(s::DOUBLE, 4) AS score FROM scored)
+SELECT session_id AS seq, 'm' AS model, TRUE AS stream, tokens_before, CASE WHEN held THEN tokens_before ELSE tokens_after END AS tokens_after,
+  round(CASE WHEN held THEN 0 ELSE potential END, 4)::DOUBLE AS reduction, 0.0::DOUBLE AS kernel_latency_us, CASE WHEN held THEN 0 ELSE blocks_purged END AS blocks_purged,
+  CASE WHEN held THEN TRUE END AS held, CASE WHEN held THEN round(potential, 4) END::DOUBLE AS potential_reduction,
+  tier AS effort_tier, score AS effort_score, CASE WHEN NOT held THEN hashes END AS purged_hashes
+FROM h LEFT JOIN lists USING (session_id) LEFT JOIN e ON e.id = session_id""")
+def audit_log_with_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of one request per session: written with all its fields, next to the store of what was purged, and read back."""
+    sessions = ev_flags(spark, sf)
+    grouped, decided = units.gateway_plan(sessions.rows, sessions.config(PruneConfig(stable_prefix=3, quantum=8, hysteresis=0.55)))
+    decided = cut(decided)
+    documents = cut(unit_store.unit_documents(units.purged_messages(grouped, decided, sessions.rows)))
+    root = scratch(spark, "digest-log")
+    unit_store.append_units(documents, f"{root}/units")
+    lists = unit_store.session_digests(documents).filter("part = 0").select("session_id", "purged_hashes")
+    asked = sessions.rows.filter("role = 'user'").groupBy("session_id").agg(F.max_by("text", "pos").alias("text"))
+    effort = scans.effort(asked).select("session_id", F.struct("tier", F.round(F.col("score").cast("double"), 4).alias("score"), F.lit("none").alias("action")).alias("effort"))
+    rows = units.unit_audit(decided).join(lists, "session_id", "left").join(effort, "session_id", "left")
+    rows = rows.withColumn("seq", F.col("session_id"))
+    log.write_audit(log.audit_rows(rows, ts=F.lit("2026-01-01T00:00:00"), model=F.lit("m"), stream=F.lit(True)), f"{root}/log", partition_by_day=False)
+    back = log.read_audit(spark, f"{root}/log")
+    hashes = back.select("seq", F.explode("purged_hashes").alias("digest"))
+    known = unit_store.rehydrate(hashes, unit_store.read_units(spark, f"{root}/units"))
+    listed = known.filter("status = 'found'").groupBy("seq").agg(F.count(F.lit(1)).alias("found"))
+    told = back.join(listed, "seq", "left")
+    return told.select(
+        "seq", "model", "stream", "tokens_before", "tokens_after", "reduction", "kernel_latency_us", "blocks_purged", "held", "potential_reduction",
+        F.col("effort.tier").alias("effort_tier"), F.col("effort.score").alias("effort_score"),
+        F.when(F.size("purged_hashes") == F.col("found"), F.array_join("purged_hashes", ",")).alias("purged_hashes"),
+    )
 
 
 @query("purged_unit_store", f"{PURGED_UNITS} SELECT DISTINCT digest, unit FROM hashed")

@@ -11,30 +11,45 @@ from palimpsest.config import BLOCK_ROWS
 
 DIGEST_PATTERN = "^[0-9a-f]{64}$"
 
+#: Messages of one document; a unit with more is stored in parts.
+PART_ROWS = 4096
+
 
 def is_digest(value: Column) -> Column:
     return F.coalesce(value.rlike(DIGEST_PATTERN), F.lit(False))
 
 
 def unit_documents(
-    purged: DataFrame, keys: Sequence[str] = ("session_id",), fields: Sequence[str] = ("role", "text")
+    purged: DataFrame, keys: Sequence[str] = ("session_id",), fields: Sequence[str] = ("role", "text"), part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """One canonical JSON array per purged unit (messages in order, fields sorted) and its SHA-256."""
+    """One canonical JSON array per purged unit (messages in order, fields sorted) and its SHA-256.
+
+    A unit of more than `part_rows` messages becomes documents of at most so many, with their `part`, and a list of the parts'
+    digests is the document of the unit itself (`part` null). No task gathers more than two such parts of a unit.
+    """
     names = {"text": "content"}
     columns = sorted((names.get(f, f), f) for f in fields)
+    unit = [*keys, "unit_id"]
     message = F.struct(F.col("pos").alias("_pos"), *[F.col(f).alias(n) for n, f in columns])
-    listed = purged.groupBy(*keys, "unit_id").agg(F.array_sort(F.collect_list(message)).alias("_rows"))
-    plain = F.transform("_rows", lambda m: F.struct(*[m[n].alias(n) for n, _ in columns]))
-    document = F.to_json(plain, {"ignoreNullFields": "false"})
-    return listed.select(*keys, "unit_id", document.alias("unit")).withColumn(
-        "digest", F.sha2(F.col("unit"), 256)
-    )
+    blocks = purged.groupBy(*unit, F.floor(F.col("pos") / part_rows).alias("_block")).agg(F.array_sort(F.collect_list(message)).alias("_rows"))
+    as_json = lambda rows: F.to_json(F.transform(rows, lambda m: F.struct(*[m[n].alias(n) for n, _ in columns])), {"ignoreNullFields": "false"})
+    # a unit lies in one run of positions: at most its first and last block are not full, and only those are gathered whole
+    part = F.struct("_block", F.size("_rows").alias("n"), F.when(F.size("_rows") < part_rows, F.col("_rows")).alias("rows"), F.sha2(as_json(F.col("_rows")), 256).alias("digest"))
+    found = blocks.groupBy(*unit).agg(F.array_sort(F.collect_list(part)).alias("_parts"), F.sum(F.size("_rows")).alias("_n"), F.max(F.when(F.size("_rows") == part_rows, F.col("_rows"))).alias("_full"))
+    whole = F.when(F.size("_parts") == 1, F.coalesce(F.get("_parts", F.lit(0))["rows"], F.col("_full"))).otherwise(F.flatten(F.transform("_parts", lambda p: p["rows"])))
+    listing = F.to_json(F.transform("_parts", lambda p: F.struct(p["digest"].alias("part"))))
+    small = F.col("_n") <= part_rows
+    units = found.select(*unit, F.lit(None).cast("bigint").alias("part"), F.when(small, as_json(whole)).otherwise(listing).alias("unit"), small.alias("_small"))
+    large = units.filter("NOT _small").select(*unit)
+    parts = blocks.join(large, unit, "left_semi").select(*unit, F.col("_block").cast("bigint").alias("part"), as_json(F.col("_rows")).alias("unit"))
+    return units.drop("_small").unionByName(parts).withColumn("digest", F.sha2("unit", 256))
 
 
 def session_digests(
     documents: DataFrame, keys: Sequence[str] = ("session_id",), part_units: int = BLOCK_ROWS
 ) -> DataFrame:
     """Digest list of a session for its audit row, in unit order, in parts of at most part_units units."""
+    documents = documents.filter("part IS NULL") if "part" in documents.columns else documents
     item = F.struct("unit_id", "digest")
     part = F.floor(F.col("unit_id") / part_units).cast("bigint").alias("part")
     return (
@@ -50,14 +65,22 @@ def new_units(documents: DataFrame, stored: DataFrame | None) -> DataFrame:
     return distinct if stored is None else distinct.join(stored.select("digest"), "digest", "left_anti")
 
 
-def append_units(documents: DataFrame, path: str, stored: DataFrame | None = None) -> None:
-    """Write each digest once, partitioned by its first two hex digits so that lookups prune."""
-    fresh = new_units(documents, stored).withColumn("shard", F.substring("digest", 1, 2))
-    fresh.write.mode("append").partitionBy("shard").parquet(path)
+def append_units(documents: DataFrame, path: str, stored: DataFrame | None = None, *, writer: str = "0", batch: int = 0) -> None:
+    """Write units the store does not hold, in shards by the first two hex digits of their digest, with a Bloom filter on the digest
+    in every file, so that lookups open few shards and skip most row groups of those.
+
+    Each batch of a writer has folders of its own and replaces them when it is written again. Writers that store one unit at the
+    same time store it twice; `read_units` gives it once.
+    """
+    fresh = new_units(documents, stored).withColumns({"writer": F.lit(writer), "batch": F.lit(batch), "shard": F.substring("digest", 1, 2)})
+    out = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#digest", "true")
+    out.partitionBy("writer", "batch", "shard").parquet(path)
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("digest STRING, unit STRING, shard STRING").parquet(path)
+    """Each stored unit once."""
+    rows = spark.read.schema("digest STRING, unit STRING, writer STRING, batch BIGINT, shard STRING").parquet(path)
+    return rows.select("digest", "unit", "shard").dropDuplicates(["digest"])
 
 
 def rehydrate(digests: DataFrame, stored: DataFrame) -> DataFrame:

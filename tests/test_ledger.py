@@ -168,6 +168,30 @@ def test_unit_store(spark, tmp_path):
     assert (use.references, use.unique_units) == (3, 2)
 
 
+def test_large_units_are_stored_in_parts(spark, tmp_path):
+    rows = [("s", 0, p, "tool", f"t{p}") for p in range(3, 25)] + [("s", 1, p, "user", f"t{p}") for p in range(25, 33)] + [("t", 0, p, "user", "x") for p in range(8)]
+    purged = spark.createDataFrame(rows, "session_id STRING, unit_id BIGINT, pos BIGINT, role STRING, text STRING")
+    docs = unit_store.unit_documents(purged, part_rows=8)
+    got = {(r.session_id, r.unit_id, r.part): r for r in docs.collect()}
+    parts = [got["s", 0, k] for k in range(4)]
+    assert [m["content"] for p in parts for m in json.loads(p.unit)] == [f"t{p}" for p in range(3, 25)]
+    assert [x["part"] for x in json.loads(got["s", 0, None].unit)] == [p.digest for p in parts]
+    assert len(json.loads(got["s", 1, None].unit)) == 8 and len(json.loads(got["t", 0, None].unit)) == 8 and len(got) == 7
+    lists = {r.session_id: r.purged_hashes for r in unit_store.session_digests(docs).collect()}
+    assert lists["s"] == [got["s", 0, None].digest, got["s", 1, None].digest]
+
+
+def test_appends_can_be_repeated_and_shared(spark, tmp_path):
+    rows = [("s", u, u, "user", f"text {u % 4}") for u in range(8)]
+    docs = unit_store.unit_documents(spark.createDataFrame(rows, "session_id STRING, unit_id BIGINT, pos BIGINT, role STRING, text STRING"))
+    path = str(tmp_path / "store")
+    for writer, batch, part in (("a", 0, "unit_id < 4"), ("a", 0, "unit_id < 4"), ("b", 0, "unit_id >= 2"), ("a", 1, "unit_id = 7")):
+        unit_store.append_units(docs.filter(part), path, writer=writer, batch=batch)
+    stored = unit_store.read_units(spark, path)
+    assert stored.count() == stored.select("digest").distinct().count() == 4
+    assert spark.read.parquet(path).filter("writer = 'a' AND batch = 0").count() == 4
+
+
 def test_dimensions(spark, tmp_path):
     (tmp_path / "roster.json").write_text(json.dumps({"budget": {"m": {"price_in": 1.0, "price_out": 2.0, "provider": "p"}}, "frontier": {"n": {"price_in": 3, "price_out": 4}}}))
     got = sorted(tuple(r) for r in dims.read_roster(spark, str(tmp_path / "roster.json")).collect())
