@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.experiment import BASELINE, TREATED
+from palimpsest.operators.lineage import cut
 from palimpsest.operators.selection import exact_medians
 
 # Fixed value: below this baseline session cost the call was refused for free.
@@ -79,7 +80,7 @@ def study_cells(cells: DataFrame) -> DataFrame:
 def study_summary(cells: DataFrame) -> DataFrame:
     """Per model and pooled (model null): saving, cacheable cells, crossover; free cells are only counted."""
     ok = F.col("informative")
-    cells = study_cells(cells)
+    cells = cut(study_cells(cells))  # read by both passes over the medians, and twice in each
     per_model = cells.withColumn("scope", F.struct(F.col("model")))
     pooled = cells.withColumn("scope", F.struct(F.lit(None).cast("string").alias("model")))
     out = exact_medians(

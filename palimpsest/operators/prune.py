@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import BLOCK_ROWS, PruneConfig
 from palimpsest.functions import text as T
 from palimpsest.functions.classes import survives
+from palimpsest.operators.sequence import Layout
 
 KEYS = ("session_id",)
 
@@ -125,6 +126,14 @@ def deletion_only_violations(before: DataFrame, after: DataFrame, keys: Sequence
     return rows.join(held, on=same, how="left_anti").drop("_content")
 
 
+def order_violations(after: DataFrame, place: str = "place", keys: Sequence[str] = KEYS, block_rows: int = 0) -> DataFrame:
+    """Rows of the output, in the order of `place`, that stand behind a later row of the input; must be empty."""
+    layout = Layout(list(keys), place, block_rows)
+    rows = layout.carry(layout.split(after), last={"_before": F.col("pos")}, reuse=True)
+    before = layout.running_last(F.col("pos"), F.col("_before"), inclusive=False)
+    return layout.merge(rows.withColumn("_previous", before).filter("_previous > pos").drop("_before", "_previous"))
+
+
 def hold_small_purges(audit: DataFrame, hysteresis: float) -> DataFrame:
     """Audit rows whose purge saves too little report an untouched session instead."""
     small = (F.lit(hysteresis) > 0) & (F.col("reduction") < hysteresis)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -330,9 +332,17 @@ def carbon_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(built, *ESTIMATE_NAMES)
 
 
-@query("ledger_comparison", f"""{LEDGER}
-SELECT deployment, deployment <> 'site-2' AS before_ok, TRUE AS after_ok, deployment <> 'site-2' AS input_reduction_pct_ok,
-  deployment <> 'site-2' AS chain_head_ok, deployment <> 'site-2' AS ok FROM s""")
+def _again(sql: str) -> str:
+    """The CTEs of a chain once more, over audit_2."""
+    return re.sub(r"\b(audit|pieces|folded|hashed|chained)\b", r"\1_2", sql.removeprefix(AUDIT))
+
+
+@query("ledger_comparison", f"""{CHAIN}, audit_2 AS (SELECT * REPLACE (tokens_before + CASE WHEN deployment = 'site-2' AND seq % 7 = 1 THEN 1000 ELSE 0 END AS tokens_before) FROM audit){_again(CHAIN)},
+a AS (SELECT deployment, sum(tokens_before) AS x, sum(tokens_after) AS y, arg_max(hash, seq) AS head FROM chained GROUP BY deployment),
+b AS (SELECT deployment, sum(tokens_before) AS x, sum(tokens_after) AS y, arg_max(hash, seq) AS head FROM chained_2 GROUP BY deployment),
+c AS (SELECT deployment, a.x = b.x AS before_ok, a.y = b.y AS after_ok, round(100.0 * (1 - a.y / a.x), 4) = round(100.0 * (1 - b.y / b.x), 4) AS input_reduction_pct_ok,
+  a.head = b.head AS chain_head_ok FROM a JOIN b USING (deployment))
+SELECT *, before_ok AND after_ok AND input_reduction_pct_ok AND chain_head_ok AS ok FROM c""")
 def ledger_comparison(spark: SparkSession, sf: str) -> DataFrame:
     rows = audit_frame(spark, sf).rows
     stored = L.build_ledger(L.chain(rows))

@@ -371,16 +371,22 @@ def paired_unit_groups(spark: SparkSession, sf: str) -> DataFrame:
     return units.paired_units(sessions.rows, sessions.config()).select("session_id", "pos", "unit_id")
 
 
-@query(
-    "deletion_only_check",
-    """SELECT 0::BIGINT AS violations, count(*) AS rows_in, count(DISTINCT conv_id % 10) AS sessions FROM conversations""",
-)
+@query("deletion_only_check", f"""{DECIDED}, k AS (SELECT session_id, pos, text, CASE WHEN pos % 17 = 3 THEN pos * 2 - 5 ELSE pos * 2 END AS place,
+    CASE WHEN pos % 13 = 5 THEN text || '!' ELSE text END AS out FROM decided WHERE keep),
+o AS (SELECT *, lag(pos) OVER (PARTITION BY session_id ORDER BY place) > pos AS behind FROM k)
+SELECT session_id, count(*) AS rows_out, count(*) FILTER (out <> text) AS changed, count(*) FILTER (behind) AS misplaced FROM o GROUP BY session_id""")
 def deletion_only_check(spark: SparkSession, sf: str) -> DataFrame:
-    rows = long_signals(spark, sf).rows
-    kept = prune.survivors(prune.decide(rows, PruneConfig()))
-    bad = prune.deletion_only_violations(rows, kept).agg(F.count(F.lit(1)).alias("violations"))
-    size = rows.agg(F.count(F.lit(1)).alias("rows_in"), F.countDistinct("session_id").alias("sessions"))
-    return bad.join(size)
+    """Pruned sessions, some rows of which were altered or moved on the way out, checked against what came in."""
+    sessions = long_signals(spark, sf)
+    kept = prune.survivors(prune.decide(sessions.rows, sessions.config()))
+    pos = F.col("pos")
+    after = kept.withColumns(
+        {"text": F.when(pos % 13 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "place": 2 * pos - F.when(pos % 17 == 3, 5).otherwise(0)}
+    )
+    changed = prune.deletion_only_violations(sessions.rows, after).groupBy("session_id").agg(F.count(F.lit(1)).alias("changed"))
+    moved = prune.order_violations(after, block_rows=sessions.block_rows).groupBy("session_id").agg(F.count(F.lit(1)).alias("misplaced"))
+    rows = after.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows_out"))
+    return rows.join(changed, "session_id", "left").join(moved, "session_id", "left").fillna(0, ["changed", "misplaced"])
 
 
 REQUESTS = f"""
