@@ -29,7 +29,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 #: Bytes of words and pieces that a worker remembers, in two generations, and the longest word remembered.
-REMEMBERED_BYTES = 96 << 20
+REMEMBERED_BYTES = 48 << 20
 REMEMBERED_CHARS = 48
 
 
@@ -63,13 +63,13 @@ def read_pieces(path: str) -> PieceTable:
 
 
 class Encoder(dict):
-    """Best pieces by word; missing ones are searched."""
+    """Best pieces by word, as the bytes of 32-bit ids; missing ones are searched."""
 
     def __init__(self, table: PieceTable):
         super().__init__()
         self.table = table
         self.held = 0
-        self.older: dict[str, array] = {}
+        self.older: dict[str, bytes] = {}
         own = [(p, i) for i, p in enumerate(table.pieces) if p]
         self.unknown_score = min(table.scores[i] for _, i in own) - UNKNOWN_PENALTY
         self.single = {p for p, _ in own if len(p) == 1}
@@ -88,12 +88,12 @@ class Encoder(dict):
         for b, i in enumerate(table.bytes):
             self.raw[i] = bytes([b])
 
-    def __missing__(self, word: str) -> array:
+    def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            found = self.search(word)
+            found = self.search(word).tobytes()
         if len(word) <= REMEMBERED_CHARS:
-            self.held += 250 + 4 * (len(word) + len(found))
+            self.held += 220 + 2 * len(word) + len(found)
             if self.held > REMEMBERED_BYTES // 2:
                 self.older, self.held = dict(self), 0
                 self.clear()
@@ -136,8 +136,7 @@ class Encoder(dict):
     def encode(self, text: str) -> array:
         ids = array("i")
         if text:
-            for word in self.words.findall(MARK + text.replace(" ", MARK)):
-                ids.extend(self[word])
+            ids.frombytes(b"".join([self[word] for word in self.words.findall(MARK + text.replace(" ", MARK))]))
         return ids
 
     def decode(self, ids) -> str:
