@@ -8,6 +8,7 @@ even at the lower bound of the posterior.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,16 +17,22 @@ from pyspark.sql import functions as F
 from palimpsest.operators.lineage import cut
 
 
+#: Labels under which country registries sell names.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")
+
+
 @dataclass(frozen=True)
 class HostConfig:
     """Bad rate that the posterior bound is held against, its distance in standard deviations, limits of the prior strength,
-    and suffixes of more than one label. `suffixes` and rules are short lists that become part of the expressions."""
+    and suffixes of two labels: one of `second` under a country's two letters (all of com.br or gov.uk is no one domain), and any in
+    `suffixes`. These lists and the rules are short and become part of the expressions."""
 
     limit: float = 0.5
     deviations: float = 2.0
     least_strength: float = 1.0
     most_strength: float = 100.0
-    suffixes: tuple[str, ...] = ("co.uk", "com.au", "co.jp")
+    second: tuple[str, ...] = SECOND_LABELS
+    suffixes: tuple[str, ...] = ()
 
 
 #: Rules as (verdict, host, path prefix).
@@ -52,15 +59,19 @@ def rule_of(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
     return pick(lambda r: r[1] + r[2]), pick(lambda r: r[0])
 
 
-def suffix_of(host: Column, cfg: HostConfig) -> Column:
+def _two_labels(host: Column, cfg: HostConfig) -> Column:
+    """The last two labels are a suffix."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*cfg.suffixes), two).otherwise(F.substring_index(host, ".", -1))
+    return two.rlike(rf"^(?:{'|'.join(map(re.escape, cfg.second))})\.[a-z][a-z]\z") | two.isin(*cfg.suffixes)
+
+
+def suffix_of(host: Column, cfg: HostConfig) -> Column:
+    return F.when(_two_labels(host, cfg), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column, cfg: HostConfig) -> Column:
     """One label more than the suffix; the host itself if it has no more."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*cfg.suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(_two_labels(host, cfg), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def _posterior(level: DataFrame, prior: Column, cfg: HostConfig) -> DataFrame:

@@ -193,9 +193,9 @@ p AS MATERIALIZED (
   FROM u),
 h AS MATERIALIZED (
   SELECT host, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS good,
-         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'com.au', 'co.jp') THEN array_to_string(string_split(host, '.')[-3:], '.')
+         CASE WHEN regexp_full_match(array_to_string(string_split(host, '.')[-2:], '.'), '(?:ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z][a-z]') THEN array_to_string(string_split(host, '.')[-3:], '.')
               ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
-         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'com.au', 'co.jp') THEN array_to_string(string_split(host, '.')[-2:], '.')
+         CASE WHEN regexp_full_match(array_to_string(string_split(host, '.')[-2:], '.'), '(?:ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z][a-z]') THEN array_to_string(string_split(host, '.')[-2:], '.')
               ELSE string_split(host, '.')[-1] END AS suffix
   FROM p GROUP BY host),
 s AS (SELECT suffix, sum(bad) AS bad, sum(good) AS good, sum(bad) + sum(good) AS n,

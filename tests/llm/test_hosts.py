@@ -47,10 +47,10 @@ def test_rates_shrink_towards_domain_and_suffix(spark):
 
 
 def test_levels(spark):
-    rows = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("b.com",), ("com",), ("",), ("x.y.b.com",)], "h string")
+    rows = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("b.com",), ("com",), ("",), ("x.y.b.com",), ("a.b.com.br",), ("www.x.gov.uk",), ("b.co.info",)], "h string")
     cfg = HostConfig()
     got = {r["h"]: (r["d"], r["s"]) for r in rows.select("h", hosts.domain_of(F.col("h"), cfg).alias("d"), hosts.suffix_of(F.col("h"), cfg).alias("s")).collect()}
-    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", ""), "x.y.b.com": ("b.com", "com")}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", ""), "x.y.b.com": ("b.com", "com"), "a.b.com.br": ("b.com.br", "com.br"), "www.x.gov.uk": ("x.gov.uk", "gov.uk"), "b.co.info": ("co.info", "info")}
 
 
 def test_no_pages_and_no_labels(spark):
