@@ -237,6 +237,15 @@ def test_marker_counts_in_unit_size(spark):
     assert plain[0] == 1 and marked[0] == (4 + 3) // 4 + 1
 
 
+@pytest.mark.parametrize("block_rows", BLOCKS)
+def test_moved_rows_are_found(spark, block_rows):
+    rng = random.Random(9)
+    places = {s: rng.sample(range(30), 30) if s else list(range(30)) for s in range(3)}
+    df = spark.createDataFrame([(s, p, k) for s, own in places.items() for k, p in enumerate(own)], "session_id BIGINT, pos BIGINT, place BIGINT")
+    got = sorted((r.session_id, r.pos) for r in prune.order_violations(df, block_rows=block_rows).collect())
+    assert got == sorted((s, p) for s, own in places.items() for q, p in zip(own, own[1:]) if q > p)
+
+
 def repair_rows(seed, sessions=25):
     rng = random.Random(seed)
     rows = []
