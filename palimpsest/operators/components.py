@@ -1,4 +1,4 @@
-"""Connected components by labels, for graphs of any size."""
+"""Connected components by contraction, for graphs of any size."""
 
 from __future__ import annotations
 
@@ -11,15 +11,23 @@ from palimpsest.operators.lineage import cut
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """`node`, `component` for every end of `edges` (`a`, `b`): the smallest node that edges reach.
 
-    A round hands every node the smallest label among its neighbours and then the label of that label, so paths halve; a round
-    is one stored table. Rounds end when no label is smaller than before.
+    A round hooks every node to its smallest neighbour, if that is smaller, follows the hooks to their ends by doubling, and
+    keeps the edges between different ends, each once. So only the first round sees all edges.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.lit(True).alias("moved"))
-    labels = cut(labels)
-    while labels.filter("moved").take(1):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))
-        jumped = met.join(labels.select(F.col("node").alias("via"), F.col("component").alias("far")), "via")
-        labels = cut(jumped.select("node", F.least("via", "far").alias("component"), (F.least("via", "far") < F.col("old")).alias("moved")))
-    return labels.select("node", "component")
+    down = lambda e: e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = cut(down(edges))
+    labels = now.select(F.col("a").alias("node")).union(now.select(F.col("b").alias("node"))).distinct().withColumn("component", F.col("node"))
+    while not now.isEmpty():
+        ends = cut(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")))
+        while True:
+            further = ends.select(F.col("node").alias("to"), F.col("to").alias("_far"))
+            moved = cut(ends.join(further, "to", "left").select("node", F.coalesce("_far", "to").alias("to"), F.col("_far").isNotNull().alias("_moved")))
+            ends = moved.select("node", "to")
+            if not moved.filter("_moved").take(1):
+                break
+        end = lambda c: ends.select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))
+        renamed = now.join(end("a"), "a").join(end("b"), "b", "left")
+        now = cut(down(renamed.select(F.col("_a").alias("a"), F.coalesce("_b", "b").alias("b"))))
+        step = ends.select(F.col("node").alias("component"), "to")
+        labels = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return labels

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import brute
 from palimpsest.operators import neardup as N
 from palimpsest.operators import power, signals
+from palimpsest.operators.components import smallest_reachable
 
 
 def test_bus_fixture(spark):
@@ -145,3 +146,43 @@ def test_media_substitution(spark):
     extracts = spark.createDataFrame([("s", 1, "screen one")], "session_id STRING, pos BIGINT, extract STRING")
     got = sorted((r.session_id, r.pos, r.kind, r.tokens) for r in N.substitute_media(df, extracts, 1).collect())
     assert got == [("s", 1, "extract", 3), ("s", 3, "media", 1600), ("s", 4, "text", 1), ("t", 0, "extract", 1)]
+
+
+def dense(rng, n):
+    centre = rng.getrandbits(64)
+    return sorted({centre ^ sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(n)}, key=lambda s: s * 0x9E3779B97F4A7C15 % (1 << 64))
+
+
+def test_large_class_lists_no_pairs(spark, monkeypatch):
+    """Leaders of a class above the limit of a task come from rounds over prefixes, never from a table of its pairs."""
+    monkeypatch.setattr(N, "near_pairs", None)
+    sigs = dense(random.Random(7), 300)
+    reps, newest = brute.leaders(sigs, 5)
+    items = frame(spark, sigs)
+    rows = N.clusters(items, settled=4)
+    assert sorted(r.first_id for r in rows.filter("leader_id = first_id").collect()) == reps and rows.count() == len(sigs)
+    assert sorted(r.item_id for r in rows.groupBy("leader_id").agg(F.max("last_id").alias("item_id")).collect()) == newest
+    two = items.withColumn("g", F.lit("a")).unionByName(items.filter("item_id % 2 = 0").withColumn("g", F.lit(None).cast("string")))
+    half, _ = brute.leaders(sigs[::2], 5)
+    lead = N.clusters(two, scope=["g"], settled=4).filter("leader_id = first_id")
+    assert sorted(r.first_id for r in lead.filter("g = 'a'").collect()) == reps
+    assert sorted(r.first_id for r in lead.filter("g IS NULL").collect()) == [2 * i for i in half]
+
+
+def test_dense_signatures_are_not_copied_often(spark):
+    """What is written for a dense cluster grows with its rows, not with its pairs."""
+    sigs = dense(random.Random(8), 4000)
+    assert N.tiles(N.distinct_signatures(frame(spark, sigs)), 5).count() <= 2 * len(sigs)
+
+
+def test_components_by_contraction(spark):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(1000, i) for i in range(200, 240)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(90)]
+    label = {n: n for e in edges for n in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    ends = {n for a, b in edges if a != b for n in (a, b)}
+    got = [tuple(r) for r in smallest_reachable(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect()]
+    assert len(got) == len(ends) and dict(got) == {n: label[n] for n in ends}
+    assert smallest_reachable(spark.createDataFrame([(5, 5)], "a BIGINT, b BIGINT")).count() == 0
