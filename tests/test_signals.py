@@ -9,6 +9,8 @@ import brute
 from palimpsest.operators import neardup as N
 from palimpsest.operators import power, signals
 from palimpsest.operators.components import smallest_reachable
+from palimpsest.plans import registry
+from palimpsest.plans import signals as _plans  # noqa: F401
 
 
 def test_bus_fixture(spark):
@@ -186,3 +188,11 @@ def test_components_by_contraction(spark):
     got = [tuple(r) for r in smallest_reachable(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect()]
     assert len(got) == len(ends) and dict(got) == {n: label[n] for n in ends}
     assert smallest_reachable(spark.createDataFrame([(5, 5)], "a BIGINT, b BIGINT")).count() == 0
+
+
+def test_embedding_pairs_reach_to_sixteen_signs(spark, tmp_path):
+    """Small components count by their sign, and pairs reach to 16 of 64."""
+    vectors = [[0.01] * 64, [-0.01] * 16 + [0.01] * 48, [0.01] * 47 + [-0.01] * 17]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id BIGINT, embedding ARRAY<FLOAT>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["near_embedding_pairs"](spark, str(tmp_path)).select("a_id", "b_id", "distance").collect()]
+    assert got == [(0, 1, 16)]
