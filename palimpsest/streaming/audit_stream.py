@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessorHandle, TimerValues
 
 from palimpsest.operators.prune import reduction
 from palimpsest.sources.audit_log import AUDIT_SCHEMA, with_defaults
@@ -80,54 +75,23 @@ def closing_row(rows: DataFrame, seconds: int) -> DataFrame:
     return rows.agg(at.alias("ts")).filter("ts IS NOT NULL")
 
 
-class RecentRequests(StatefulProcessor):
-    """Per second with requests: how many came in the `span` seconds up to it, that long ago included.
-
-    Arrivals wait in a map from second to count until the watermark passes their second; then a timer of that second counts
-    what the map holds, and drops what no later second needs. The state has as many entries as there are seconds in the span
-    and the delay.
-    """
-
-    def __init__(self, span: int) -> None:
-        self.span = span
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.counts = handle.getMapState("counts", "second bigint", "requests bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, int] = {}
-        for frame in rows:
-            for second, n in zip(*[frame[c].tolist() for c in ("second", "requests")]):
-                new[second] = new.get(second, 0) + n
-        for second, n in new.items():
-            held = self.counts.getValue((second,))[0] if self.counts.containsKey((second,)) else 0
-            self.counts.updateValue((second,), (held + n,))
-            if not held:
-                self.handle.registerTimer((second + 1) * 1000)  # past it, no row of that second is taken any more
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
-        held = {second[0]: n[0] for second, n in self.counts.iterator()}
-        for second in [s for s in held if s < at - self.span]:
-            self.counts.removeKey((second,))
-        yield pd.DataFrame({"key": [key[0]], "second": [at], "requests": [sum(n for s, n in held.items() if at - self.span <= s <= at)]})
-
-    def close(self) -> None:
-        pass
-
-
 def recent_requests(stream: DataFrame, key: str = "deployment", *, span: int = 60, delay: str = "10 seconds") -> DataFrame:
-    """`key`, `second`, `requests`: requests of the last `span` seconds at every second in which one came, exact, rows up to `delay`
-    late included. Rows without tokens only move the clock."""
+    """`key`, `second`, `requests`: requests of the last `span` seconds at every second in which one came, that long ago included,
+    exact, rows up to `delay` late included. Rows without tokens only move the clock.
+
+    Requests are counted by second, and the counts meet in windows of two spans that begin with every span: the second half of a
+    window has all it looks back to in the window. So a key is dealt by time, and a window has at most two counts per second of the
+    span. A row comes when the watermark passes the end of its window, at most `span` seconds after its second."""
     use_rocks_state(stream.sparkSession)
     at = F.to_timestamp("ts", "yyyy-MM-dd'T'HH:mm:ss")
     timed = stream.withColumn("at", at).withWatermark("at", delay)
     # one condition that reads the time: others are pushed below the watermark, which then would not see clock rows
     request = F.when(F.col("at").isNotNull(), F.col("tokens_before").isNotNull()).otherwise(False)
-    rows = timed.filter(request).select(
-        F.col(key).cast("string").alias("key"), F.unix_seconds("at").alias("second"), F.lit(1).cast("bigint").alias("requests"), "at"
-    )
-    out = rows.groupBy("key").transformWithStateInPandas(RecentRequests(span), "key STRING, second BIGINT, requests BIGINT", "Append", "EventTime")
-    return out.withColumnRenamed("key", key)
+    rows = timed.filter(request).select(F.col(key).cast("string").alias("key"), "at")
+    seconds = rows.groupBy("key", F.window("at", "1 second")).agg(F.count(F.lit(1)).alias("n"))
+    counts = seconds.select("key", F.window_time("window").alias("at"), F.unix_seconds("window.start").alias("second"), "n")
+    spans = counts.groupBy("key", F.window("at", f"{2 * span} seconds", f"{span} seconds")).agg(F.collect_list(F.struct("second", "n")).alias("counts"))
+    each = spans.select("key", F.explode("counts.second").alias("second"), "counts", F.unix_seconds("window.start").alias("start"))
+    back = F.filter("counts", lambda c: c["second"].between(F.col("second") - span, F.col("second")))
+    total = F.aggregate(back, F.lit(0).cast("bigint"), lambda n, c: n + c["n"])
+    return each.filter(F.col("second") >= F.col("start") + span).select(F.col("key").alias(key), "second", total.alias("requests"))

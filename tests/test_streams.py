@@ -121,6 +121,23 @@ def test_recent_requests(spark, tmp_path):
     assert {(r.deployment, r.second): r.requests for r in got} == want and len(got) == len(want)
 
 
+def test_recent_requests_of_a_busy_key(spark, tmp_path):
+    """A key with requests in thousands of seconds is dealt by time, with no state that is read again for every second."""
+    rng = random.Random(4)
+    seconds = sorted(rng.randrange(40000) for _ in range(6000))
+    stamp = lambda s: f"2026-01-01T{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    write_log(tmp_path, "1.json", [dict(ts=stamp(s), deployment="d", tokens_before=1) for s in seconds] + [dict(ts=stamp(41000))])
+    recent = audit_stream.recent_requests(audit_stream.follow_audit(spark, str(tmp_path)))
+    assert "InPandas" not in recent._jdf.queryExecution().analyzed().toString()
+    got = append_to_table(recent, "recent").collect()
+    base, start, want = 1767225600, 0, {}
+    for i, s in enumerate(seconds):
+        while seconds[start] < s - 60:
+            start += 1
+        want[base + s] = i - start + 1
+    assert {r.second: r.requests for r in got} == want and len(got) == len(want)
+
+
 def test_alerts_and_ticks(spark, tmp_path):
     spark.createDataFrame([("spam now " * 60,), ("a quiet line",)], "text STRING").write.parquet(str(tmp_path / "texts"))
     texts = spark.readStream.schema("text STRING").parquet(str(tmp_path / "texts"))
