@@ -2,8 +2,9 @@
 
 A block's last cycle follows from its level when it comes in, so nothing is decayed from cycle to cycle. Levels, lifetimes, sizes
 and the lines that purged turns leave are columns of the stream; the stateful step only files each block under the cycle in which
-it expires. A cycle takes the blocks filed under its number and touches no other: the keyed state is a map from expiry cycle to
-blocks, six counters, and the bounded list of lines. Texts of live blocks are kept in a second map, if contexts are wanted.
+it expires. A cycle takes the blocks filed under its number and touches no other. The keyed state is one value, read and written
+once for a session's rows of a micro-batch: six counters, the bounded list of lines, and the blocks that will expire. Texts of
+blocks that never expire are kept in a map with an entry per micro-batch, if contexts are wanted, and read when a cycle asks for them.
 
 The batch form (operators/decay.py) gives the same rows from windows.
 """
@@ -11,7 +12,6 @@ The batch form (operators/decay.py) gives the same rows from windows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,20 +32,11 @@ _CYCLES = (
     "inserted_tokens BIGINT, reclaimed_tokens BIGINT, state ARRAY<STRING>, purpose STRING, body STRING"
 )
 _COUNTERS = "purpose string, cycle bigint, blocks bigint, tokens bigint, inserted bigint, reclaimed bigint"
+_BLOCKS = "lines array<string>, at array<bigint>, seqs array<bigint>, sizes array<bigint>, left_lines array<string>, contents array<string>"
 
 
-@dataclass
-class Bucket:
-    """Blocks that expire in one cycle, in the order they came: places, sizes, and the lines they leave (None: no line)."""
-
-    seqs: list[int]
-    tokens: list[int]
-    lines: list[str | None]
-
-    def extend(self, other: Bucket) -> None:
-        self.seqs += other.seqs
-        self.tokens += other.tokens
-        self.lines += other.lines
+#: A block that will expire: place, size, the line it leaves (None: no line), text (None without contexts).
+Block = tuple[int, int, str | None, str | None]
 
 
 class ExpiryWheel(StatefulProcessor):
@@ -56,76 +47,66 @@ class ExpiryWheel(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         keep = {} if self.idle_ms is None else {"ttlDurationMs": self.idle_ms}
-        self.wheel = handle.getMapState("wheel", "cycle bigint", "seqs array<bigint>, tokens array<bigint>, lines array<string>", **keep)
-        self.texts = handle.getMapState("texts", "seq bigint", "content string", **keep)
-        self.lines = handle.getListState("lines", "line string", **keep)
-        self.counters = handle.getValueState("counters", _COUNTERS, **keep)
+        self.session = handle.getValueState("session", f"{_COUNTERS}, {_BLOCKS}", **keep)
+        self.texts = handle.getMapState("texts", "first bigint", "seqs array<bigint>, contents array<string>", **keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         # rows of one session in one micro-batch, which the source's batch limit bounds
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        purpose, cycle, blocks, tokens, inserted, reclaimed = self.counters.get() if self.counters.exists() else (None, 0, 0, 0, 0, 0)
-        held = dict.fromkeys(line[0] for line in self.lines.get()) if self.lines.exists() else {}
-        new: dict[int, Bucket] = {}
-        fresh: dict[int, str] = {}
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames)
+        if not batch["seq"].is_monotonic_increasing:
+            batch = batch.sort_values("seq", kind="stable")
+        kinds = batch["kind"].tolist()
+        purpose, cycle, blocks, tokens, inserted, reclaimed, *lists = self.session.get() or (None, 0, 0, 0, 0, 0, *[()] * 6)
+        held = dict.fromkeys(lists[0])
+        wheel: dict[int, list[Block]] = {}
+        for at, *block in zip(*lists[1:]):
+            wheel.setdefault(at, []).append(tuple(block))
+        live: dict[int, str] = {}
+        lasting: dict[int, str] = {}  # texts of this batch that never expire
+        if self.with_context and "cycle" in kinds:
+            for _, (seqs, contents) in self.texts.iterator():
+                live.update(zip(seqs, contents))
+            live.update((seq, content) for due in wheel.values() for seq, _, _, content in due)
         out = []
-        for seq, kind, content, size, life, line in zip(*[batch[c].tolist() for c in ("seq", "kind", "content", "size", "life", "line")]):
+        for seq, kind, content, size, life, line in zip(batch["seq"].tolist(), kinds, *[batch[c].tolist() for c in ("content", "size", "life", "line")]):
             if kind == "insert":
                 blocks, tokens, inserted = blocks + 1, tokens + int(size), inserted + int(size)
+                kept = content if self.with_context else None
                 if not pd.isna(life):
-                    new.setdefault(cycle + int(life), Bucket([], [], [])).extend(Bucket([seq], [int(size)], [None if pd.isna(line) else line]))
+                    wheel.setdefault(cycle + int(life), []).append((seq, int(size), None if pd.isna(line) else line, kept))
+                elif self.with_context:
+                    lasting[seq] = kept
                 if self.with_context:
-                    fresh[seq] = content
+                    live[seq] = kept
             elif kind == "purpose":
                 purpose = None if pd.isna(content) else content
             elif kind == "note":
                 self._hold(held, content)
             else:
                 cycle += 1
-                due = self._due(cycle, new)
-                blocks, tokens, reclaimed = blocks - len(due.seqs), tokens - sum(due.tokens), reclaimed + sum(due.tokens)
-                for gone, left in zip(due.seqs, due.lines):
+                due = wheel.pop(cycle, [])
+                for gone, size, left, _ in due:
+                    blocks, tokens, reclaimed = blocks - 1, tokens - size, reclaimed + size
                     if left is not None:
                         self._hold(held, left)
-                    if self.with_context and fresh.pop(gone, None) is None:
-                        self.texts.removeKey((gone,))
-                out.append((key[0], cycle, len(due.seqs), blocks, tokens, inserted, reclaimed, list(held), purpose, self._body(fresh)))
-        for at, bucket in new.items():
-            if self.wheel.containsKey((at,)):
-                whole = Bucket(*map(list, self.wheel.getValue((at,))))
-                whole.extend(bucket)
-                bucket = whole
-            self.wheel.updateValue((at,), (bucket.seqs, bucket.tokens, bucket.lines))
-        for seq, content in fresh.items():
-            self.texts.updateValue((seq,), (content,))
-        if held:
-            self.lines.put([(line,) for line in held])
-        self.counters.update((purpose, cycle, blocks, tokens, inserted, reclaimed))
+                    live.pop(gone, None)
+                body = "\n".join(live[s] for s in sorted(live)) if self.with_context else None
+                out.append((key[0], cycle, len(due), blocks, tokens, inserted, reclaimed, list(held), purpose, body))
+        if lasting:
+            self.texts.updateValue((min(lasting),), (list(lasting), list(lasting.values())))
+        filed = [(at, *block) for at, due in wheel.items() for block in due]
+        columns = [list(c) for c in zip(*filed)] if filed else [[] for _ in range(5)]
+        self.session.update((purpose, cycle, blocks, tokens, inserted, reclaimed, list(held), *columns))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "cycle", "purged", "active_blocks", "active_tokens", "inserted_tokens", "reclaimed_tokens", "state", "purpose", "body"])
 
-    def _due(self, cycle: int, new: dict[int, Bucket]) -> Bucket:
-        """The blocks of a cycle, those of earlier batches first; they leave the wheel."""
-        due = Bucket([], [], [])
-        if self.wheel.containsKey((cycle,)):
-            due.extend(Bucket(*map(list, self.wheel.getValue((cycle,)))))
-            self.wheel.removeKey((cycle,))
-        if cycle in new:
-            due.extend(new.pop(cycle))
-        return due
-
     def _hold(self, held: dict[str, None], line: str) -> None:
         """A line not held yet goes to the end; the oldest leaves a full list."""
         held.setdefault(line)
         if len(held) > self.capacity:
             del held[next(iter(held))]
 
-    def _body(self, fresh: dict[int, str]) -> str | None:
-        if not self.with_context:
-            return None
-        texts = {seq[0]: content[0] for seq, content in self.texts.iterator()} | fresh
-        return "\n".join(texts[seq] for seq in sorted(texts))
-
     def close(self) -> None:
         pass
 

@@ -78,6 +78,43 @@ def test_session_pruner(spark, tmp_path):
                 assert r.context == "Goal\n" + state + "\n".join(b[0] for b in live)
 
 
+class CountedState:
+    """A map or value state that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("updateValue", "update"):
+                self.held[args[0] if len(args) == 2 else None] = args[-1]
+            elif name == "iterator":
+                return iter(list(self.held.items()))
+            elif name == "removeKey":
+                self.held.pop(args[0], None)
+            else:
+                found = self.held.get(args[0] if args else None)
+                return found if name in ("get", "getValue") else found is not None
+
+        return call
+
+
+def test_session_state_is_read_and_written_once_a_batch():
+    """Calls to the state do not grow with the blocks and cycles of a batch."""
+    calls = []
+    state = lambda *args, **kw: CountedState(calls)
+    wheel = session_state.ExpiryWheel(64, True, None)
+    wheel.init(type("Handle", (), dict(getValueState=state, getMapState=state, getListState=state))())
+    rows = [(i, "cycle" if i % 10 == 9 else "insert", f"t{i}", 1, None if i % 2 else 2.0, None) for i in range(500)]
+    out = []
+    for part in (rows[:250], rows[250:]):
+        out += list(wheel.handleInputRows(("s",), iter([pd.DataFrame(part, columns=["seq", "kind", "content", "size", "life", "line"])]), None))
+    assert len(calls) <= 10
+    last = pd.concat(out).iloc[-1]
+    assert (last.cycle, last.purged, last.active_blocks) == (50, 5, 205) and last.body.split("\n")[-1] == "t498"
+
+
 def test_chain_continues_over_batches(spark, tmp_path):
     rows = [(i, "d", f"t{i}", "m", 10 + i, i) for i in range(30)]
     audit = spark.createDataFrame(rows, "seq BIGINT, deployment STRING, ts STRING, model STRING, tokens_before BIGINT, tokens_after BIGINT")
