@@ -20,6 +20,7 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55
+BASE = U64(_BASE)
 
 
 @lru_cache
@@ -73,6 +74,12 @@ class Chunk:
         return sums[self.ends] - sums[self.starts]
 
 
+def span_hash(sums: np.ndarray, lengths) -> np.ndarray:
+    """Hashes of spans from their sums of (code point + 1) times powers of `BASE`, the first point's power being 0."""
+    with np.errstate(over="ignore"):
+        return mix(sums + np.asarray(lengths).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def hash_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span of code points; equal spans get equal hashes in every task."""
     out = np.zeros(len(starts), U64)
@@ -86,7 +93,7 @@ def hash_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     taken = codes[within + np.repeat(starts, lengths)].astype(U64) + U64(1)
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(taken * _powers(1 << max(10, int(lengths.max()).bit_length()))[within], offsets)
-        out[full] = mix(sums + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
+        out[full] = span_hash(sums, lengths)
     return out
 
 

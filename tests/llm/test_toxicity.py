@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -102,3 +103,53 @@ def test_broadcast_is_bounded_and_the_rest_is_complete(spark):
     common, rare = toxicity.ratio_tables(counts, cfg)
     assert counts.count() == 321 and common.count() <= 32
     assert common.count() + rare.count() + 2 == 321 and not common.join(rare, "word").count()
+
+
+def log_likelihood(texts, symbols, order):
+    """log P(text) by recursion over the contexts, from plain lists of n-grams."""
+    marked = lambda t: [toxicity.FIRST] * (order - 1) + list(" ".join(re.findall(r"[^\W_]+", t.lower()))) + [toxicity.LAST]
+    grams = lambda t: [tuple(m[i : i + order]) for m in [marked(t)] for i in range(len(m) - order + 1)] if re.search(r"[^\W_]", t) else []
+    levels = {order: Counter(g for t in texts for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    off = {n: toxicity.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for n, c in levels.items()}
+
+    def p(g):
+        if not g:
+            return 1.0 / (symbols + 1)
+        n = len(g)
+        after = [v for h, v in levels[n].items() if h[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        d = lambda v: off[n][min(v, 3) - 1] if v else 0.0
+        v = levels[n][g]
+        return (v - d(v) + sum(map(d, after)) * p(g[1:])) / sum(after)
+
+    return lambda t: (sum(np.log(p(g)) for g in grams(t)), len(grams(t)))
+
+
+def test_means_equal_brute_force(spark):
+    rows = [("The cat, the DOG", 1), ("the cat", 0), ("a cat_dog é", 0), ("dog the", None), (None, 1), ("tag the god", 0), ("Cad! cat", 1), ("?!", 0)]
+    asked = ["the cat", "god", "zz top", "cad é", "", "a  the"]
+    for cfg in (ToxicityConfig(order=3), ToxicityConfig(order=3, slot_bits=3)):
+        table, base = toxicity.gram_ratios(toxicity.gram_counts(spark.createDataFrame(rows, "text string, label int"), cfg), cfg)
+        keyed = table.mapInArrow(toxicity._keyed, "word long, documents long, ratio float").localCheckpoint()
+        common, rare = toxicity.most_common(keyed, cfg)
+        ratios = spark.sparkContext.broadcast(toxicity._held(common))
+        texts = spark.createDataFrame([(t,) for t in asked], "text string")
+        got = {r["text"]: r["_mean"] for r in toxicity._with_mean(texts, texts["text"], ratios, rare, base, cfg.order).collect()}
+        symbols = len({c for t, y in rows if t and y is not None for w in re.findall(r"[^\W_]+", t.lower()) for c in w} | {" ", toxicity.LAST})
+        sides = [log_likelihood([t for t, y in rows if t and y == k], symbols, cfg.order) for k in (1, 0)]
+        for t in asked:
+            (a, n), (b, _) = (f(t) for f in sides)
+            assert abs(got[t] - (a - b) / max(1, n)) < 1e-5, (t, got[t], a, b)
+
+
+def test_order_of_words_counts(spark):
+    # The classes hold the same words, in another order.
+    rng = random.Random(3)
+    rows = [(i, " ".join(("big dog" if i % 2 else "dog big") if rng.random() < 0.5 else "or" for _ in range(20))) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = [(r["doc_id"], r["toxicity"]) for r in toxicity.scored(documents(spark, rows), labels, SMALL).collect()]
+    held = [(i % 2, t["predicted"]) for i, t in got if t["held_out"]]
+    assert sum(a == b for a, b in held) / len(held) > 0.9
