@@ -402,6 +402,7 @@ FROM h LEFT JOIN lists USING (session_id) LEFT JOIN e ON e.id = session_id""")
 def audit_log_with_digests(spark: SparkSession, sf: str) -> DataFrame:
     """The log of one request per session: written with all its fields, next to the store of what was purged, and read back."""
     sessions = ev_flags(spark, sf)
+    sessions = sessions.with_rows(cut(sessions.rows.select(*units.NARROW, "text")))  # numbered once; four steps read them
     grouped, decided = units.gateway_plan(sessions.rows, sessions.config(PruneConfig(stable_prefix=3, quantum=8, hysteresis=0.55)))
     decided = cut(decided)
     documents = cut(unit_store.unit_documents(units.purged_messages(grouped, decided, sessions.rows)))

@@ -11,6 +11,9 @@ from palimpsest.config import BLOCK_ROWS
 
 DIGEST_PATTERN = "^[0-9a-f]{64}$"
 
+#: Fixed value: shards of a store, one per two hex digits.
+SHARDS = 256
+
 #: Messages of one document; a unit with more is stored in parts.
 PART_ROWS = 4096
 
@@ -67,13 +70,15 @@ def new_units(documents: DataFrame, stored: DataFrame | None) -> DataFrame:
 
 def append_units(documents: DataFrame, path: str, stored: DataFrame | None = None, *, writer: str = "0", batch: int = 0) -> None:
     """Write units the store does not hold, in shards by the first two hex digits of their digest, with a Bloom filter on the digest
-    in every file, so that lookups open few shards and skip most row groups of those.
+    in every file, so that lookups open few shards and skip most row groups of those. A shard is written by one task, so a batch has
+    at most 256 files, and filters are as large as their digests need.
 
     Each batch of a writer has folders of its own and replaces them when it is written again. Writers that store one unit at the
     same time store it twice; `read_units` gives it once.
     """
     fresh = new_units(documents, stored).withColumns({"writer": F.lit(writer), "batch": F.lit(batch), "shard": F.substring("digest", 1, 2)})
-    out = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#digest", "true")
+    out = fresh.repartition(SHARDS, "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#digest", "true")
+    out = out.option("parquet.bloom.filter.adaptive.enabled", "true")
     out.partitionBy("writer", "batch", "shard").parquet(path)
 
 

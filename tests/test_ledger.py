@@ -198,3 +198,16 @@ def test_dimensions(spark, tmp_path):
     assert got == [("m", "budget", 1.0, 2.0), ("n", "frontier", 3.0, 4.0)]
     with pytest.raises(ValueError):
         dims.grid_factor("mars")
+
+
+def test_a_shard_of_a_batch_is_one_file(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id AS session_id", "0L AS unit_id", "concat('u', id) AS unit").withColumn("digest", F.sha2("unit", 256))
+    path, key = str(tmp_path / "units"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        unit_store.append_units(docs, path)
+    finally:
+        spark.conf.unset(key)
+    shards = list((tmp_path / "units").glob("writer=*/batch=*/shard=*"))
+    assert len(shards) == 256 and all(len(list(s.glob("*.parquet"))) == 1 for s in shards)
+    assert unit_store.read_units(spark, path).count() == 4000
