@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Unicode white space, so that the no-break space also separates words.
 SPACES = r"(?U)\s+"
+NOT_BLANK = r"(?U)\S"
 
 
 def token_size(text: Column) -> Column:
@@ -32,6 +33,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def first_words(text: Column, n: int) -> Column:
+    """The first `n` words, without splitting the rest of the text."""
+    # A leading space gives an empty piece; the last piece of a limited split is all the rest.
+    pieces = F.slice(F.split(text, SPACES, n + 2), 1, n + 1)
+    return F.slice(F.filter(pieces, lambda w: w != ""), 1, n)
+
+
 def bind(value: Column, use) -> Column:
     """`use(value)` with the value computed once per row, also where `use` reads it inside a lambda.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,8 @@ from palimpsest.functions import effort as E
 from palimpsest.functions import secrets as X
 from palimpsest.functions import text as T
 from palimpsest.operators import prune
-from palimpsest.operators.sequence import Layout
+from palimpsest.operators.lineage import cut
+from palimpsest.operators.sequence import BLOCK, Layout
 
 # Flood alert threshold, event flags of an alert, and the default economics.
 ALERT_THRESHOLD = 0.85
@@ -21,6 +23,10 @@ CACHE_READ_RATIO = 0.1
 CACHE_WRITE_RATIO = 1.25
 CALLS_AHEAD = 8
 
+# The flood score takes this many positions of a session together, and about this many bytes of text per task.
+FLOOD_ROWS = 1024
+FLOOD_BYTES = 4 << 20
+
 
 def flood_scores(texts: DataFrame, id_col: str, *, window: int = 8, threshold: float = ALERT_THRESHOLD) -> DataFrame:
     """Repetition score and alert flag per text; computed inside each row, without a shuffle."""
@@ -51,36 +57,41 @@ def session_flood(messages: DataFrame, keys: Sequence[str], *, window: int = 8,
     Each message owns the shingles that start in it; the tokens it lacks come from at most window - 1
     later messages with text. Shingles travel as 64-bit hashes and are counted in two steps, first per
     (session, hash), so repeated shingles of a hot session combine before the shuffle.
+
+    A session is always cut into blocks, and the blocks are dealt to as many tasks as the texts need: a task explodes the
+    shingles of about FLOOD_BYTES of text, however long the sessions are. A block gets the words that follow it by a carried value.
     """
-    layout = Layout(keys, "_pos", block_rows)
-    # Blank rows hold no tokens; numbering the others keeps the lookahead bounded.
-    tokens = messages.select(*keys, "pos", T.words(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
-    by_pos = Layout(keys, "pos", block_rows)
-    counted = by_pos.carry(by_pos.split(tokens), sums={"_before": F.lit(1)})
-    rows = by_pos.merge(counted.withColumn("_pos", by_pos.row_number(F.col("_before")) - 1)).drop("_before")
-    spread = layout.with_halo(rows, after=window - 1)
-    ahead = layout.window().rowsBetween(1, window - 1)
-    lookahead = F.slice(
-        F.flatten(F.collect_list(F.slice("_w", 1, window - 1)).over(ahead)), 1, window - 1
+    layout = Layout(keys, "pos", min(block_rows or FLOOD_ROWS, FLOOD_ROWS))
+    short = window - 1
+    # Blank rows hold no tokens; without them the lookahead spans a bounded number of rows.
+    rows = layout.split(messages.select(*keys, "pos", "text").filter(F.col("text").rlike(T.NOT_BLANK)))
+    rows = rows.withColumn("_head", T.first_words(F.col("text"), short))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.repartition(math.ceil(size / FLOOD_BYTES) or 1, *layout.cells)
+    w = layout.window()
+    joined = lambda heads: F.slice(F.flatten(heads), 1, short)
+    in_block = F.collect_list("_head").over(w.rowsBetween(1, max(short, 1)))
+    # Every row has a word, so the first rows of a block hold the words that the block before it lacks.
+    opening = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "_head"))), 1, max(short, 1)), lambda r: r["_head"])
+    following = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(1, max(short, 1))
+    blocks = rows.groupBy(*layout.cells).agg(joined(opening).alias("_open")).select(
+        *layout.cells, joined(F.collect_list("_open").over(following)).alias("_next")
     )
-    own = spread.withColumn("_a", lookahead).filter(~F.col("_halo"))
-    hashes = own.select(
-        *keys,
-        F.size("_w").alias("_n"),
-        T.shingle_hashes(F.concat("_w", "_a"), window).alias("_h"),
+    own = dealt.withColumn("_in", in_block).join(blocks, layout.cells).select(
+        *keys, T.words(F.col("text")).alias("_w"), joined(F.array(F.flatten("_in"), F.col("_next"))).alias("_ahead")
     )
-    sizes = hashes.groupBy(*keys).agg(F.sum("_n").alias("tokens"))
+    hashes = own.select(*keys, F.size("_w").alias("_n"), T.shingle_hashes(F.concat("_w", "_ahead"), window).alias("_hashes"))
+    shingles = hashes.select(*keys, "_n", F.posexplode_outer("_hashes").alias("_i", "_h"))
     counts = (
-        hashes.select(*keys, F.explode("_h").alias("_h"))
-        .groupBy(*keys, "_h")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        shingles.groupBy(*keys, "_h")
+        .agg(F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_n")).otherwise(0)).alias("_n"), F.count("_h").alias("_c"))
         .groupBy(*keys)
-        .agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_distinct"))
+        .agg(F.sum("_n").alias("tokens"), F.sum("_c").alias("_total"), F.count("_h").alias("_distinct"))
     )
     score = F.when(
         (F.col("tokens") >= 2 * window) & (F.col("_total") > 0), 1.0 - F.col("_distinct") / F.col("_total")
     ).otherwise(0.0)
-    return sizes.join(counts, list(keys), "left").select(*keys, "tokens", score.alias("score"))
+    return counts.select(*keys, "tokens", score.alias("score"))
 
 
 def effort(texts: DataFrame) -> DataFrame:
@@ -232,6 +243,7 @@ def hardened_report(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str],
     Input rows: session_id, pos, n, role, signal, text, zone ("history", "query" or "system"). The
     system text and the query are redacted but never pruned and never counted in the token totals.
     """
+    messages = cut(messages)  # read by every part of the report
     history = messages.filter(F.col("zone") == "history")
     payload = messages.filter(F.col("zone") != "system")
     flood = session_flood(payload, keys, block_rows=cfg.block_rows).select(*keys, "score")
