@@ -14,7 +14,7 @@ from palimpsest.functions import secrets as X
 from palimpsest.functions import text as T
 from palimpsest.operators import prune
 from palimpsest.operators.lineage import cut
-from palimpsest.operators.sequence import BLOCK, Layout
+from palimpsest.operators.sequence import BLOCK, Layout, number_rows
 
 # Flood alert threshold, event flags of an alert, and the default economics.
 ALERT_THRESHOLD = 0.85
@@ -202,38 +202,70 @@ def keyword_gate(texts: DataFrame, keywords: Column) -> DataFrame:
     )
 
 
-def uncut_secrets(parts: DataFrame, vault: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Parts of `prune.render`, merged where a vault value runs from one part into the next.
+def _meets_mask(secret: str) -> bool:
+    """Can a match of this value hold characters of a mask that an earlier value left?"""
+    m = X.MASK
+    return m in secret or any(secret.startswith(m[i:]) or secret.endswith(m[: i + 1]) for i in range(len(m)))
 
-    Only the ends of neighbouring parts are compared, so masking part by part finds what masking the whole would.
+
+def tied_rows(rows: DataFrame, secrets: Sequence[str], keys: Sequence[str], block_rows: int = 0) -> DataFrame:
+    """`rows` with neighbours put together, by line breaks, where one of the values runs over the border between them.
+
+    A value can only do so with its own line breaks: at each of them, what is before it ends the texts up to the border and what
+    is behind it begins the texts from there. Only the ends of texts are compared, over as many rows as the value has lines.
     """
-    longest = max((len(str(s)) for s in vault), default=0)
-    if longest < 2:
-        return parts
-    w = Window.partitionBy(*keys).orderBy("part")
-    tail = F.substring("context", -(longest - 1), longest - 1)
-    head = F.lead(F.substring("context", 1, longest - 1)).over(w)
-    met = F.concat(F.col("_tail"), F.lit("\n"), F.col("_head"))
-    spans = X.redact(met, vault)["hits"] > X.redact(F.col("_tail"), vault)["hits"] + X.redact(F.col("_head"), vault)["hits"]
-    edges = parts.withColumns({"_tail": tail, "_head": head}).withColumn("_joined", F.coalesce(spans, F.lit(False)))
-    starts = F.when(F.lag("_joined").over(w), 0).otherwise(1)
+    cuts = [(s[:i], s[i + 1 :]) for s in secrets for i, c in enumerate(s) if c == "\n"]
+    if not cuts:
+        return rows
+    near = max(s.count("\n") for s in secrets)
+    longest = max(len(s) for s in secrets)
+    ends = rows.select(*keys, "pos", F.substring("text", 1, longest).alias("_head"), F.substring("text", -longest, longest).alias("_tail"))
+    layout = Layout(keys, "_nth", block_rows)
+    spread = layout.with_halo(number_rows(ends, keys, "pos", block_rows, "_nth"), before=near, after=near - 1)
+    w = layout.window()
+    left = F.array_join(F.collect_list("_tail").over(w.rowsBetween(-near, -1)), "\n")
+    right = F.array_join(F.collect_list("_head").over(w.rowsBetween(0, near - 1)), "\n")
+    met = F.exists(
+        F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in dict.fromkeys(cuts)]),
+        lambda c: F.endswith(F.col("_left"), c["a"]) & F.startswith(F.col("_right"), c["b"]),
+    )
+    borders = (
+        spread.withColumns({"_left": left, "_right": right})
+        .filter(~F.col("_halo"))
+        .select(*layout.cells, "pos", "_nth", ((F.col("_nth") > 0) & met).alias("_tied"))
+    )
+    start = F.when(~F.col("_tied"), F.col("pos"))
+    carried = layout.carry(borders, last={"_before": start}, reuse=True)
+    runs = carried.withColumn("_first", layout.running_last(start, F.col("_before"))).filter("_tied").select(*keys, "pos", "_first")
     return (
-        edges.withColumn("_group", F.sum(starts).over(w) - 1)
-        .groupBy(*keys, F.col("_group").cast("bigint").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("part").alias("p"), F.col("context").alias("c")))).alias("_parts"))
-        .select(*keys, "part", F.array_join(F.transform("_parts", lambda r: r["c"]), "\n").alias("context"))
+        rows.join(runs, [*keys, "pos"], "left")
+        .groupBy(*keys, F.coalesce("_first", "pos").alias("_at"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_rows"), F.sum("hits").alias("hits"))
+        .select(*keys, F.col("_at").alias("pos"), F.array_join(F.transform("_rows", lambda r: r["text"]), "\n").alias("text"), "hits")
     )
 
 
 def outbound(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Masked texts that leave with each session: `zone`, `part`, `text`, `hits`, `clean`.
+    """Masked texts that leave with each session, row by row: `zone`, `pos`, `text`, `hits`, `clean`.
 
-    Kept history, query and system text are each put together first and masked then, so a secret that runs over a line break
-    between messages is found.
+    Rows are masked one by one; those that a secret runs over, line breaks between messages included, are put together first.
+    So this finds what masking the whole context would, and a task holds no more text than such a run of rows.
+    A value that can match inside a mask is looked for again, on the rows masked so far.
     """
+    group = [*keys, "zone"]
     kept = prune.decide(messages, cfg).filter(F.col("keep") | (F.col("zone") != "history"))
-    parts = prune.render(kept, [*keys, "zone"], part_rows=cfg.block_rows or BLOCK_ROWS)
-    return redacted(uncut_secrets(parts, vault, [*keys, "zone"]).withColumnRenamed("context", "text"), vault)
+    rows = kept.select(*group, "pos", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("bigint").alias("hits"))
+    secrets = [str(s) for s in vault if s]
+    again = [s for s in secrets if "\n" in s and _meets_mask(s)]
+    rounds: list[list[str]] = [[]]
+    for s in secrets:
+        if s in again and rounds[-1]:
+            rounds.append([])
+        rounds[-1].append(s)
+    for some in rounds:
+        rows = tied_rows(rows, some, group, cfg.block_rows).withColumn("_r", X.redact(F.col("text"), some))
+        rows = rows.select(*group, "pos", F.col("_r.text").alias("text"), (F.col("hits") + F.col("_r.hits")).alias("hits"))
+    return tied_rows(rows, again, group, cfg.block_rows).withColumn("clean", ~X.leaks(F.col("text"), secrets))
 
 
 def hardened_report(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str], *, keys: Sequence[str] = ("session_id",),
@@ -269,8 +301,8 @@ def hardened_report(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str],
 
 def hardened_prompts(messages: DataFrame, cfg: PruneConfig, vault: Sequence[str], *, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Masked prompts of the sessions, in parts (see prune.prompts), each with the masked system text."""
-    texts = outbound(messages, cfg, vault, keys)
-    zone = lambda name, alias: texts.filter(F.col("zone") == name).select(*keys, "part", F.col("text").alias(alias))
+    texts = prune.render(outbound(cut(messages), cfg, vault, keys), [*keys, "zone"], part_rows=cfg.block_rows or BLOCK_ROWS)
+    zone = lambda name, alias: texts.filter(F.col("zone") == name).select(*keys, "part", F.col("context").alias(alias))
     asked = prune.prompts(zone("history", "context"), zone("query", "request").drop("part"), keys)
     return asked.join(zone("system", "system").drop("part"), list(keys), "left")
 
