@@ -181,8 +181,7 @@ def vault_table_exposure(spark: SparkSession, sf: str) -> DataFrame:
     """A vault with an entry from every document, looked for in all documents."""
     docs = tables.table(spark, sf, "documents")
     entry = F.substring(F.col("text"), F.lit(1) + (F.col("doc_id") % 40).cast("int"), F.lit(6) + (F.col("doc_id") % 30).cast("int"))
-    found = vault.exposed(docs.select("doc_id", "text"), docs.select(entry.alias("secret")), id_col="doc_id")
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("secrets"), F.min("secret").alias("first_secret"))
+    return vault.exposure_totals(docs.select("doc_id", "text"), docs.select(entry.alias("secret")), id_col="doc_id")
 
 
 def redact_sql(text: str) -> tuple[str, str, str]:
