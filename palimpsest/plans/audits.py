@@ -408,7 +408,7 @@ def audit_log_with_digests(spark: SparkSession, sf: str) -> DataFrame:
     documents = cut(unit_store.unit_documents(units.purged_messages(grouped, decided, sessions.rows)))
     root = scratch(spark, "digest-log")
     unit_store.append_units(documents, f"{root}/units")
-    lists = unit_store.session_digests(documents).filter("part = 0").select("session_id", "purged_hashes")
+    lists = unit_store.whole_lists(unit_store.session_digests(documents))
     asked = sessions.rows.filter("role = 'user'").groupBy("session_id").agg(F.max_by("text", "pos").alias("text"))
     effort = scans.effort(asked).select("session_id", F.struct("tier", F.round(F.col("score").cast("double"), 4).alias("score"), F.lit("none").alias("action")).alias("effort"))
     rows = units.unit_audit(decided).join(lists, "session_id", "left").join(effort, "session_id", "left")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.config import BLOCK_ROWS
 
@@ -28,7 +32,8 @@ def unit_documents(
     """One canonical JSON array per purged unit (messages in order, fields sorted) and its SHA-256.
 
     A unit of more than `part_rows` messages becomes documents of at most so many, with their `part`, and a list of the parts'
-    digests is the document of the unit itself (`part` null). No task gathers more than two such parts of a unit.
+    digests is the document of the unit itself (`part` null); its digest is still that of the whole array. No task gathers more than
+    two such parts of a unit.
     """
     names = {"text": "content"}
     columns = sorted((names.get(f, f), f) for f in fields)
@@ -37,15 +42,45 @@ def unit_documents(
     blocks = purged.groupBy(*unit, F.floor(F.col("pos") / part_rows).alias("_block")).agg(F.array_sort(F.collect_list(message)).alias("_rows"))
     as_json = lambda rows: F.to_json(F.transform(rows, lambda m: F.struct(*[m[n].alias(n) for n, _ in columns])), {"ignoreNullFields": "false"})
     # a unit lies in one run of positions: at most its first and last block are not full, and only those are gathered whole
-    part = F.struct("_block", F.size("_rows").alias("n"), F.when(F.size("_rows") < part_rows, F.col("_rows")).alias("rows"), F.sha2(as_json(F.col("_rows")), 256).alias("digest"))
+    part = F.struct("_block", F.when(F.size("_rows") < part_rows, F.col("_rows")).alias("rows"))
     found = blocks.groupBy(*unit).agg(F.array_sort(F.collect_list(part)).alias("_parts"), F.sum(F.size("_rows")).alias("_n"), F.max(F.when(F.size("_rows") == part_rows, F.col("_rows"))).alias("_full"))
     whole = F.when(F.size("_parts") == 1, F.coalesce(F.get("_parts", F.lit(0))["rows"], F.col("_full"))).otherwise(F.flatten(F.transform("_parts", lambda p: p["rows"])))
-    listing = F.to_json(F.transform("_parts", lambda p: F.struct(p["digest"].alias("part"))))
-    small = F.col("_n") <= part_rows
-    units = found.select(*unit, F.lit(None).cast("bigint").alias("part"), F.when(small, as_json(whole)).otherwise(listing).alias("unit"), small.alias("_small"))
-    large = units.filter("NOT _small").select(*unit)
+    small = found.filter(F.col("_n") <= part_rows).select(*unit, F.lit(None).cast("bigint").alias("part"), as_json(whole).alias("unit"))
+    large = found.filter(F.col("_n") > part_rows).select(*unit)
     parts = blocks.join(large, unit, "left_semi").select(*unit, F.col("_block").cast("bigint").alias("part"), as_json(F.col("_rows")).alias("unit"))
-    return units.drop("_small").unionByName(parts).withColumn("digest", F.sha2("unit", 256))
+    digest = F.sha2("unit", 256).alias("digest")
+    return small.select("*", digest).unionByName(_with_listings(parts.select("*", digest), unit))
+
+
+def _with_listings(parts: DataFrame, unit: Sequence[str]) -> DataFrame:
+    """Part documents, and behind the last of a unit their list with the digest of the whole unit, hashed part by part."""
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in parts.schema])  # a listing has no part
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, digests, running = None, [], None
+
+        def listing() -> pa.RecordBatch:
+            running.update(b"]")
+            row = dict(zip(unit, keys)) | {"part": None, "unit": json.dumps([{"part": d} for d in digests], separators=(",", ":")), "digest": running.hexdigest()}
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        for batch in batches:
+            schema = batch.schema
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in unit)
+                if own != keys:
+                    if running:
+                        yield listing()
+                    keys, digests, running = own, [], hashlib.sha256(b"[")
+                else:
+                    running.update(b",")
+                digests.append(row["digest"])
+                running.update(row["unit"][1:-1].encode())
+            yield batch
+        if running:
+            yield listing()
+
+    return parts.repartition(*unit).sortWithinPartitions(*unit, "part").mapInArrow(listed, shape)
 
 
 def session_digests(
@@ -62,6 +97,16 @@ def session_digests(
     )
 
 
+def whole_lists(digests: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Digest list of a session in one row, put together from all its parts."""
+    part = F.struct("part", "purged_hashes")
+    return (
+        digests.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+        .select(*keys, F.flatten(F.transform("_parts", lambda p: p["purged_hashes"])).alias("purged_hashes"))
+    )
+
+
 def new_units(documents: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Distinct units the store does not hold yet."""
     distinct = documents.select("digest", "unit").dropDuplicates(["digest"])

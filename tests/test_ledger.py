@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import functools
+import hashlib
 import json
 import uuid
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import audit as A
 from palimpsest.operators import ledger as L
+from palimpsest.plans import audits, registry
 from palimpsest.sources import audit_log, unit_store
 from palimpsest import dims
 
@@ -211,3 +214,31 @@ def test_a_shard_of_a_batch_is_one_file(spark, tmp_path):
     shards = list((tmp_path / "units").glob("writer=*/batch=*/shard=*"))
     assert len(shards) == 256 and all(len(list(s.glob("*.parquet"))) == 1 for s in shards)
     assert unit_store.read_units(spark, path).count() == 4000
+
+
+def test_a_large_unit_has_the_digest_of_the_whole(spark):
+    """Units in several parts next to each other, equal units cut at other places, and keys of two columns."""
+    rows = [("s", "k", 0, p, "tool", f"é{p}") for p in range(3, 25)] + [("s", "k", 1, p, "user", None if p == 30 else f"t{p}") for p in range(25, 45)]
+    rows += [("t", "k", 5, p - 2, "tool", f"é{p}") for p in range(3, 25)] + [("t", "l", 5, 0, "user", "x")]
+    purged = spark.createDataFrame(rows, "session_id STRING, other STRING, unit_id BIGINT, pos BIGINT, role STRING, text STRING")
+    whole, parted = (
+        {(r.session_id, r.other, r.unit_id): r for r in unit_store.unit_documents(purged, ["session_id", "other"], part_rows=n).filter("part IS NULL").collect()}
+        for n in (4096, 8)
+    )
+    assert {k: r.digest for k, r in parted.items()} == {k: r.digest for k, r in whole.items()} and len(whole) == 4
+    assert all(r.digest == hashlib.sha256(r.unit.encode()).hexdigest() for r in whole.values())
+    assert [set(x) for x in json.loads(parted["s", "k", 0].unit)] == [{"part"}] * 4 and parted["s", "k", 0].digest == parted["t", "k", 5].digest
+
+
+def test_audit_rows_list_the_units_of_every_part(spark, monkeypatch):
+    """The registered query with lists in parts of four units and units in parts of one message, against its SQL."""
+    sf = "/root/testdata/sf0.001"
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"create view events as select * from '{sf}/events.parquet'")
+    want = {r[0]: r[-1] for r in con.execute(registry.ORACLES["audit_log_with_digests"]).fetchall()}
+    monkeypatch.setattr(unit_store, "session_digests", functools.partial(unit_store.session_digests, part_units=4))
+    monkeypatch.setattr(unit_store, "unit_documents", functools.partial(unit_store.unit_documents, part_rows=1))
+    got = {r.seq: r.purged_hashes for r in audits.audit_log_with_digests(spark, sf).collect()}
+    assert got == want and max(len(h.split(",")) for h in want.values() if h) > 8
