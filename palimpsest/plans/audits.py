@@ -411,8 +411,10 @@ def audit_log_with_digests(spark: SparkSession, sf: str) -> DataFrame:
     lists = unit_store.whole_lists(unit_store.session_digests(documents))
     asked = sessions.rows.filter("role = 'user'").groupBy("session_id").agg(F.max_by("text", "pos").alias("text"))
     effort = scans.effort(asked).select("session_id", F.struct("tier", F.round(F.col("score").cast("double"), 4).alias("score"), F.lit("none").alias("action")).alias("effort"))
-    rows = units.unit_audit(decided).join(lists, "session_id", "left").join(effort, "session_id", "left")
-    rows = rows.withColumn("seq", F.col("session_id"))
+    # ties go away from zero, as in the SQL; the log rounds to even
+    saved = F.round(prune.reduction(F.max("session_before"), F.max("session_after")), 4).alias("saved")
+    rows = units.unit_audit(decided).join(decided.groupBy("session_id").agg(saved), "session_id", "left").join(lists, "session_id", "left").join(effort, "session_id", "left")
+    rows = rows.withColumns({"seq": F.col("session_id"), "reduction": F.when(F.col("held"), 0.0).otherwise(F.coalesce("saved", "reduction")), "potential_reduction": F.when(F.col("held"), F.coalesce("saved", "potential_reduction"))})
     log.write_audit(log.audit_rows(rows, ts=F.lit("2026-01-01T00:00:00"), model=F.lit("m"), stream=F.lit(True)), f"{root}/log", partition_by_day=False)
     back = log.read_audit(spark, f"{root}/log")
     hashes = back.select("seq", F.explode("purged_hashes").alias("digest"))

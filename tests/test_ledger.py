@@ -242,3 +242,16 @@ def test_audit_rows_list_the_units_of_every_part(spark, monkeypatch):
     monkeypatch.setattr(unit_store, "unit_documents", functools.partial(unit_store.unit_documents, part_rows=1))
     got = {r.seq: r.purged_hashes for r in audits.audit_log_with_digests(spark, sf).collect()}
     assert got == want and max(len(h.split(",")) for h in want.values() if h) > 8
+
+
+def test_reductions_round_ties_as_the_sql(spark, tmp_path):
+    """Users of the given events with a reduction of 0.60625 or 0.63125."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").filter("user_id IN (125, 150, 1446, 7)").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    result = con.execute(registry.ORACLES["audit_log_with_digests"])
+    names = [d[0] for d in result.description]
+    want = sorted(map(repr, result.fetchall()))
+    assert sorted(repr(tuple(r[n] for n in names)) for r in audits.audit_log_with_digests(spark, str(tmp_path)).collect()) == want
